@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom.llm.tokenizer import TOKENIZER, token_sizes
-from strandloom.runtime import cut, table
+from strandloom.runtime import cut, small, table
 
 #: The constraints of all mixes are held by the driver, one row each; more than this is refused.
 MOST_TARGETS = 100_000
@@ -31,6 +31,8 @@ def name(c: str):
 def sized_documents(docs: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, tokens) of the documents whose source some mix names; written once, as counting tokens costs most."""
     wanted = targets.select(name("source").alias("_s")).where("_s is not null").distinct()
+    if not small(wanted, MOST_TARGETS):
+        raise ValueError(f"more than {MOST_TARGETS} sources")
     rows = docs.withColumn("_s", name("source")).select("doc_id", "_s", "text").join(F.broadcast(wanted), "_s", "left_semi").select("doc_id", F.col("_s").alias("source"), "text")
     return cut(token_sizes(rows, ["doc_id", "source"], "text", path))
 
