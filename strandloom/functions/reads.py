@@ -111,11 +111,10 @@ def score_read(cigar: str, seq: str, ref: str, plus: bool) -> tuple:
     return (n["same"] + n["yf"] + n["yc"] - n["ns"] - n["gaps"], n["ns"], "".join([*md, str(run)]), n["yf"], n["zf"], n["yc"], n["zc"], n["ns"], n["nc"])
 
 
-SCORED = "score int, mismatches int, md string, yf int, zf int, yc int, zc int, ns int, nc int"
+SCORED = T.StructType([T.StructField(c, T.StringType() if c == "md" else T.IntegerType()) for c in ("score", "mismatches", "md", "yf", "zf", "yc", "zc", "ns", "nc")])
 
 
 @F.pandas_udf(SCORED)
 def score_reads(cigar: pd.Series, seq: pd.Series, ref: pd.Series, plus: pd.Series) -> pd.DataFrame:
-    names = [c.split()[0] for c in SCORED.split(", ")]
     rows = [score_read(*x) if all(isinstance(v, str) for v in x[:3]) else (None,) * 9 for x in zip(cigar, seq, ref, plus, strict=True)]
-    return pd.DataFrame(rows, columns=names)
+    return pd.DataFrame(rows, columns=SCORED.names)
