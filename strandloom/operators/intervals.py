@@ -56,7 +56,11 @@ def overlap_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], left_s
         no_null = no_null & k.isNotNull()
     many = placed.where(no_null).withColumn("_bin", F.explode(binned(_bits(F.col("_level")), rs, re)))
     many = many.withColumn("_cell", name(F.col("_level"), F.col("_bin"))).drop("_level", "_bin", *keys)
-    looks = F.concat(*[F.transform(F.sequence(shift(ls, LOWEST + STEP * k), shift(le - 1, LOWEST + STEP * k)), lambda b, k=k: F.struct(F.lit(k).alias("level"), b.alias("bin"))) for k in levels]) if levels else F.array().cast("array<struct<level:int,bin:bigint>>")
+
+    def cells(k: int) -> Column:
+        return F.transform(F.sequence(shift(ls, LOWEST + STEP * k), shift(le - 1, LOWEST + STEP * k)), lambda b: F.struct(F.lit(k).alias("level"), b.alias("bin")))
+
+    looks = F.concat(*map(cells, levels)) if levels else F.array().cast("array<struct<level:int,bin:bigint>>")
     looking = left.where(no_null & (ls < le) & ls.isNotNull()).withColumn("_look", F.explode(looks)).withColumn("_cell", name(F.col("_look.level"), F.col("_look.bin")))
     joined = keyed_left_join(looking, many, "_cell", list(spread), "inner")
     hits = joined.where((ls < re) & (rs < le))

@@ -174,7 +174,7 @@ def collapse(hits: DataFrame, add_count: bool = False) -> DataFrame:
     """One row per site: its hits joined by commas, ordered by gene, transcript and position, perhaps with their number (0 for a miss)."""
     item = F.array_sort(F.collect_list(F.struct("gene_id", "transcript_id", "transcript_pos")))
     got = hits.groupBy("site_id").agg(item.alias("_h"))
-    out = got.select("site_id", *[F.array_join(F.transform("_h", lambda x, c=c: x[c]), ",").alias(c) for c in ("gene_id", "transcript_id", "transcript_pos")], F.size(F.filter("_h", lambda x: x["gene_id"] != ".")).alias("hits"))
+    out = got.select("site_id", *[F.array_join(F.col("_h")[c], ",").alias(c) for c in ("gene_id", "transcript_id", "transcript_pos")], F.size(F.filter("_h", lambda x: x["gene_id"] != ".")).alias("hits"))
     return out if add_count else out.drop("hits")
 
 

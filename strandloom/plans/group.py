@@ -76,10 +76,15 @@ def contained_in(items: DataFrame, by: str, k: int = 16) -> DataFrame:
     candidates meet on k-base words; items shorter than k meet by an equal word of their whole length.
     """
     word = lambda s, i, n: s.substr(i, n)
+
+    def words(n: int) -> Column:
+        at = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(F.lit(n).alias("n"), word(F.col("seq"), i, F.lit(n)).alias("w")))
+
     size = F.length("seq")
     heads = items.where("seq <> ''").select(F.col("id").alias("h_id"), by, F.col("name").alias("h_name"), F.col("ord").alias("h_ord"), F.col("placeholder").alias("h_p"), F.col("seq").alias("h_seq"), F.least(size, F.lit(k)).alias("n"), word(F.col("seq"), F.lit(1), F.least(size, F.lit(k))).alias("w"))
     lens = [r["n"] for r in heads.select("n").distinct().collect()]  # at most k rows
-    every = items.where("seq <> ''").select(F.col("id").alias("c_id"), by, F.col("name").alias("c_name"), F.col("ord").alias("c_ord"), F.col("placeholder").alias("c_p"), F.col("seq").alias("c_seq"), F.explode(F.flatten(F.array(*[F.transform(F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>")), lambda i, n=n: F.struct(F.lit(n).alias("n"), word(F.col("seq"), i, F.lit(n)).alias("w"))) for n in lens] or [F.array().cast("array<struct<n:int,w:string>>")]))).alias("x")).select("*", "x.*").drop("x").distinct()
+    every = items.where("seq <> ''").select(F.col("id").alias("c_id"), by, F.col("name").alias("c_name"), F.col("ord").alias("c_ord"), F.col("placeholder").alias("c_p"), F.col("seq").alias("c_seq"), F.explode(F.flatten(F.array(*map(words, lens)) if lens else F.array().cast("array<array<struct<n:int,w:string>>>"))).alias("x")).select("*", "x.*").drop("x").distinct()
     pairs = heads.join(every, [by, "n", "w"]).where("h_id <> c_id and contains(c_seq, h_seq)")
     into = pairs.where("h_p and not c_p").where(F.length("h_seq") > F.length("c_seq") * 0.5).select(F.col("h_id").alias("id"), F.col("c_id").alias("target"), F.col("c_name").alias("name"), F.col("c_ord").alias("ord"))
     over = pairs.where("c_p and not h_p").where(F.length("h_seq") > F.length("c_seq") * 0.9).select(F.col("c_id").alias("id"), F.col("h_id").alias("target"), F.col("h_name").alias("name"), F.col("h_ord").alias("ord"))

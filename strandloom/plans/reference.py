@@ -78,7 +78,8 @@ def export_gtf(exons: DataFrame) -> DataFrame:
     ident = [("gene_id", F.col("gene_id")), ("transcript_id", F.col("transcript_id")), ("gene_name", F.col("gene_name")), ("gene_biotype", F.col("gene_biotype"))]
     level = [("tag", F.when(F.col("transcript_level") == 0, "Ensembl_canonical")), ("transcript_support_level", F.when(~F.col("transcript_level").isin(0, 6, 10), F.col("transcript_level")))]
     number = Window.partitionBy("gene_id", "transcript_id").orderBy("start_offset")
-    e = exons.withColumn("exon_number", F.coalesce(F.col("exon_number").cast("string"), F.row_number().over(number).cast("string")))
+    given = F.col("exon_number").cast("string") if "exon_number" in exons.columns else F.lit(None).cast("string")
+    e = exons.withColumn("exon_number", F.coalesce(given, F.row_number().over(number).cast("string")))
 
     def rows(df: DataFrame, feature: str, start: Column, end: Column, attrs: list) -> DataFrame:
         return df.select(F.col("chrom").alias("seqname"), F.lit("reference").alias("source"), F.lit(feature).alias("feature"), start.alias("start"), end.alias("end"), F.lit(".").alias("score"), "strand", F.lit(".").alias("frame"), format_attributes(attrs).alias("attributes"))
