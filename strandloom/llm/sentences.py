@@ -10,6 +10,7 @@ may be wrong), and last the default break.
 from __future__ import annotations
 
 import sys
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,7 +43,7 @@ def _rules(lang: str) -> list[tuple[bool, str, str]]:
     if lang == "en":
         rules += [
             (False, r"^(?:\W|\d{1,3}[.)]\s|<\w+>|\[\w+(?:=\w+)?\]|&lt;\w+&gt;)*at\s(?:\S+\s)?\d+(?:[:.]\d+)? [ap]\.m\.$", ""),
-            (False, r"\d [ap]\.m\.$", r"\s+(?:on|in|and|or|to|at|but|every|each|with(?!\s+\d)|by)\b(?!.*\bas limit)"),
+            (False, r"\d [ap]\.m\.$", r"\s+(?:on|in|and|or|to|but|every|each)\b"),
             (True, r"\d [ap]\.m\.$", r"\s"),
             (True, r"\d s\.$", r"\s"),
             (True, START + r"etc\.$", r"\s"),
@@ -87,6 +88,9 @@ EMOTICON = r"(?:[:;=][-']?[)(DPp/\\|\]\[](?![\p{L}\p{N}/])|\^\^|\(\^_\^\)|<3|[\p
 CLOSING_TAG = r"(?:</[A-Za-z][^<>\n]{0,40}>|\[/[A-Za-z]+\]|&lt;/[A-Za-z]+&gt;|<br\s?/?>|&lt;br\s?/?&gt;)"
 ENTITY = r"&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z]+);"
 PAIRS = {"“": "”", "„": "“”", "«": "»", "»": "«", "「": "」", "『": "』", "‹": "›", "‚": "‘’", "‘": "’"}
+QUOTES = {'"', "&quot;", "'", "“", "«", "‘", "»", "”", "’", "」", "』", "›"}
+#: So far back from an end mark patterns look; the text between is read whole.
+LOOK_BACK = 300
 BRACKETS = {"(": ")", "（": "）", "[": "]", "【": "】"}
 
 
@@ -114,6 +118,10 @@ class Splitter:
         self.capital = c(r"\s*[^\p{L}\p{N}]*\p{Lu}")
         self.said = c(r"(?:と|って)")
         self.glued = c(r"(?:&lt;[A-Za-z]+&gt;|<[A-Za-z][^<>]*>|\[[A-Za-z][^\]]*\]|[\"'“„«¿¡(\[])*\p{Lu}")
+        self.single = c(r"[,.!?…]'(?!\w)")
+        self.bracket = c(r"[()（）\[\]【】]")
+        self.thai_letter = c(r"[\u0e00-\u0e7f]")
+        self.emoticon_end = c(EMOTICON + r"\s*\Z")
         self.fine = c(r"(?:[\p{Ll}\p{Lo}]{2}|\d|[\p{Ll}\d][!?]+|[\"'”’»)\]>;])$")
 
     def cascade(self, lang: str) -> list:
@@ -121,163 +129,154 @@ class Splitter:
             order = [lang] if lang in ABBREVIATIONS else []
             rules = [*COMMON, *(r for one in [*order, *(x for x in ABBREVIATIONS if x not in order)] for r in _rules(one)), *DEFAULT]
             flags = self.regex.IGNORECASE
-            # initials and ellipses depend on case
-            made = [(b, self.regex.compile(before.removesuffix("$") + r"\Z", 0 if i < len(COMMON) else flags) if before else None, self.regex.compile(after, 0 if i < len(COMMON) else flags) if after else None) for i, (b, before, after) in enumerate(rules)]
+            # initials and ellipses depend on case; `before` is matched backwards from the end
+            made = [(b, self.regex.compile(before.removesuffix("$"), self.regex.REVERSE | (0 if i < len(COMMON) else flags)) if before else None, self.regex.compile(after, 0 if i < len(COMMON) else flags) if after else None, before.startswith("^")) for i, (b, before, after) in enumerate(rules)]
             self.tables[lang] = made
         return self.tables[lang]
 
-    def quotations(self, line: str, entities: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """(start of the opening mark, end of the closing mark) of each quotation; one that isn't closed goes on to the line's end."""
+    def quotations(self, line: str) -> list[tuple[int, int]]:
+        """(start of the opening mark, end of the closing mark) of each quotation, in order; one that isn't closed goes on to the line's end."""
         found, open_ = [], None
+        last_single = max((m.start() for m in self.single.finditer(line)), default=-1) if "'" in line else -1
+        last_curly, last_guillemet = line.rfind("’"), line.rfind("«")
         for m in self.quote.finditer(line):
             q, at, end = m.group(), m.start(), m.end()
             if open_ is not None:
                 kind, start = open_
-                if kind == q and q in ('"', "&quot;") or q in PAIRS.get(kind, ""):
+                closes = kind == q and q in ('"', "&quot;") or q in PAIRS.get(kind, "") or kind == q == "'" and line[at - 1] in ",.!?…" and not line[end : end + 1].isalnum()
+                if closes:
                     found.append((start, end))
                     open_ = None
-                elif kind == "'" and q == "'" and line[at - 1] in ",.!?…" and not line[end : end + 1].isalnum():
-                    found.append((start, end))
-                    open_ = None
-                continue
-            if q == "'":
+            elif q == "'":
                 # an apostrophe opens a quotation only if it can be closed
                 before, after = line[at - 1 : at], line[end : end + 1]
-                if (not before or before.isspace() or before in "([{>;]\"—-.!?。！？") and after.isalpha() and self.regex.search(r"[,.!?…]'(?!\w)", line[end:]):
+                if (not before or before.isspace() or before in "([{>;]\"—-.!?。！？") and after.isalpha() and last_single >= end:
                     open_ = (q, at)
-            elif q in ("’", "‘"):
-                if q == "‘" and "’" in line[end:]:
+            elif q == "‘":
+                if last_curly >= end:
                     open_ = (q, at)
-            elif q in PAIRS and not (q == "»" and "«" not in line[end:]):
-                open_ = (q, at)
-            elif q in ('"', "&quot;"):
+            elif q in PAIRS and not (q == "»" and last_guillemet < end) or q in ('"', "&quot;"):
                 open_ = (q, at)
         if open_ is not None and open_[0] not in ("'", "‘", "»"):
             found.append((open_[1], len(line) + 1))
         return found
 
     def brackets(self, line: str) -> list[tuple[int, int]]:
+        """The outermost bracketed stretches, in order."""
         found, stack = [], []
-        for i, ch in enumerate(line):
-            if ch in BRACKETS and line[i - 1 : i] not in (":", ";", "-", "="):
-                stack.append((BRACKETS[ch], i))
+        for m in self.bracket.finditer(line):
+            i, ch = m.start(), m.group()
+            if ch in BRACKETS:
+                if line[i - 1 : i] not in (":", ";", "-", "="):
+                    stack.append((BRACKETS[ch], i))
             elif stack and ch == stack[-1][0]:
-                found.append((stack.pop()[1], i + 1))
+                a = stack.pop()[1]
+                while found and found[-1][0] > a:
+                    found.pop()
+                found.append((a, i + 1))
         return found
 
     def line(self, line: str, lang: str) -> Iterator[tuple[int, int]]:
         start = self.prefix.match(line).end()
-        end = len(line.rstrip(" \t　\xa0﻿"))
-        while end > start and line[end - 1].isspace():
+        end = len(line)
+        while end > start and (line[end - 1].isspace() or line[end - 1] == "\ufeff"):
             end -= 1
         if not self.word.search(line, start, end):
             return
-        entities = [m.span() for m in self.entity.finditer(line)] if "&" in line else []
-        quotes = self.quotations(line, entities)
-        brackets = self.brackets(line) if any(b in line for b in BRACKETS) else []
-        greek = bool(self.greek.search(line))
-        cuts, done = [], start
-        places = []
+        entities = {m.end() - 1 for m in self.entity.finditer(line)} if "&" in line else ()
+        quotes = self.quotations(line)
+        brackets = self.brackets(line)
+        opens, closes = {a for a, _ in quotes}, {b: a for a, b in quotes}
+        starts, bracket_starts = [a for a, _ in quotes], [a for a, _ in brackets]
+        greek = ";" in line and bool(self.greek.search(line))
+        cuts, done, places = [], start, []
         for m in self.marks.finditer(line, start, end):
-            at, stop = m.span()
-            if ";" in m.group() and (any(a <= stop - 1 < b for a, b in entities) or not greek or set(m.group()) - {";"}):
-                if set(m.group()) <= {";"} or any(a <= stop - 1 < b for a, b in entities):
-                    continue
-            places.append((at, stop, "mark"))
-        if "฀" <= max(line[start:end], default="") and any("฀" <= ch <= "๿" for ch in line):
-            places += [(m.start(), m.end(), "thai") for m in self.thai.finditer(line, start, end)]
+            # a semicolon asks in Greek only, and doesn't when it ends an entity
+            if set(m.group()) == {";"} and (not greek or m.end() - 1 in entities):
+                continue
+            places.append((m.start(), m.end(), False))
+        if self.thai_letter.search(line):
+            places += [(m.start(), m.end(), True) for m in self.thai.finditer(line, start, end)]
             places.sort()
-        for at, stop, kind in places:
+        for at, stop, blank in places:
             if at < done:
                 continue
-            q = stop
-            closed = None
-            bare = True
-            if kind == "mark":
-                while q < end:
-                    m = self.close.match(line, q, end)
-                    if not m or m.end() == q:
-                        break
-                    piece = m.group().lstrip()
-                    if piece in ('"', "&quot;", "'", "“", "«", "‘", "»", "”", "’", "」", "』", "›"):
-                        # a mark that opens the next quotation belongs to that
-                        if any(a == m.end() - len(piece) for a, _ in quotes):
-                            break
-                        for a, b in quotes:
-                            if b == m.end():
-                                closed = (a, b)
-                        if piece == "'" and closed is None and line[m.end() : m.end() + 1].isalnum():
-                            break
-                    elif piece.strip() and piece not in ")）]】":
-                        bare = False
-                    q = m.end()
-                # a closing guillemet may stand behind a blank
-                for a, b in quotes:
-                    if a < at and b > q and line[q:b].strip() in ("»", "«", "”", "“") and b <= end:
-                        closed, q = (a, b), b
-                        m = self.close.match(line, q, end)
-                        while m and m.end() > q and not any(a2 == m.end() - len(m.group().lstrip()) for a2, _ in quotes):
-                            if m.group().lstrip() not in ('"', "'", "“", "«"):
-                                q = m.end()
-                            else:
-                                break
-                            m = self.close.match(line, q, end)
+            q, closed, bare = stop, None, True
+            if not blank:
+                q, closed, bare = self.closing(line, stop, end, opens, closes)
+                k = bisect_left(starts, at) - 1
+                # a closing mark may stand behind a blank
+                if k >= 0 and q < quotes[k][1] <= end and line[q : quotes[k][1]].strip() in ("»", "«", "”", "“"):
+                    closed = quotes[k]
+                    q, _, more = self.closing(line, closed[1], end, opens, {})
+                    bare = bare and more
             if q >= end:
                 break
-            if any(a < at and b > q for a, b in quotes) or any(a < at and b > q for a, b in brackets):
+            k, b = bisect_left(starts, at) - 1, bisect_left(bracket_starts, at) - 1
+            if k >= 0 and quotes[k][1] > q or b >= 0 and brackets[b][1] > q:
                 continue
-            if self.decide(line, done, at, stop, q, end, kind, closed, bare, lang):
+            if blank or self.decide(line, done, at, stop, q, end, closed, bare, lang):
                 cuts.append(q)
                 done = q
         yield from self.spans(line, start, end, cuts)
 
-    def decide(self, line: str, begin: int, at: int, stop: int, q: int, end: int, kind: str, closed: tuple[int, int] | None, bare: bool, lang: str) -> bool:
-        if kind == "thai":
-            return True
-        wide = line[at] in "。！？｡।॥"
-        follows = line[q : q + 1]
+    def closing(self, line: str, q: int, end: int, opens: set[int], closes: dict[int, int]) -> tuple[int, tuple[int, int] | None, bool]:
+        """What closes after an end mark: where it ends, the quotation that ends in it, and whether no tag or emoticon is in it."""
+        closed, bare = None, True
+        while q < end:
+            m = self.close.match(line, q, end)
+            if not m or m.end() == q:
+                break
+            piece = m.group().lstrip()
+            if piece in QUOTES:
+                # a mark that opens the next quotation belongs to that
+                if m.end() - len(piece) in opens or piece == "'" and m.end() not in closes and line[m.end() : m.end() + 1].isalnum():
+                    break
+                if m.end() in closes:
+                    closed = (closes[m.end()], m.end())
+            elif piece.strip() and piece not in ")）]】":
+                bare = False
+            q = m.end()
+        return q, closed, bare
+
+    def ruled(self, head: str, whole: bool, line: str, q: int, end: int, lang: str) -> bool:
+        """The decision of the first rule that matches; rules on the sentence's start need the whole sentence so far."""
+        for keep, before, after, anchored in self.cascade(lang):
+            if (before is None or (whole or not anchored) and before.match(head)) and (after is None or after.match(line, q, end)):
+                return keep
+        return True
+
+    def decide(self, line: str, begin: int, at: int, stop: int, q: int, end: int, closed: tuple[int, int] | None, bare: bool, lang: str) -> bool:
+        follows = line[q]
         if closed is not None:
             if self.said.match(line, q):
                 return False
-            leads = self.opening.match(line, begin).end()
+            leads = self.opening.match(line, begin, closed[0] + 1).end()
             if leads >= closed[0]:  # the quotation opens the sentence: what follows reports it
-                m = self.capital.match(line, q)
-                if not m or self.speech.match(line, q):
-                    return bare is False and bool(m) and not self.speech.match(line, q)
-                return bool(follows.isspace() or self.glued.match(line, q))
-            if self.joiner.match(line, q):
-                return False
-            return True
-        if wide:
-            return not self.joiner.match(line, q) if line[q:q + 1] in ",，、" else True
-        head = line[begin:stop]
+                if not self.capital.match(line, q) or self.speech.match(line, q):
+                    return False
+                return not bare or follows.isspace() or bool(self.glued.match(line, q))
+            return not self.joiner.match(line, q)
+        if line[at] in "。！？｡।॥":
+            return follows not in ",，、"
+        low = max(begin, stop - LOOK_BACK)
+        whole = low == begin
         if not follows.isspace():
-            if q > stop and not bare:
+            if not bare:
                 return True
-            if line[at:stop].strip(".") == "" or line[at] in "!?؟;;":
-                if "://" in line[max(begin, line.rfind(" ", 0, at) + 1) : at] and not (line[at] == "." and self.glued.match(line, q)):
-                    # an address goes on, unless a wide character follows
-                    if not (follows >= "⺀"):
-                        return False
-                if self.glued.match(line, q) and self.fine.search(line[begin:at] + (line[stop:q])):
-                    if stop - at >= 3 and line[at] == ".":
-                        return True
-                    return not any(b is not None and not keep and b.search(head) for keep, b, _ in self.cascade(lang)[len(COMMON) : -1])
-                if follows >= "⺀" and line[at] in "!?":
-                    return True
-            return False
-        if not bare:
-            # an emoticon or a closing tag stands between
-            after_tag = line[q:end]
-            for keep, before, after in self.cascade(lang):
-                if (before is None or before.search(head)) and (after is None or after.match(after_tag)):
-                    return keep or bool(self.regex.search(EMOTICON + r"\s*\Z", line[stop:q]))
+            if line[at] in "!?" and follows >= "\u2e80":
+                return True
+            word = line.rfind(" ", max(begin, at - 2000), at) + 1
+            if not self.glued.match(line, q) or "://" in line[max(begin, word) : at] and line[at] != ".":
+                return False
+            if not self.fine.search(line[max(begin, at - 4) : at] + line[stop:q]):
+                return False
+            if stop - at >= 3 and line[at] == ".":
+                return True
+            return not any(not keep and before is not None and (whole or not anchored) and before.match(line[low:stop]) for keep, before, _, anchored in self.cascade(lang)[len(COMMON) : -1])
+        if not bare and self.emoticon_end.search(line[stop:q]):
             return True
-        head = line[begin:q]
-        for keep, before, after in self.cascade(lang):
-            if (before is None or before.search(head)) and (after is None or after.match(line, q, end)):
-                return keep
-        return True
+        return self.ruled(line[low : q if bare else stop], whole, line, q, end, lang)
 
     def spans(self, line: str, start: int, end: int, cuts: list[int]) -> list[tuple[int, int]]:
         """The trimmed parts between the cuts; a part without letter or digit joins the one before, or else the next."""
