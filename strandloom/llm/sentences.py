@@ -78,7 +78,7 @@ COMMON = [
     (False, r"[!?…]\s*[\"'”’»«“)\]]*$", rf"\s*[—–-]+\s*\p{{Ll}}"),  # a reporting clause after a dash
     (False, r"(?:^|[\s\p{P}])(?:\p{L}\.\s?)*\p{Lu}\.$", r"\s+(?:\p{L}\.|\p{L}{2,}|\p{Lu})"),  # initials
     (False, r"(?:^|[\s\p{P}])(?:\p{L}\.)+\p{L}\.$", r"\s+\p{Ll}"),
-    (False, r"(?:\.{2,}|…)$", r"\s+[^\s\p{Lu}]*\p{Ll}"),  # an ellipsis within a clause
+    (False, r"(?:\.{2,}|…)$", r"\s+(?:\[\w+(?:=\w+)?\]|<\w+>|&lt;\w+&gt;)*[^\s\p{Lu}\[<&]*\p{Ll}"),  # an ellipsis within a clause
     (False, r"…$", r"\S"),
 ]
 #: The last rules of the cascade.
