@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators.skew import keyed_left_join
+from strandloom.runtime import cut
 
 #: Bin widths are 2 ** (10 + 3 * level).
 LOWEST, STEP, LEVELS = 10, 3, 9
@@ -43,7 +44,6 @@ def overlap_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], left_s
     ls, rs, re = F.col(left_span[0]), F.col(right_span[0]), F.col(right_span[1])
     le = F.col(left_span[1]) if left_span[1] else ls + 1
     placed = right.where((rs < re) & rs.isNotNull()).withColumn("_level", _level(re - rs))
-    levels = sorted(r["_level"] for r in placed.select("_level").distinct().collect())  # at most LEVELS rows
     right_keys = [F.col(k) for k in keys]
     shift = lambda c, bits: F.shiftright(c.cast("long"), bits)
 
@@ -55,7 +55,10 @@ def overlap_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], left_s
     for k in right_keys:
         no_null = no_null & k.isNotNull()
     many = placed.where(no_null).withColumn("_bin", F.explode(binned(_bits(F.col("_level")), rs, re)))
-    many = many.withColumn("_cell", name(F.col("_level"), F.col("_bin"))).drop("_level", "_bin", *keys)
+    # written once: its levels, its size and the join read it
+    many = cut(many.withColumn("_cell", name(F.col("_level"), F.col("_bin"))).drop("_bin", *keys))
+    levels = sorted(r["_level"] for r in many.select("_level").distinct().collect())  # at most LEVELS rows
+    many = many.drop("_level")
 
     def cells(k: int) -> Column:
         return F.transform(F.sequence(shift(ls, LOWEST + STEP * k), shift(le - 1, LOWEST + STEP * k)), lambda b: F.struct(F.lit(k).alias("level"), b.alias("bin")))

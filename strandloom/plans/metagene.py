@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandloom.operators.intervals import best_overlap, nearest_in, overlap_join, overlap_pairs
 from strandloom.plans.reference import best_transcripts, reference_points
+from strandloom.runtime import cut
 
 ANNOTATED = ("gene_id", "transcript_id", "transcript_start", "transcript_end", "transcript_length", "start_codon_pos", "stop_codon_pos")
 
@@ -129,7 +130,7 @@ def weights(df: DataFrame, column: str, normalise: bool = False, log: str | None
 
 def metagene(sites: DataFrame, exons: DataFrame, bins: int = 100, strategy: str = "median", weight: Sequence[str] = (), only: str | None = None, smooth: int = 1) -> DataFrame:
     """The profile of sites over 5'UTR, CDS and 3'UTR. `only` keeps one region; the shares still come from all sites."""
-    annotated = map_to_transcripts(sites, exons)
+    annotated = cut(map_to_transcripts(sites, exons))
     splits = gene_splits(annotated, strategy)
     pos = middle(F.col("transcript_start"), F.col("transcript_end"))
     kept = annotated.where(region(pos, F.col("start_codon_pos"), F.col("stop_codon_pos")) == only) if only else annotated
@@ -153,7 +154,7 @@ def with_distance(annotated: DataFrame, exons: DataFrame, point: str) -> DataFra
 def metagene_point(sites: DataFrame, exons: DataFrame, point: str, before: int = 1000, after: int = 1000, bins: int = 100, weight: Sequence[str] = ()) -> tuple[DataFrame, int]:
     """The profile around a point, and how many sites lay outside its span (sites without a point aren't counted)."""
     best = exons.join(best_transcripts(exons).select("transcript_id").distinct(), "transcript_id", "left_semi")
-    at = with_distance(map_to_transcripts(sites, exons), best, point)
+    at = cut(with_distance(map_to_transcripts(sites, exons), best, point))
     near = at.where(F.col("distance").between(-before, after))
     out = histogram(near.withColumn("feature_pos", (F.col("distance") + before) / float(before + after)), "feature_pos", uniform_edges(bins), weight)
     return out.withColumn("distance_bp", F.col("feature_midpoint") * (before + after) - before), at.count() - near.count()

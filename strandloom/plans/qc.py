@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.reads import has_flag, reference_blocks
 from strandloom.operators.intervals import overlap_pairs
+from strandloom.runtime import cut
 
 # The genes whose reads don't count as non-globin.
 GLOBINS = ("HBA1", "HBA2", "HBB", "HBBP1", "HBD", "HBE1", "HBG1", "HBG2", "HBM", "HBQ1", "HBZ", "HBZP1")
@@ -180,11 +181,11 @@ def metrics(reads: DataFrame, rows: DataFrame, unpaired: bool = False, stranded:
     if stranded:
         genes, exons = (x.withColumn("chrom", group_label(F.col("chrom"), F.col("strand"), True)) for x in (genes, exons))
     blocks = read_blocks(tagged, stranded)
-    known = blocks.join(genes.select("chrom").distinct(), "chrom", "left_semi")
+    known = cut(blocks.join(genes.select("chrom").distinct(), "chrom", "left_semi"))
     if not known.limit(1).count():
         raise ValueError("reads and annotation share no contig")
-    pairs = full_cover(known, exons)
-    unamb = unambiguous(pairs, known)
+    pairs = cut(full_cover(known, exons))
+    unamb = cut(unambiguous(pairs, known))
     flags = tagged.select("read", "qname", "tlen", high_quality(F.col("mapq"), F.col("nm"), F.col("flag"), unpaired).alias("hq"), has_flag(F.col("flag"), "duplicate").alias("duplicate"), has_flag(F.col("flag"), "paired").alias("paired"))
     counts = genes.select("gene_id", "gene_name", "gene_length").join(gene_counts(unamb, flags), "gene_id", "left").fillna(0, ["reads", "unique_reads"])
     c = counters(tagged, unpaired).first().asDict()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators.intervals import merge_intervals
+from strandloom.runtime import cut
 
 #: Rows here have: ord, seqname, feature, start, end (1-based closed), strand, gene_id, transcript_id, gene_name, gene_biotype, tag.
 
@@ -109,13 +110,13 @@ def feature_combinations(rows: DataFrame) -> DataFrame:
 
 def refine(rows: DataFrame, listed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The cleaned rows, and those of rejected genes (which are rejected as a whole)."""
-    pruned = prune(rows)
-    good, rejected = without_genes(pruned, inconsistent_genes(pruned))
+    pruned = cut(prune(rows))  # read by every step
+    good, rejected = without_genes(pruned, cut(inconsistent_genes(pruned)))
     parts = ["gene_id", "transcript_id", "seqname", "strand", "start", "end", "feature"]
     exons = merged_rows(good, "exon")
-    cds = merged_rows(good, "CDS")
+    cds = cut(merged_rows(good, "CDS"))
     from_cds = cds.join(exons.select("gene_id", "transcript_id").distinct(), ["gene_id", "transcript_id"], "left_anti")
-    exons = exon_numbers(exons.unionByName(from_cds))
+    exons = cut(exon_numbers(exons.unionByName(from_cds)))
     wrong = cds_matches_exons(exons, cds).where("not consistent").select("gene_id").distinct()
     have = good.where(F.col("feature").isin("start_codon", "stop_codon"))
     derived = derived_codons(cds).join(have.select("gene_id", "transcript_id", "feature").distinct(), ["gene_id", "transcript_id", "feature"], "left_anti")
