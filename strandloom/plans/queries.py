@@ -92,9 +92,8 @@ def with_region(df: DataFrame) -> DataFrame:
 
 
 def gtf_rows(spark, sf: str) -> DataFrame:
-    f = table(spark, sf, "feature")
-    v = lambda k: gtf.first_value(F.col("attributes"), k)
-    return f.select(F.col("feature_id").alias("ord"), norm("seqname").alias("seqname"), "feature", "start", "end", "strand", norm(v("gene_id")).alias("gene_id"), norm("transcript_id").alias("transcript_id"), v("gene_name").alias("gene_name"), v("gene_biotype").alias("gene_biotype"), v("tag").alias("tag"))
+    f = gtf.with_values(table(spark, sf, "feature").withColumnRenamed("transcript_id", "tx"), "attributes", ("gene_id", "gene_name", "gene_biotype", "tag"))
+    return f.select(F.col("feature_id").alias("ord"), norm("seqname").alias("seqname"), "feature", "start", "end", "strand", norm("gene_id").alias("gene_id"), norm("tx").alias("transcript_id"), "gene_name", "gene_biotype", "tag")
 
 
 def pruned(spark, sf: str) -> DataFrame:
@@ -755,3 +754,182 @@ def j02(s, d):
 def j03(s, d):
     p, _ = M.metagene_point(spans(s, d).withColumnRenamed("site_id", "record_id"), exons(s, d), "start_codon", 200, 800, 50)
     return p.select("bin", F.round("distance_bp", 6).alias("distance_bp"), "count")
+
+
+# ---- more functions, filters and sinks --------------------------------------------------------------
+
+
+@query("h03_expand_base", f"select annotation_id, case when b in ('A', 'C', 'G', 'T') then b when b = 'U' then 'T' when b = 'N' then 'G,A,T,C' end e from (select annotation_id, upper(substr(m, 1, 1)) b from ({ANN})) where b in ('A', 'C', 'G', 'T', 'U', 'N')")
+def h03(s, d):
+    b = F.upper(F.substring("m", 1, 1))
+    return ann(s, d).where(b.isin(*"ACGTUN")).select("annotation_id", F.array_join(S.expand_base(b), ",").alias("e"))
+
+
+@query("h16_padded_motif", "with " + SEQS + "select doc_id, substr(repeat('N', 10) || q || repeat('N', 20), cast(doc_id % length(q) + 1 as bigint), 21) m from ss")
+def h16(s, d):
+    return contigs(s, d).select("doc_id", S.padded_motif(F.col("seq"), F.col("doc_id") % F.length("seq"), 10).alias("m"))
+
+
+@query("h17_protein", "with " + SEQS + f", c as (select doc_id, i, substr(q, cast(i * 3 + 1 as bigint), 3) k from ss, range(20) t(i) where i < length(q) // 3), a as (select doc_id, i, {amino_sql('k')} x from c) select doc_id, string_agg(case when x = '*' then 'STOP' else x end, '' order by i) protein from a group by 1")
+def h17p(s, d):
+    return contigs(s, d).where("length(seq) >= 3").select("doc_id", S.protein_text(F.substring("seq", 1, 60)).alias("protein"))
+
+
+@query("h30_mark_site", f"select annotation_id, substr(m, 1, 10) || '[' || substr(m, 11, 1) || ']' || substr(m, 12) r from ({ANN}) where length(m) = 21")
+def h30(s, d):
+    return ann(s, d).where("length(m) = 21").select("annotation_id", S.mark_site(F.col("m"), 10).alias("r"))
+
+
+@query("h31_builtin_names", "select name, case when regexp_full_match(name, '[1-9][0-9]?|X|Y') then 'chr' || name when name = 'MT' then 'chrM' else name end renamed from contig")
+def h31(s, d):
+    return O.rename_chromosomes(table(s, d, "contig").select("name", F.col("name").alias("renamed")), "renamed", tables.builtin_names(s, "E2U"))
+
+
+@query("h32_transcript_level", "select annotation_id, cast(case when t = 'Ensembl_canonical' then 0 when upper(split_part(l, ' ', 1)) in ('NA', 'NAN') then 6 else coalesce(try_cast(split_part(l, ' ', 1) as bigint), 10) end as bigint) lv from (select annotation_id, case when annotation_id % 7 = 0 then 'Ensembl_canonical' when annotation_id % 7 < 3 then 'basic' end t, case annotation_id % 5 when 0 then 'NA' when 1 then '1 (assigned to previous version 2)' when 2 then '5' when 3 then 'x' end l from annotation)")
+def h32(s, d):
+    n = F.col("annotation_id")
+    tag = F.when(n % 7 == 0, "Ensembl_canonical").when(n % 7 < 3, "basic")
+    sup = F.when(n % 5 == 0, "NA").when(n % 5 == 1, "1 (assigned to previous version 2)").when(n % 5 == 2, "5").when(n % 5 == 3, "x")
+    return table(s, d, "annotation").select("annotation_id", E.transcript_level(tag, sup).cast("long").alias("lv"))
+
+
+@query("h33_rank", "select gene_id, transcript_id, cast(case when m = 0 then 0 when m = 1 then 0 when m = 2 then 1 else 4 end as bigint) a, cast(case when m = 0 then 1 when m = 1 then 2 when m = 2 then l % 5 + 1 else case when l >= 100000 then 100001 else 100100 - l end end as bigint) b from (select gene_id, transcript_id, max(transcript_length) l, max(transcript_length) % 4 m from ex group by 1, 2)".join([BASE, ""]))
+def h33(s, d):
+    t = exons(s, d).groupBy("gene_id", "transcript_id").agg(F.max("transcript_length").alias("l")).withColumn("m", F.col("l") % 4)
+    tag = F.when(F.col("m") == 0, "x; Ensembl_canonical").when(F.col("m") == 1, "basic")
+    sup = F.when(F.col("m") == 2, (F.col("l") % 5 + 1).cast("string"))
+    return t.withColumn("r", N.rank_transcript(tag, sup, F.col("transcript_id"), F.col("l"))).select("gene_id", "transcript_id", "r.a", "r.b")
+
+
+@query("h43_rates", BASE + ", c as (select chrom, count(*) n, sum(case when strand = '+' then 1 else 0 end) p from si group by 1) select chrom, round(p / n, 6) rate from c")
+def h43(s, d):
+    c = sites(s, d).groupBy("chrom").agg(F.count("*").alias("n"), F.count_if(F.col("strand") == "+").alias("p"))
+    return c.select("chrom", F.round(Q.rate(F.col("p"), F.col("n")), 6).alias("rate"))
+
+
+@query("h50_spliced_spans", BASE + "select gene_id, transcript_id, string_agg(cast(start_offset + 1 as varchar) || '-' || cast(end_offset as varchar), ',' order by start_offset) spans from ex group by 1, 2")
+def h50(s, d):
+    x = F.struct("start_offset", F.concat((F.col("start_offset") + 1).cast("string"), F.lit("-"), F.col("end_offset").cast("string")).alias("s"))
+    return exons(s, d).groupBy("gene_id", "transcript_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(x)), lambda v: v["s"]), ",").alias("spans"))
+
+
+@query("h52_canonical_tag", BASE + "select ord, case when tag is null or tag = '' then 'Ensembl_canonical' when tag = 'Ensembl_canonical' then tag else tag || '; Ensembl_canonical' end tag from fr")
+def h52(s, d):
+    return gtf_rows(s, d).select("ord", N.with_canonical_tag(F.col("tag")).alias("tag"))
+
+
+@query("h55_to_rna", f"select annotation_id, replace(m, 'T', 'U') r from ({ANN})")
+def h55(s, d):
+    return ann(s, d).select("annotation_id", S.to_rna(F.col("m")).alias("r"))
+
+
+@query("d11_region_ratios", BASE + ", f as (select transcript_id, feature, sum(\"end\" - start + 1) n from fr where feature in ('exon', 'CDS', 'start_codon') and transcript_id is not null and start <= \"end\" group by 1, 2), m as (select feature, median(n) m from f group by 1) select feature \"type\", round(m / (select sum(m) from m), 6) ratio from m")
+def d11(s, d):
+    f = gtf_rows(s, d).where("feature in ('exon', 'CDS', 'start_codon') and transcript_id is not null and start <= end").select(F.col("transcript_id").alias("transcript"), F.col("feature").alias("type"), (F.col("end") - F.col("start") + 1).alias("len_of_window"))
+    return M.region_ratios(f).select("type", F.round("ratio", 6).alias("ratio"))
+
+
+@query("d20_sense", BASE + ", g as (select gene_id, chrom, strand, min(e_start) a, max(e_end) b from ex group by 1, 2, 3), r as (select \"read\", max(case when strand = '+' then 1 else 0 end) p, max(case when strand = '-' then 1 else 0 end) m from bl join g on bl.chrom = g.chrom and b_start < b and a < b_end group by 1) select count(case when p = 1 and m = 0 then 1 end) sense, count(case when p = 0 and m = 1 then 1 end) antisense, count(case when p = 1 and m = 1 then 1 end) both_strands from r")
+def d20(s, d):
+    g = exons(s, d).groupBy("gene_id", "chrom", "strand").agg(F.min("e_start").alias("g_start"), F.max("e_end").alias("g_end"))
+    hit = I.overlap_pairs(blocks(s, d), g, ["chrom"], ("b_start", "b_end"), ("g_start", "g_end"), ["read"])
+    r = hit.groupBy("read").agg(F.bool_or(F.col("strand") == "+").alias("p"), F.bool_or(F.col("strand") == "-").alias("m"))
+    return r.agg(F.count_if(F.expr("p and not m")).alias("sense"), F.count_if(F.expr("m and not p")).alias("antisense"), F.count_if(F.expr("p and m")).alias("both_strands"))
+
+
+@query("d22_genes_detected", BASE + ", c as (select gene_id from un where \"read\" % 5 <> 0 group by 1 having count(*) >= 5) select count(*) genes from c")
+def d22(s, d):
+    b, p = cover(s, d)
+    u = Q.unambiguous(p, b).withColumn("duplicate", F.col("read") % 5 == 0)
+    return u.groupBy("gene_id").agg(F.count_if(~F.col("duplicate")).alias("n")).where("n >= 5").agg(F.count("*").alias("genes"))
+
+
+@query("d37_summary", BASE + ", p as (select feature_type, transcript_start x from mr where feature_type <> 'None') select feature_type, count(*) n, round(avg(x), 4) mean, median(x) median, cast(min(x) as bigint) least, cast(max(x) as bigint) greatest from p group by 1")
+def d37(s, d):
+    p = with_region(mapped(s, d)).where("feature_type <> 'None'").withColumn("feature_pos", F.col("transcript_start"))
+    return M.summary(p).withColumn("mean", F.round("mean", 4))
+
+
+@query("d38_conflicts", BASE + "select gene_id, transcript_id from pr where transcript_id is not null group by 1, 2 having count(distinct nullif(seqname, '')) > 1 or count(distinct nullif(strand, '')) > 1 or count(distinct nullif(gene_name, '')) > 1")
+def d38(s, d):
+    return N.conflicting_transcripts(pruned(s, d).where("transcript_id is not null"), ["seqname", "strand", "gene_name"])
+
+
+@query("d31_bounding_boxes", BASE + "select gene_id, transcript_id, chrom, strand, lo, hi from tx")
+def d31(s, d):
+    return A.transcripts(exons(s, d)).select("gene_id", "transcript_id", "chrom", "strand", "lo", "hi")
+
+
+@query("c14_point_distance", BASE + ", r as (select transcript_id, min(start_codon_pos) p from bx group by 1) select site_id, gene_id, ma.transcript_id, transcript_start - p distance from ma join r on r.transcript_id = ma.transcript_id where p is not null and transcript_start - p between -200 and 800")
+def c14(s, d):
+    e = exons(s, d)
+    best = e.join(E.best_transcripts(e).select("transcript_id").distinct(), "transcript_id", "left_semi")
+    return M.with_distance(mapped(s, d), best, "start_codon").where("distance between -200 and 800").select("site_id", "gene_id", "transcript_id", "distance")
+
+
+@query("c21_rejected_rows", BASE + """, a as (select gene_id from pr group by 1 having count(distinct seqname) > 1 or count(distinct strand) > 1 or sum(case when feature = 'gene' then 1 else 0 end) > 1),
+    b as (select gene_id from pr where transcript_id is not null group by gene_id, transcript_id having sum(case when feature = 'transcript' then 1 else 0 end) > 1 or min(start) < min(case when feature = 'transcript' then start end) or max("end") > max(case when feature = 'transcript' then "end" end)) select ord from pr where gene_id in (select gene_id from a union select gene_id from b)""")
+def c21(s, d):
+    p = pruned(s, d)
+    return N.without_genes(p, N.inconsistent_genes(p))[1].select("ord")
+
+
+@query("b14_score_matrix", "with " + MOTIFS + ", p as (select i position, substr(replace(motif, 'T', 'U'), cast(i + 1 as bigint), 1) base, w from mo, range(21) r(i)) select cast(position as int) position, coalesce(sum(case when base = 'A' then w end), 0) \"A\", coalesce(sum(case when base = 'C' then w end), 0) \"C\", coalesce(sum(case when base = 'G' then w end), 0) \"G\", 0.0::double \"T\", coalesce(sum(case when base = 'U' then w end), 0) \"U\" from p group by 1")
+def b14(s, d):
+    return O.score_matrix(O.motif_scores(motifs(s, d))).select("position", "A", "C", "G", "T", "U")
+
+
+@query("b08_text_table", "select annotation_id, coalesce(region, '') region, coalesce(cast(gene_pos as varchar), '') gene_pos, coalesce(codon_ref, '') codon_ref from annotation".replace("select annotation_id", "select cast(annotation_id as varchar) annotation_id"))
+def b08(s, d):
+    return A.for_text(table(s, d, "annotation").select("annotation_id", "region", "gene_pos", "codon_ref"))
+
+
+@query("b09_effect_names", "select cast(annotation_id as varchar) annotation_id, coalesce(mut_type, 'None') mut_type from annotation")
+def b09(s, d):
+    return A.for_text(table(s, d, "annotation").select("annotation_id", "mut_type"), "None")
+
+
+@query("a19_alias_names", "select upper(trim(alias)) k, name from chrom_alias")
+def a19(s, d):
+    return table(s, d, "chrom_alias").select(norm("alias").alias("k"), "name")
+
+
+@query("a11_annotation_exons", BASE + ", sp as (select gene_id, transcript_id, min(chrom) chrom, min(strand) strand from ex group by 1, 2) select e.gene_id, e.transcript_id, sp.chrom, sp.strand, e_start, e_end, start_offset \"offset\" from ex e join sp on sp.gene_id = e.gene_id and sp.transcript_id = e.transcript_id")
+def a11(s, d):
+    return exported(s, d).select("gene_id", "transcript_id", "chrom", "strand", "e_start", "e_end", "offset")
+
+
+@query("a14_alleles", f"select annotation_id, case when u in ('N', '-', '') then u when annotation_id % 2 = 0 then reverse(case when regexp_full_match(u, '[ACGTUMRWSYKVHDBN.-]*') then translate(u, 'ACGTUMRWSYKVHDBN.-', 'TGCAAKYWSRMBDHVN.-') else u end) else u end \"ref\" from (select annotation_id, upper(c) u from ({ANN}) where c is not null)")
+def a14(s, d):
+    a = ann(s, d).where("c is not null").withColumn("ref", F.lower("c")).withColumn("alt", F.col("c")).withColumn("strand", F.when(F.col("annotation_id") % 2 == 0, "-").otherwise("+"))
+    return A.alleles(a, True).select("annotation_id", "ref")
+
+
+@query("b02_spliced_sequences", "with " + SEQS + ", e as (select doc_id, q, length(q) n from ss where length(q) >= 60) select cast(doc_id as varchar) transcript_id, case when doc_id % 2 = 0 then reverse(translate(substr(q, 11, 20) || substr(q, 41, 15), 'ACGT', 'TGCA')) else substr(q, 11, 20) || substr(q, 41, 15) end spliced from e")
+def b02(s, d):
+    c = contigs(s, d).where("length(seq) >= 60")
+    e = c.select("doc_id", "chrom", F.explode(F.array(F.struct(F.lit(10).cast("long").alias("e_start"), F.lit(30).cast("long").alias("e_end")), F.struct(F.lit(40).cast("long").alias("e_start"), F.lit(55).cast("long").alias("e_end")))).alias("x")).select(F.col("chrom").alias("gene_id"), F.col("chrom").alias("transcript_id"), "chrom", F.when(F.col("doc_id") % 2 == 0, "-").otherwise("+").alias("strand"), "x.*")
+    o = E.with_offsets(e).withColumn("r", F.concat_ws("/", "transcript_id", "e_start"))
+    chunks = tables.chunked(c.select("chrom", F.lit(0).cast("long").alias("at"), "seq"), 256)
+    return A.spliced(o, tables.fetch(chunks, o, "r", "e_start", "e_end", 256)).select("transcript_id", "spliced")
+
+
+@query("j08_effects")
+def j08(s, d):
+    v = sites(s, d).withColumn("ref", F.lit("A")).withColumn("alt", F.lit("G"))
+    return A.as_effects(A.annotate(v, exons(s, d), exon_only=True)).select("site_id", "mut_type", "gene_name", "transcript_name", "transcript_pos", "distance2splice")
+
+
+@query("j05_best_features")
+def j05(s, d):
+    f = gtf_rows(s, d).where("feature in ('exon', 'CDS') and start <= end").select(F.col("seqname").alias("chrom"), F.col("strand").alias("f_strand"), (F.col("start") - 1).alias("f_start"), F.col("end").alias("f_end"), F.col("ord").alias("feature_idx"), F.col("transcript_id").alias("transcript"), F.col("feature").alias("type"))
+    return M.annotate_with_features(spans(s, d), f, "site_id").select("site_id", "transcript", "type", "overlap", F.round("relative", 6).alias("relative"))
+
+
+@query("j13_qc_metrics")
+def j13(s, d):
+    r = table(s, d, "annotation").where("pos is not null and chrom is not null").dropDuplicates(["annotation_id"])
+    cigar = F.when(F.col("annotation_id") % 3 == 0, F.concat(F.lit("20M"), (F.col("annotation_id") % 500).cast("string"), F.lit("N30M"))).otherwise("50M")
+    reads = r.select(F.col("annotation_id").alias("ord"), F.concat(F.lit("q"), F.col("annotation_id").cast("string")).alias("qname"), F.when(F.col("annotation_id") % 5 == 0, 1024).otherwise(0).alias("flag"), F.col("chrom").alias("rname"), (F.col("pos") - 1).alias("pos"), F.lit(255).alias("mapq"), cigar.alias("cigar"), F.lit("*").alias("rnext"), F.lit(-1).cast("long").alias("pnext"), F.lit(0).cast("long").alias("tlen"), F.lit("A" * 50).alias("seq"), F.lit("I" * 50).alias("qual"), F.create_map(F.lit("NM"), F.lit("i:0")).alias("tags"))
+    rows = pruned(s, d).withColumnRenamed("seqname", "chrom").withColumn("start", F.col("start") - 1)
+    return Q.metrics(reads, rows, unpaired=True)[0].select("no", "statistic", F.round("value", 6).alias("value"))

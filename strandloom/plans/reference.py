@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.sources.gtf import first_value, format_attributes
+from strandloom.sources.gtf import format_attributes, with_values
 
 ATTRIBUTES = ("gene_id", "transcript_id", "gene_name", "gene_biotype", "exon_number", "tag", "transcript_support_level")
 
@@ -42,9 +42,7 @@ def exon_reference(rows: DataFrame) -> DataFrame:
 
     The first value of an attribute counts. A codon outside its transcript's exons gives null.
     """
-    picked = rows.where(F.col("feature").isin("exon", "start_codon", "stop_codon")).select(
-        F.col("seqname").alias("chrom"), "feature", (F.col("start") - 1).alias("start"), F.col("end"), "strand", *[first_value(F.col("attributes"), a).alias(a) for a in ATTRIBUTES]
-    )
+    picked = with_values(rows.where(F.col("feature").isin("exon", "start_codon", "stop_codon")).select(F.col("seqname").alias("chrom"), "feature", (F.col("start") - 1).alias("start"), "end", "strand", "attributes"), "attributes", ATTRIBUTES).drop("attributes")
     exons = picked.where("feature = 'exon'").withColumnRenamed("start", "e_start").withColumnRenamed("end", "e_end").withColumn("transcript_level", transcript_level(F.col("tag"), F.col("transcript_support_level"))).drop("feature", "tag", "transcript_support_level")
     exons = with_offsets(exons)
     codons = split_codons(picked)

@@ -29,6 +29,16 @@ def first_value(attributes: Column, key: str) -> Column:
     return F.get(F.filter(pairs(attributes), lambda x: x["key"] == key), F.lit(0))["value"]
 
 
+def with_values(df: DataFrame, attributes: str, keys: Sequence[str]) -> DataFrame:
+    """`df` with a column per key, its first value; the text is parsed once for all of them."""
+    parsed = df.withColumn("_pairs", pairs(F.col(attributes)))
+    return parsed.withColumns({k: F.get(F.filter("_pairs", _has(k)), F.lit(0))["value"] for k in keys}).drop("_pairs")
+
+
+def _has(key: str):
+    return lambda x: x["key"] == key
+
+
 def attribute_map(attributes: Column, gff: bool = False) -> Column:
     """Key to value; the values of a key that comes several times are joined by `; `."""
     got = pairs(attributes, gff)
