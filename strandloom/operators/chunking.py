@@ -69,10 +69,9 @@ def key_profiles(df: DataFrame, key: str, order: Sequence[str], label: Column, v
 def heavy_keys(df: DataFrame, key: str, share: float, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(key, rows): the non-null keys with at least `share` of all rows; null keys count among all rows."""
     chunks = chunk_counts(df, key, chunk_rows)
-    merged = chunks.groupBy(key).agg(F.sum("rows").alias("rows"))
-    # one row per key, and no partition but the totals goes to a single task
-    total = merged.agg(F.sum("rows").alias("_all"))
-    return merged.crossJoin(F.broadcast(total)).where(F.col(key).isNotNull() & (F.col("rows") >= F.col("_all") * share)).select(key, "rows")
+    merged = cut(chunks.groupBy(key).agg(F.sum("rows").alias("rows")))
+    total = merged.agg(F.sum("rows")).first()[0] or 0
+    return merged.where(F.col(key).isNotNull() & (F.col("rows") >= total * share)).select(key, "rows")
 
 
 def found(spark, sf: str) -> DataFrame:

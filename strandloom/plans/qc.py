@@ -111,15 +111,15 @@ def exon_doses(pairs: DataFrame, unamb: DataFrame, blocks: DataFrame) -> DataFra
 def tpm(counts: DataFrame) -> DataFrame:
     """counts (gene_id, reads, gene_length) with tpm; a length that is unknown or 0 counts as 1."""
     x = counts.withColumn("_x", F.col("reads") * 1000.0 / F.greatest(F.coalesce("gene_length", F.lit(1)), F.lit(1)))
-    total = x.agg(F.sum("_x").alias("_t"))
-    return x.crossJoin(F.broadcast(total)).withColumn("tpm", F.when(F.col("_t") > 0, F.col("_x") / F.col("_t") * 1e6).otherwise(0.0)).drop("_x", "_t")  # one total
+    total = x.agg(F.sum("_x")).first()[0]
+    return x.withColumn("tpm", F.col("_x") / F.lit(total) * 1e6 if total else F.lit(0.0)).drop("_x")
 
 
 def stats(df: DataFrame, column: str) -> DataFrame:
     """mean, median, population deviation, scaled median deviation and quartiles."""
-    mid = df.agg(F.percentile(column, 0.5).alias("_m"))
+    mid = df.agg(F.percentile(column, 0.5)).first()[0]
     x = F.col(column)
-    return df.crossJoin(F.broadcast(mid)).agg(F.avg(x).alias("mean"), F.percentile(x, 0.5).alias("median"), F.stddev_pop(x).alias("std"), (F.percentile(F.abs(x - F.col("_m")), 0.5) * 1.4826).alias("mad"), F.percentile(x, 0.25).alias("p25"), F.percentile(x, 0.75).alias("p75"))
+    return df.agg(F.avg(x).alias("mean"), F.percentile(x, 0.5).alias("median"), F.stddev_pop(x).alias("std"), (F.percentile(F.abs(x - F.lit(mid)), 0.5) * 1.4826).alias("mad"), F.percentile(x, 0.25).alias("p25"), F.percentile(x, 0.75).alias("p75"))
 
 
 def non_globin(unamb: DataFrame, genes: DataFrame, reads: DataFrame) -> DataFrame:

@@ -64,8 +64,8 @@ def read_gtf(spark: SparkSession, path: str, gff: bool | None = None, names: Dat
     matches. A file is read whole by Spark's text source; the place is the text offset order within the file.
     """
     text = spark.read.text(path).withColumn("_ord", F.monotonically_increasing_id())
-    stop = text.where(F.col("value").startswith("##FASTA")).agg(F.min("_ord").alias("_stop"))
-    kept = text.crossJoin(F.broadcast(stop)).where(F.col("_stop").isNull() | (F.col("_ord") < F.col("_stop"))).drop("_stop")  # one row
+    stop = text.where(F.col("value").startswith("##FASTA")).agg(F.min("_ord")).first()[0]
+    kept = text if stop is None else text.where(F.col("_ord") < stop)
     rows = parse_lines(kept, gff=is_gff(path) if gff is None else gff).drop("value")
     if names is not None:
         rows = rows.join(names.select(F.col("old").alias("seqname"), "new"), "seqname", "left").withColumn("seqname", F.coalesce("new", "seqname")).drop("new")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandloom.runtime import cut
+
 REQUIRED = ("chromosome", "start", "end", "strand", "gene_id", "transcript_id", "start_exon", "end_exon", "transcript_length")
 # The chromosome names of the two common styles.
 U2E = {**{f"chr{i}": str(i) for i in range(1, 100)}, "chrX": "X", "chrY": "Y", "chrM": "MT"}
@@ -100,11 +102,24 @@ def read_fasta(spark: SparkSession, path: str, chunk: int = 65536) -> DataFrame:
 
     The lines are split over tasks; a running length over the lines of a record places each of them.
     """
-    lines = with_record_id(spark.read.text(path), "_no").where(F.trim("value") != "")
-    heads = F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>(\S+)", 1))
-    named = lines.withColumn("_head", heads).withColumn("chrom", F.last("_head", ignorenulls=True).over(Window.orderBy("_no").rowsBetween(Window.unboundedPreceding, 0))).where("_head is null and chrom is not null")
-    placed = named.withColumn("_at", F.sum(F.length("value")).over(Window.partitionBy("chrom").orderBy("_no").rowsBetween(Window.unboundedPreceding, 0)) - F.length("value"))
-    return chunked(placed.select("chrom", F.col("_at").alias("at"), F.col("value").alias("seq")), chunk)
+    text = spark.read.text(path).withColumn("_part", F.spark_partition_id()).withColumn("_no", F.monotonically_increasing_id())
+    lines = text.where(F.trim("value") != "").withColumn("_head", F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>(\S+)", 1)))
+    named = fill_down(lines, "_head", "_no").withColumnRenamed("_filled", "chrom").where("_head is null and chrom is not null")
+    size = F.length("value")
+    local = F.sum(size).over(Window.partitionBy("_part", "chrom").orderBy("_no").rowsBetween(Window.unboundedPreceding, 0)) - size
+    sums = named.groupBy(F.col("_part").alias("_p"), F.col("chrom").alias("_c")).agg(F.sum(size).alias("_n"))
+    before = sums.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("_c").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    placed = named.withColumn("_local", local).join(before, (F.col("_part") == F.col("_p")) & (F.col("chrom") == F.col("_c")))
+    return chunked(placed.select("chrom", (F.col("_local") + F.col("_before")).alias("at"), F.col("value").alias("seq")), chunk)
+
+
+def fill_down(df: DataFrame, column: str, order: str) -> DataFrame:
+    """Adds `_filled`: the last non-null value of `column` up to each row. `df` has `_part`, the input partition, whose
+    rows are consecutive in `order`; only one value per partition is carried over to the next ones."""
+    tails = df.groupBy("_part").agg(F.max_by(column, F.when(F.col(column).isNotNull(), F.col(order))).alias("_tail"))
+    carry = tails.select("_part", F.last("_tail", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    local = F.last(column, ignorenulls=True).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("_local", local).join(carry, "_part", "left").withColumn("_filled", F.coalesce("_local", "_carry")).drop("_local", "_carry")
 
 
 def chunked(parts: DataFrame, chunk: int) -> DataFrame:
@@ -131,10 +146,11 @@ def rename_fasta(lines: DataFrame, names: DataFrame | None = None, search: str |
     """FASTA lines (no, value) with renamed headers, sequences whose new name doesn't match left out."""
     head = lines.withColumn("_old", F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>(\S+)", 1)))
     if names is not None:
-        head = head.join(F.broadcast(names.withColumnRenamed("old", "_old")), "_old", "left").withColumn("_new", F.coalesce("new", "_old")).drop("new")
+        head = head.join(names.withColumnRenamed("old", "_old"), "_old", "left").withColumn("_new", F.coalesce("new", "_old")).drop("new")
     else:
         head = head.withColumn("_new", F.col("_old"))
-    at = head.withColumn("chrom", F.last("_new", ignorenulls=True).over(Window.orderBy("no").rowsBetween(Window.unboundedPreceding, 0)))
+    ranged = cut(head.repartitionByRange("no").withColumn("_part", F.spark_partition_id()))
+    at = fill_down(ranged, "_new", "no").withColumnRenamed("_filled", "chrom")
     at = at.where(F.col("chrom").rlike(search)) if search else at
     return at.select("no", F.when(F.col("_old").isNotNull(), F.concat(F.lit(">"), "_new")).otherwise(F.col("value")).alias("value"), "chrom")
 

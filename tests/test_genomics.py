@@ -354,6 +354,14 @@ def test_sources(spark, rows, tmp_path):
     chunks = tables.read_fasta(spark, str(f), 100)
     assert "".join(r["seq"] for r in chunks.where("chrom = 'chr1'").orderBy("chunk").collect()) == GENOME
     assert rows(chunks.where("chrom = 'chr2'"), "seq") == [("ACGT",)]
+    f.write_text("\n".join(f">c{i}\n" + "\n".join("ACGTACGTAC"[: 1 + (i + k) % 10] for k in range(i % 7)) for i in range(300)) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    many = {r["chrom"]: r["seq"] for r in tables.read_fasta(spark, str(f), 1000).collect()}
+    assert many == {f"c{i}": "".join("ACGTACGTAC"[: 1 + (i + k) % 10] for k in range(i % 7)) for i in range(300) if i % 7}
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    lines = spark.createDataFrame([(0, ">a x"), (1, "AC"), (2, "GT"), (3, ">b"), (4, "TT")], "no long, value string").repartition(3)
+    renamed = tables.rename_fasta(lines, spark.createDataFrame([("a", "chrA")], "old string, new string"), "^chr")
+    assert rows(renamed, "no", "value") == [(0, ">chrA"), (1, "AC"), (2, "GT")]
     mo = tmp_path / "m.txt"
     mo.write_text("# c\nACG\t2\nACT\nAAA\tx\n")
     assert rows(tables.read_motifs(spark, str(mo)), "motif", "weight") == [("AAA", 1.0), ("ACG", 2.0), ("ACT", 1.0)]
