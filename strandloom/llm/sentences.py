@@ -114,7 +114,7 @@ class Splitter:
         self.opening = c(r"(?:<[A-Za-z][^<>]{0,40}>|\[[A-Za-z][^\[\]]{0,40}\]|&lt;[A-Za-z]+&gt;|\d{1,3}[.)](?=\s)|[\s(（\[【—–>•*-])*")
         self.tables: dict[str, list] = {}
         self.speech = c(rf"[\s,]*(?:\p{{L}}\S*\s+){{1,2}}(?:{SPEECH})\b")
-        self.joiner = c(rf"\s*(?:[,，、;:]|(?:{JOINERS}|{SPEECH})\b)")
+        self.joiner = c(rf"\s*(?:[,，、;:]|&amp;|&(?=\s)|(?:{JOINERS}|{SPEECH})\b)")
         self.capital = c(r"\s*[^\p{L}\p{N}]*\p{Lu}")
         self.said = c(r"(?:と|って)")
         self.glued = c(r"(?:&lt;[A-Za-z]+&gt;|<[A-Za-z][^<>]*>|\[[A-Za-z][^\]]*\]|[\"'“„«¿¡(\[])*\p{Lu}")

@@ -123,6 +123,7 @@ MARKED = [
     ("en", '¶A. Lunte and K. L. Quessa found the same.¶\n¶1. Who wrote "never trust a BAM"?¶\n¶2. It isn\'t our splice set, it\'s x1.fa.¶'),
     ("en", '> ¶Well... the old reference counts duplicates twice, and exonix is no better.¶ ¶&quot;Oh no... not again!&quot; cried Zimo.¶ ¶Thanks Oskin!!¶\n>\n¶No.¶  ¶Thanks Mirel!! :)¶ ¶We keep exons, introns, UTRs, etc.¶ ¶Does anyone know?¶'),
     ("en", '¶Zimo wrote: "Stop at pos. 183. Then restart." and left.¶ ¶The cutoff was 4.280.¶ ¶“It crashed again!” was all Peyla wrote.¶ ¶I waited and waited...¶ ¶Same here.¶'),
+    ("en", "¶Corvie wrote: &quot;Stop at pos. 91. Then restart.&quot; &amp; left.¶ ¶I waited and waited...¶ ¶[b]Thanks![/b]¶"),
     ("en", "¶'Not my fault,' said Peyla. 🧬¶ ¶no. 466 in the list is wrong.¶ ¶(This is only true if the index fails.)¶ ¶The ratio (ca. 10.8) is too high.¶"),
     ("en", "¶It lacks the stop codon.¶¶Ask at https://forum.example/t/12?p=2.¶ ¶It's 12.9 s per read, max. 87 s.¶ ¶Visit http://docs.spancut.example/v7.1/index.html now!!!¶"),
     ("de", "¶Wir zählen Exons, Introns usw.¶ ¶Am 3. Mai lief es noch.¶ ¶Im 2. Lauf hat exonix 3.19 307 Stellen gefunden.¶ ¶Lunte schrieb: „Erst sortieren. Dann zählen.“¶ ¶Warum?¶ ¶»So nicht«, meinte Ashke.¶ ¶Das gilt z. B. für x1.fa.¶ ¶Wir nutzen ca. 11,98 GB, d. h. zu viel.¶"),
