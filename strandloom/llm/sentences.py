@@ -84,7 +84,7 @@ COMMON = [
 #: The last rules of the cascade.
 DEFAULT = [(True, "", "")]
 
-EMOTICON = r"(?:[:;=][-']?[)(DPp/\\|\]\[](?![\p{L}\p{N}/])|\^\^|\(\^_\^\)|<3|[\p{Emoji_Presentation}\p{So}\p{Emoji_Modifier}‍️♀♂]+)"
+EMOTICON = r"(?:[:;=][-']?[)(|]|[:;=]-[/\\\]\[]|[:=][/\\](?!/)|[:;=][-']?[DPp](?![\p{L}\p{N}])|\^\^|\(\^_\^\)|<3|[\p{Emoji_Presentation}\p{So}\p{Emoji_Modifier}‍️♀♂]+)"
 CLOSING_TAG = r"(?:</[A-Za-z][^<>\n]{0,40}>|\[/[A-Za-z]+\]|&lt;/[A-Za-z]+&gt;|<br\s?/?>|&lt;br\s?/?&gt;)"
 ENTITY = r"&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z]+);"
 PAIRS = {"“": "”", "„": "“”", "«": "»", "»": "«", "「": "」", "『": "』", "‹": "›", "‚": "‘’", "‘": "’"}
@@ -105,7 +105,7 @@ class Splitter:
         self.lines = c(r"[^\r\n\x0b\x0c\x85  ]+")
         self.prefix = c(r"(?:[\s﻿]|>|[•*‣◦▪●○·–-](?=\s))*")
         self.word = c(r"[\p{L}\p{N}]")
-        self.marks = c(r"[.!?…。！？｡।॥؟۔।;;…]+")
+        self.marks = c(r"[.!?…。！？｡।॥؟۔\u037e]+|;+(?!-?[)(])")
         self.close = c(rf"(?:\s*(?:{EMOTICON})|\s*{CLOSING_TAG}|&quot;|[\"'”’»“«‘」』）)\]】›])")
         self.thai = c(rf"(?<=[฀-๿])(?:\s*(?:{EMOTICON}|{CLOSING_TAG}))*(?=\s+[฀-๿])")
         self.entity = c(ENTITY)

@@ -132,7 +132,7 @@ MARKED = [
     ("ru", "¶В 2023 г. было 208 тыс. сайтов.¶ ¶Мы взяли RiboFold, siteview и т. д.¶ ¶А. К. Мирель получил то же самое.¶ ¶«Оно вообще работает?» — спросил Тован.¶ ¶См. рис. 260 в x1.fa.¶"),
     ("el", "¶Γιατί ο πίνακας αποτυγχάνει;¶ ¶Ο κ. Μίρελ λέει ναι.¶ ¶«Δουλεύει;» ρώτησε η Άσκε.¶ ¶Δοκιμάστε π.χ. το x1.fa.¶"),
     ("ja", "¶えっと……索引は正常に見えます。¶¶「もう終わった。」とアシュケさんは書いた。¶¶トバンさんは「動きますか？」と聞いた。¶ ¶（この注釈がとても遅いです。）¶¶本当ですか！？¶"),
-    ("zh", "¶阿什说：“先排序。再计数。”¶¶阈值是28.229。:-/¶¶“可以跑吗？”阿什问。¶¶地址是www.liftpad.example。¶"),
+    ("zh", "¶阿什说：“先排序。再计数。”¶¶阈值是28.229。:-/¶¶“可以跑吗？”阿什问。¶¶地址是www.liftpad.example。;-)¶¶真的吗？！:)¶¶谢谢！:-/¶¶Orfly 2.1版太慢了。¶"),
     ("hi", '¶कृपया tmp.2.log देखें॥¶ ¶सीमा 25.1 है।¶ ¶"क्या यह चलता है?" तोवान ने पूछा।¶ ¶डॉ. मिरेल ने कहा।¶'),
     ("ar", "¶لماذا هذا الشرح يفشل؟¶ ¶«هل يعمل؟» سأل ميريل.¶ ¶قال د. ميريل ذلك.¶"),
     ("th", "¶ค่าที่ใช้คือ 10.7 เท่านั้น¶ ¶ขอบคุณมากครับ¶ ¶เราใช้ gapwalk 2.2.0 กับ 123 ตัวอย่าง¶"),
