@@ -52,8 +52,8 @@ def translate_codon(codon: Column) -> Column:
 
 def protein_text(cds: Column) -> Column:
     """The translation of whole codons, joined: a stop takes four letters, an unknown codon gives X."""
-    n = (F.length(cds) / 3).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.when(i < n, F.coalesce(translate_codon(cds.substr(i * 3 + 1, F.lit(3))), F.lit("X"))).otherwise(""))
+    # cut by a pattern: substr would look for each codon from the start of the text
+    parts = F.transform(F.regexp_extract_all(cds, F.lit("(?s)..."), F.lit(0)), lambda k: F.coalesce(translate_codon(k), F.lit("X")))
     return F.array_join(parts, "")
 
 

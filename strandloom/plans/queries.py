@@ -772,7 +772,7 @@ def h16(s, d):
 
 @query("h17_protein", "with " + SEQS + f", c as (select doc_id, i, substr(q, cast(i * 3 + 1 as bigint), 3) k from ss, range(20) t(i) where i < length(q) // 3), a as (select doc_id, i, {amino_sql('k')} x from c) select doc_id, string_agg(case when x = '*' then 'STOP' else x end, '' order by i) protein from a group by 1")
 def h17p(s, d):
-    return contigs(s, d).where("length(seq) >= 3").select("doc_id", S.protein_text(F.substring("seq", 1, 60)).alias("protein"))
+    return contigs(s, d).where("length(seq) >= 3").select("doc_id", S.protein_text(F.col("seq")).alias("protein"))
 
 
 @query("h30_mark_site", f"select annotation_id, substr(m, 1, 10) || '[' || substr(m, 11, 1) || ']' || substr(m, 12) r from ({ANN}) where length(m) = 21")

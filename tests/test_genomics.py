@@ -18,6 +18,7 @@ from strandloom.plans import liftover as L
 from strandloom.plans import metagene as M
 from strandloom.plans import motifs as O
 from strandloom.plans import qc as Q
+from strandloom.plans import queries as Q_
 from strandloom.plans import reference as E
 from strandloom.plans import refine as N
 from strandloom.sources import gtf, reads, tables
@@ -154,6 +155,19 @@ def test_sequences(spark):
     assert one(S.padded_motif(F.lit("ACGT"), F.lit(0), 2)) == "NNACG" and one(S.mark_site(F.lit("AACGG"), 2)) == "AA[C]GG"
 
 
+def test_protein_whole_text(spark, tmp_path):
+    texts = ["ab", "abc", "The quick brown fox! " * 40, None, "x" * 5000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {}
+    for i, text in enumerate(texts):
+        s = "".join("ACGT"[(ord(a) - 97) % 4] for a in (text or "").lower() if "a" <= a <= "z")
+        if len(s) >= 3:
+            want[i] = "".join(S.codons()[s[k : k + 3].replace("T", "U")] for k in range(0, len(s) // 3 * 3, 3))
+    assert {r["doc_id"]: r["protein"] for r in Q_.QUERIES["h17_protein"](spark, str(tmp_path)).collect()} == want
+    one = lambda x: spark.range(1).select(S.protein_text(F.lit(x))).first()[0]
+    assert one("") == "" and one("AT") == "" and one("ATGN\nCAT") == "MX" and one("augtaa") == "MSTOP"
+
+
 def test_motifs(spark):
     chunks = tables.chunked(spark.createDataFrame([("chr1", 0, GENOME)], "chrom string, at long, seq string"), 50)
     lengths = spark.createDataFrame([("chr1", len(GENOME))], "chrom string, length long")
