@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,13 +89,22 @@ def merge_top(runs: Sequence[Sequence[tuple]], n: int) -> Iterator[tuple]:
 
 
 def _cut_runs(n: int):
-    """Of a sorted run, the first n rows of each group: all that any later merge can need."""
+    """Of a sorted run, the first n different rows of each group: all that any later merge can need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, seen = object(), 0
+        group, seen, last = object(), 0, None
         for b in batches:
+            if not b.num_rows:
+                continue
+            # equal rows lie side by side, also over the end of a batch; no column has nulls
+            first = [c[0].as_py() for c in b.columns[1:]]
+            pairs = [pc.equal(c.slice(1), c.slice(0, b.num_rows - 1)) for c in b.columns[1:]]
+            again = [first == last, *reduce(pc.and_, pairs).to_pylist()]
+            last = [c[b.num_rows - 1].as_py() for c in b.columns[1:]]
             keep = []
-            for i, g in enumerate(b.column(1).to_pylist()):
+            for i, (g, repeat) in enumerate(zip(b.column(1).to_pylist(), again, strict=True)):
+                if repeat:
+                    continue
                 if g != group:
                     group, seen = g, 0
                 seen += 1
@@ -141,7 +152,7 @@ def top_items(df: DataFrame, group: str, item: str, keys: Sequence[Column], n: i
     keys go to the smaller item, so the result doesn't depend on the partitioning. Groups with fewer items
     give what they have.
 
-    Every input partition is sorted into a run and cut to n rows per group, so that however many items a
+    Every input partition is sorted into a run and cut to n different rows per group, so that however many items a
     group has, at most n per run are shuffled. The runs meet in buckets of whole groups, where a loser tree
     merges them and seeks the next group after n outputs.
     """

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,6 +167,16 @@ def test_top_items(spark, rows):
         toprank.top_items(df, "g", "i", [F.col("a")], 0)
 
 
+def test_top_items_repeats_in_one_run(spark, rows):
+    data = [("g", "A", 1)] * 3 + [("g", "B", 2), ("h", "C", 1), ("h", "C", 1), ("h", "D", None), ("h", "D", None), ("h", "E", 3)]
+    df = spark.createDataFrame(data, "g string, i string, a int").coalesce(1)
+    assert rows(toprank.top_items(df, "g", "i", [F.col("a")], 3)) == [("g", "A", 1), ("g", "B", 2), ("h", "C", 1), ("h", "D", 3), ("h", "E", 2)]
+    assert rows(toprank.top_items(df, "g", "i", [F.col("a")], 1)) == [("g", "A", 1), ("h", "C", 1)]
+    # repeats over the end of a batch
+    sizes = [pa.RecordBatch.from_pydict({"_run": [0] * len(x), "_g": ["g"] * len(x), "_i": x}) for x in (["A", "A"], [], ["A", "A", "B"], ["B"], ["C", "D"])]
+    assert [i for b in toprank._cut_runs(3)(iter(sizes)) for i in b.column(2).to_pylist()] == ["A", "B", "C"]
+
+
 # ---- p5 ----------------------------------------------------------------------------------------------
 
 
