@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,7 +51,7 @@ def exon_features(rows: DataFrame) -> DataFrame:
     e = rows.where("feature = 'exon' and gene_id is not null").withColumn("exon_no", F.row_number().over(w) - 1)
     back = F.when(F.col("strand") == "-", -F.col("exon_no")).otherwise(F.col("exon_no"))
     off = F.coalesce(F.sum(F.col("end") - F.col("start")).over(Window.partitionBy("gene_id").orderBy(back).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return e.select("gene_id", F.concat("gene_id", F.lit("_"), F.col("exon_no").cast("string")).alias("exon_id"), "chrom", "strand", F.col("start").alias("e_start"), F.col("end").alias("e_end"), off.alias("offset"))
+    return e.select("gene_id", F.concat("gene_id", F.lit("_"), F.col("exon_no").cast("string")).alias("exon_id"), "chrom", "strand", F.col("start").alias("e_start"), F.col("end").alias("e_end"), off.alias("offset"), ribosomal(F.col("gene_biotype"), F.col("gene_name")).alias("ribosomal"))
 
 
 def counters(reads: DataFrame, unpaired: bool = False) -> DataFrame:
@@ -77,9 +78,20 @@ def read_blocks(reads: DataFrame, stranded: bool = False) -> DataFrame:
     return used.select("read", group_label(F.col("rname"), strand, stranded).alias("chrom"), F.posexplode(reference_blocks(F.col("cigar"), F.col("pos"))).alias("block_no", "b")).select("read", "chrom", "block_no", "b.*")
 
 
-def full_cover(blocks: DataFrame, exons: DataFrame) -> DataFrame:
-    """Block and exon pairs that overlap, with `full`: whether the exon holds the whole block."""
-    pairs = overlap_pairs(blocks, exons.select("chrom", "e_start", "e_end", "exon_id", "gene_id"), ["chrom"], ("b_start", "b_end"), ("e_start", "e_end"), ["read"])
+def end_counters(reads: DataFrame) -> DataFrame:
+    """One row over mapped reads: blocks, and of either mate of pairs with both mapped the mismatches and aligned bases."""
+    f = F.col("flag")
+    used = reads.where(~has_flag(f, "secondary") & ~has_flag(f, "supplementary") & ~has_flag(f, "qcfail") & ~has_flag(f, "unmapped"))
+    x = used.withColumn("_b", F.coalesce(reference_blocks(F.col("cigar"), F.col("pos")), F.array())).withColumn("_bases", F.aggregate("_b", F.lit(0).cast("long"), lambda a, b: a + b["b_end"] - b["b_start"]))
+    both = has_flag(f, "paired") & ~has_flag(f, "mate_unmapped")
+    ends = {"end1": both & has_flag(f, "read1"), "end2": both & ~has_flag(f, "read1")}
+    total = lambda c, v: F.coalesce(F.sum(F.when(c, v)), F.lit(0))
+    return x.agg(F.coalesce(F.sum(F.size("_b")), F.lit(0)).alias("blocks"), *[total(c, v).alias(f"{e}_{n}") for e, c in ends.items() for n, v in (("mismatches", F.coalesce("nm", F.lit(0))), ("bases", F.col("_bases")))])
+
+
+def full_cover(blocks: DataFrame, exons: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """Block and exon pairs that overlap, with `full`: whether the exon holds the whole block, and the exons' columns `more`."""
+    pairs = overlap_pairs(blocks, exons.select("chrom", "e_start", "e_end", "exon_id", "gene_id", *more), ["chrom"], ("b_start", "b_end"), ("e_start", "e_end"), ["read"])
     return pairs.withColumn("full", (F.col("e_start") <= F.col("b_start")) & (F.col("b_end") <= F.col("e_end")))
 
 
@@ -89,9 +101,20 @@ def unambiguous(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
     return pairs.where("full").groupBy("read", "gene_id").agg(F.count_distinct("block_no").alias("_c")).join(total, "read").where("_c = _n").select("read", "gene_id")
 
 
-def classes(blocks: DataFrame, pairs: DataFrame, unamb: DataFrame, genes: DataFrame) -> DataFrame:
+def body_pairs(blocks: DataFrame, genes: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """(read) and the genes' columns `more` of block and gene body pairs that overlap."""
+    return overlap_pairs(blocks, genes.select("chrom", "g_start", "g_end", F.col("gene_id").alias("g_id"), *more), ["chrom"], ("b_start", "b_end"), ("g_start", "g_end"), ["read"]).select("read", *more).distinct()
+
+
+def marks(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(read, plus, minus, ribosomal): whether any exon or gene body a read touches is on the strand, or ribosomal. Both: read, strand, ribosomal."""
+    met = pairs.select("read", "strand", "ribosomal").unionByName(bodies.select("read", "strand", "ribosomal"))
+    return met.groupBy("read").agg(F.coalesce(F.bool_or(F.col("strand") == "+"), F.lit(False)).alias("plus"), F.coalesce(F.bool_or(F.col("strand") == "-"), F.lit(False)).alias("minus"), F.bool_or("ribosomal").alias("ribosomal"))
+
+
+def classes(blocks: DataFrame, pairs: DataFrame, unamb: DataFrame, genes: DataFrame, bodies: DataFrame | None = None) -> DataFrame:
     """(read, class): exonic when a gene holds all blocks, ambiguous when only an exon is touched, intronic when only a gene body, else intergenic."""
-    body = overlap_pairs(blocks, genes.select("chrom", "g_start", "g_end", F.col("gene_id").alias("g_id")), ["chrom"], ("b_start", "b_end"), ("g_start", "g_end"), ["read"]).select("read").distinct()
+    body = (body_pairs(blocks, genes) if bodies is None else bodies).select("read").distinct()
     tagged = blocks.select("read", F.lit(0).alias("k")).unionByName(body.withColumn("k", F.lit(1))).unionByName(pairs.select("read", F.lit(2).alias("k"))).unionByName(unamb.select("read", F.lit(3).alias("k")))
     return tagged.groupBy("read").agg(F.max("k").alias("k")).select("read", F.element_at(F.array(*map(F.lit, ("intergenic", "intronic", "ambiguous", "exonic"))), F.col("k") + 1).alias("class"))
 
@@ -128,6 +151,13 @@ def non_globin(unamb: DataFrame, genes: DataFrame, reads: DataFrame) -> DataFram
     return hit.where("not _g").join(reads.select("read", "duplicate"), "read").agg(F.count("*").alias("reads"), F.count_if("duplicate").alias("duplicates"))
 
 
+def spliced_cover(pairs: DataFrame, unamb: DataFrame, reads: DataFrame) -> DataFrame:
+    """(gene_id, c_start, c_end): the blocks that an exon holds of high-quality unambiguous reads, in the gene's spliced coordinates. pairs: with strand and offset."""
+    start = F.col("offset") + F.when(F.col("strand") == "+", F.col("b_start") - F.col("e_start")).otherwise(F.col("e_end") - F.col("b_end"))
+    used = pairs.where("full").join(unamb.join(reads.where("hq"), "read").select("read").distinct(), "read", "left_semi")
+    return used.select("gene_id", start.alias("c_start"), (start + F.col("b_end") - F.col("b_start")).alias("c_end"))
+
+
 def three_prime_bias(covered: DataFrame, genes: DataFrame, offset: int = 150, window: int = 100, least: int = 600) -> DataFrame:
     """(gene_id, bias): coverage at the 3' end over that at both ends, by medians over windows `offset` from each end.
 
@@ -147,15 +177,16 @@ def three_prime_bias(covered: DataFrame, genes: DataFrame, offset: int = 150, wi
     return both.where("c3 + c5 > 0").select("gene_id", (F.col("c3") / (F.col("c3") + F.col("c5"))).alias("bias"))
 
 
-def fragments(pairs: DataFrame, blocks: DataFrame, reads: DataFrame, limit: int = 1_000_000) -> DataFrame:
-    """(size): of pairs whose two reads lie wholly in one and the same exon, the size; smallest first, `limit` at most (the limit is the metric's definition).
+def fragments(pairs: DataFrame, blocks: DataFrame, reads: DataFrame, limit: int | None = 1_000_000) -> DataFrame:
+    """(size): of pairs whose two reads lie wholly in one and the same exon, the size; smallest first, `limit` at most (the limit is the metric's definition; None for all, in any order).
 
     reads: read, qname, tlen, paired, hq.
     """
     total = blocks.groupBy("read").agg(F.count("*").alias("_n"))
     held = pairs.where("full").groupBy("read").agg(F.count_distinct("block_no").alias("_c"), F.count_distinct("exon_id").alias("_e"), F.min("exon_id").alias("exon_id"))
     good = held.join(total, "read").where("_c = _n and _e = 1").join(reads.where("paired and hq").select("read", "qname", "tlen"), "read")
-    return good.groupBy("qname", "exon_id").agg(F.count("*").alias("_k"), F.abs(F.min_by("tlen", "read")).alias("size")).where("_k = 2").select("size").orderBy("size").limit(limit)
+    found = good.groupBy("qname", "exon_id").agg(F.count("*").alias("_k"), F.abs(F.min_by("tlen", "read")).alias("size")).where("_k = 2").select("size")
+    return found if limit is None else found.orderBy("size").limit(limit)
 
 
 def library_complexity(unique: int, duplicates: int) -> int:
@@ -184,12 +215,21 @@ def metrics(reads: DataFrame, rows: DataFrame, unpaired: bool = False, stranded:
     known = cut(blocks.join(genes.select("chrom").distinct(), "chrom", "left_semi"))
     if not known.limit(1).count():
         raise ValueError("reads and annotation share no contig")
-    pairs = cut(full_cover(known, exons))
+    pairs = cut(full_cover(known, exons, ("strand", "offset", "ribosomal")))
+    bodies = cut(body_pairs(known, genes, ("strand", "ribosomal")))
     unamb = cut(unambiguous(pairs, known))
-    flags = tagged.select("read", "qname", "tlen", high_quality(F.col("mapq"), F.col("nm"), F.col("flag"), unpaired).alias("hq"), has_flag(F.col("flag"), "duplicate").alias("duplicate"), has_flag(F.col("flag"), "paired").alias("paired"))
-    counts = genes.select("gene_id", "gene_name", "gene_length").join(gene_counts(unamb, flags), "gene_id", "left").fillna(0, ["reads", "unique_reads"])
+    flags = tagged.select("read", "qname", "tlen", high_quality(F.col("mapq"), F.col("nm"), F.col("flag"), unpaired).alias("hq"), has_flag(F.col("flag"), "duplicate").alias("duplicate"), has_flag(F.col("flag"), "paired").alias("paired"), (has_flag(F.col("flag"), "read1") | F.lit(unpaired)).alias("first"), has_flag(F.col("flag"), "reverse").alias("reverse"))
+    counts = cut(genes.select("gene_id", "gene_name", "gene_length").join(gene_counts(unamb, flags), "gene_id", "left").fillna(0, ["reads", "unique_reads"]))
     c = counters(tagged, unpaired).first().asDict()
-    k = {r["class"]: r["n"] for r in classes(known, pairs, unamb, genes).groupBy("class").agg(F.count("*").alias("n")).collect()}
+    by_class = classes(known, pairs, unamb, genes, bodies).join(flags.select("read", "hq"), "read").groupBy("class").agg(F.count("*").alias("n"), F.count_if("hq").alias("hq")).collect()
+    k, hq = ({r["class"]: r[n] for r in by_class} for n in ("n", "hq"))
+    ends = end_counters(tagged).first()
+    sense = (F.col("reverse") & F.col("minus")) | (~F.col("reverse") & F.col("plus"))
+    one = F.col("plus") != F.col("minus")
+    met = marks(pairs, bodies).join(flags.select("read", "first", "reverse"), "read").agg(F.count_if("ribosomal").alias("ribosomal"), *[F.count_if(one & (F.col("first") == first) & x).alias(n) for first, e in ((True, "end1"), (False, "end2")) for x, n in ((F.lit(True), e), (sense, f"{e}_sense"))]).first()
+    globin_free = non_globin(unamb.join(flags.where("hq").select("read"), "read", "left_semi"), genes, flags).first()
+    biases = cut(three_prime_bias(spliced_cover(pairs, unamb, flags), counts.where(F.col("unique_reads") >= detection).select("gene_id", F.col("gene_length").alias("exon_length"))))
+    sizes = cut(fragments(pairs, known, flags))
     detected = counts.where(F.col("unique_reads") >= detection).count()
     div = lambda a, b: a / b if b else float("nan")
     m = c["mapped"]
@@ -197,6 +237,16 @@ def metrics(reads: DataFrame, rows: DataFrame, unpaired: bool = False, stranded:
         ("Mapping Rate", div(m, c["total"])), ("Unique Rate of Mapped", div(c["unique"], m)), ("Duplicate Rate of Mapped", div(c["duplicates"], m)), ("End 1 Mapping Rate", div(2 * c["end1"], c["total"])), ("End 2 Mapping Rate", div(2 * c["end2"], c["total"])), ("Base Mismatch", div(c["mismatches"], m)),
         *((f"{n.title()} Rate", div(k.get(n, 0), m)) for n in ("exonic", "intronic", "intergenic", "ambiguous")), ("Intragenic Rate", div(k.get("exonic", 0) + k.get("intronic", 0), m)), ("High Quality Rate", div(c["high_quality"], m)), ("Discard Rate", 0.0),
         *((n.replace("_", " ").title(), float(v)) for n, v in c.items()), ("Genes Detected", float(detected)), ("Estimated Library Complexity", float(library_complexity(c["unique"], c["duplicates"]))), ("Read Length", float(c["read_length"])),
+        ("Duplicate Rate of Mapped, excluding Globins", div(globin_free["duplicates"], globin_free["reads"])), ("End 1 Mismatch Rate", div(ends["end1_mismatches"], ends["end1_bases"])), ("End 2 Mismatch Rate", div(ends["end2_mismatches"], ends["end2_bases"])), ("Expression Profiling Efficiency", div(k.get("exonic", 0), c["total"])),
+        *((f"High Quality {label} Rate", div(sum(hq.get(n, 0) for n in ns), c["high_quality"])) for label, ns in (("Exonic", ["exonic"]), ("Intronic", ["intronic"]), ("Intergenic", ["intergenic"]), ("Intragenic", ["exonic", "intronic"]), ("Ambiguous Alignment", ["ambiguous"]))),
+        ("rRNA Rate", div(met["ribosomal"], m)), ("End 1 Sense Rate", div(met["end1_sense"], met["end1"])), ("End 2 Sense Rate", div(met["end2_sense"], met["end2"])), ("Avg. Splits per Read", div(ends["blocks"], m) - 1),
     ]
+    # as in the reference, these are left out when there is no gene or no fragment
+    if used := biases.count():
+        s = stats(biases, "bias").first()
+        rows_ += [("Genes used in 3' bias", used), ("Mean 3' bias", s["mean"]), ("Median 3' bias", s["median"]), ("3' bias Std", s["std"]), ("3' bias MAD", s["mad"]), ("3' Bias, 25th Percentile", s["p25"]), ("3' Bias, 75th Percentile", s["p75"])]
+    if sizes.limit(1).count():
+        s = stats(sizes, "size").first()
+        rows_ += [("Average Fragment Length", s["mean"]), ("Fragment Length Median", s["median"]), ("Fragment Length Std", s["std"]), ("Fragment Length MAD", s["mad"])]
     table = spark.createDataFrame([(i, n, float(v)) for i, (n, v) in enumerate(rows_)], "no int, statistic string, value double")
-    return table, {"genes": tpm(counts), "exons": exon_doses(pairs, unamb.join(flags.where("hq").select("read"), "read", "left_semi"), known), "fragments": fragments(pairs, known, flags)}
+    return table, {"genes": tpm(counts), "exons": exon_doses(pairs, unamb.join(flags.where("hq").select("read"), "read", "left_semi"), known), "fragments": sizes}

@@ -423,6 +423,22 @@ def d24(s, d):
     return Q.three_prime_bias(c, genes).select("gene_id", F.round("bias", 6).alias("bias"))
 
 
+@query(
+    "d25_fragments",
+    BASE + """, rd as (select annotation_id q, 0 e, chrom, p s, annotation_id % 60 + 20 z from bl0 union all select annotation_id, 1, chrom, p + annotation_id % 60, annotation_id % 60 + 20 from bl0),
+    hd as (select q, e, z, min(transcript_id || ':' || cast(e_start as varchar)) x from rd join ex on rd.chrom = ex.chrom and e_start <= s and s + 20 <= e_end group by 1, 2, 3 having count(distinct transcript_id || ':' || cast(e_start as varchar)) = 1)
+    select z size, count(*) n from (select q, x, min(z) z from hd group by 1, 2 having count(*) = 2) group by 1""",
+)
+def d25(s, d):
+    """Pairs made from annotation rows: 20 bases, and 20 of the mate up to 59 further on."""
+    a = table(s, d, "annotation").where("pos is not null and chrom is not null").groupBy("annotation_id").agg(F.min("chrom").alias("rname"), (F.min("pos") - 1).alias("p"))
+    size = F.col("annotation_id") % 60 + 20
+    r = a.select("annotation_id", "rname", "p", size.alias("size"), F.explode(F.array(F.lit(0), F.lit(1))).alias("e")).select((F.col("annotation_id") * 2 + F.col("e")).alias("read"), F.col("annotation_id").cast("string").alias("qname"), "rname", F.when(F.col("e") == 0, F.col("p")).otherwise(F.col("p") + F.col("size") - 20).alias("pos"), F.when(F.col("e") == 0, 99).otherwise(147).alias("flag"), F.lit("20M").alias("cigar"), F.when(F.col("e") == 0, F.col("size")).otherwise(-F.col("size")).alias("tlen"), F.lit(True).alias("paired"), F.lit(True).alias("hq"))
+    b = Q.read_blocks(r)
+    e = exons(s, d).withColumn("exon_id", F.concat_ws(":", "transcript_id", "e_start"))
+    return Q.fragments(Q.full_cover(b, e), b, r, None).groupBy("size").agg(F.count("*").alias("n"))
+
+
 @query("d27_logo_counts", "with " + MOTIFS + ", p as (select i position, substr(replace(motif, 'T', 'U'), cast(i + 1 as bigint), 1) base, w, idx from mo, range(21) r(i)) select cast(position as int) position, base, sum(w) score, cast(row_number() over (partition by position order by sum(w) desc, min(idx)) as int) \"rank\" from p group by 1, 2, position")
 def d27(s, d):
     return O.motif_scores(motifs(s, d))

@@ -301,6 +301,28 @@ def test_qc_pairs_and_bias(spark):
     assert abs(x * (1 - math.exp(-100 / x)) - 80) < 1 and Q.library_complexity(5, 0) == 0
 
 
+def test_qc_all_statistics(spark):
+    g = [("exon", 1000, 2000, "+", "G1", "x"), ("exon", 3000, 3100, "-", "HBB", "x"), ("gene", 5000, 5200, "+", "R", "rRNA"), ("exon", 5000, 5100, "+", "R", "rRNA")]
+    rows = spark.createDataFrame([(i, f, "chr1", a, b, s, n, n, t) for i, (f, a, b, s, n, t) in enumerate(g)], "ord long, feature string, chrom string, start long, end long, strand string, gene_id string, gene_name string, gene_biotype string")
+    pairs = [((1150, "100M", 2 * (i == 0)), (1750, "100M", 0), 700, 255, 0) for i in range(5)] + [((1750, "100M", 0), (1750, "100M", 0), 100, 255, 1024)]
+    pairs += [((3000, "50M", 0), (3050, "50M", 0), 100, 255, 1024), ((5050, "100M", 0), (5150, "20M10N20M", 0), 150, 255, 0), ((9000, "50M", 0), (9100, "50M", 7), 150, 10, 0)]
+    data = [(i * 2 + k, f"q{i}", (147 if k else 99) | dup, "chr1", x[0], mapq, x[1], "=", 0, -size if k else size, "A" * 50, "I" * 50, {"NM": f"i:{x[2]}"}) for i, (a, b, size, mapq, dup) in enumerate(pairs) for k, x in enumerate((a, b))]
+    df = spark.createDataFrame(data, "ord long, qname string, flag int, rname string, pos long, mapq int, cigar string, rnext string, pnext long, tlen long, seq string, qual string, tags map<string,string>")
+    m = {x["statistic"]: x["value"] for x in Q.metrics(df, rows)[0].collect()}
+    sizes = [700] * 5 + [100] * 2
+    want = {
+        "Duplicate Rate of Mapped, excluding Globins": 2 / 12, "End 1 Mismatch Rate": 2 / 800, "End 2 Mismatch Rate": 7 / 740, "Expression Profiling Efficiency": 14 / 18, "High Quality Exonic Rate": 14 / 16, "High Quality Intronic Rate": 1 / 16,
+        "High Quality Intergenic Rate": 0, "High Quality Intragenic Rate": 15 / 16, "High Quality Ambiguous Alignment Rate": 1 / 16, "rRNA Rate": 2 / 18, "End 1 Sense Rate": 7 / 8, "End 2 Sense Rate": 1 / 8, "Avg. Splits per Read": 1 / 18,
+        "Genes used in 3' bias": 1, "Mean 3' bias": 7 / 12, "Median 3' bias": 7 / 12, "3' bias Std": 0, "3' bias MAD": 0, "3' Bias, 25th Percentile": 7 / 12, "3' Bias, 75th Percentile": 7 / 12,
+        "Average Fragment Length": 3700 / 7, "Fragment Length Median": 700, "Fragment Length Std": (sum((x - 3700 / 7) ** 2 for x in sizes) / 7) ** 0.5, "Fragment Length MAD": 0,
+    }
+    assert {n: m.get(n) for n in want} == pytest.approx(want)
+    one = spark.createDataFrame([(0, "G", True, "-", 100, 300, 400, 310, 330), (1, "G", True, "+", 100, 300, 400, 310, 330), (2, "G", True, "+", 0, 0, 9, 0, 9)], "read long, gene_id string, full boolean, strand string, offset long, e_start long, e_end long, b_start long, b_end long")
+    held = spark.createDataFrame([(0, "G"), (1, "G"), (2, "G")], "read long, gene_id string")
+    got = Q.spliced_cover(one, held, held.select("read", (F.col("read") < 2).alias("hq")))
+    assert sorted(map(tuple, got.collect())) == [("G", 110, 130), ("G", 170, 190)]
+
+
 def frame(spark, data):
     return spark.createDataFrame([(i, *x) for i, x in enumerate(data)], "ord long, seqname string, feature string, start long, end long, strand string, gene_id string, transcript_id string, gene_name string, gene_biotype string, tag string")
 
