@@ -73,6 +73,13 @@ def exons(spark, sf: str) -> DataFrame:
     return E.with_offsets(shared)
 
 
+def one_row(e: DataFrame, *by: str) -> DataFrame:
+    """Of each `by` the exons of one gene, chromosome and strand, the first in this order; offsets and lengths are of these exons."""
+    first = e.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.min(F.struct("gene_id", "chrom", "strand")).alias("_first"))
+    same = [F.col(c) == F.col(f"_{c}") for c in by] + [F.col(c) == F.col(f"_first.{c}") for c in ("gene_id", "chrom", "strand")]
+    return E.with_offsets(e.join(first, same, "left_semi"))
+
+
 def sites(spark, sf: str) -> DataFrame:
     """The sites of annotation, one row each: site_id, chrom, pos (1-based), strand."""
     a = table(spark, sf, "annotation").where("pos is not null and chrom is not null")
@@ -207,8 +214,7 @@ def c09(s, d):
 )
 def c10(s, d):
     q = table(s, d, "annotation").where("gene_id is not null").groupBy("annotation_id").agg(F.min(norm("gene_id")).alias("gene_id"), F.min("transcript_pos").alias("t"))
-    tx = A.transcripts(exons(s, d))
-    sound = tx.groupBy("gene_id", "transcript_id").agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in ("chrom", "strand", "exons")]).where("_n = 1")
+    sound = A.transcripts(one_row(exons(s, d), "gene_id", "transcript_id"))
     return L.table_to_genome(q.withColumn("tx_pos", F.col("t").cast("string")), sound.withColumn("ord", F.col("transcript_id")), "annotation_id").select("annotation_id", "chrom", "pos")
 
 
@@ -734,9 +740,9 @@ def d29(s, d):
 
 
 def read_table(s, d):
-    e = A.transcripts(exons(s, d)).withColumn("ord", F.col("transcript_id"))
-    sound = e.groupBy("transcript_id").agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in ("gene_id", "chrom", "strand", "exons", "transcript_length")]).where("_n = 1").drop("_n")
-    r = motifs(s, d).select(F.col("idx").alias("ord"), "motif").join(table(s, d, "annotation").select(F.col("annotation_id").alias("ord"), norm("transcript_id").alias("rname"), F.col("transcript_pos").alias("pos")).where("rname is not null and pos is not null").dropDuplicates(["ord"]), "ord")
+    sound = A.transcripts(one_row(exons(s, d), "transcript_id")).withColumn("ord", F.col("transcript_id"))
+    a = table(s, d, "annotation").select(F.col("annotation_id").alias("ord"), norm("transcript_id").alias("rname"), F.col("transcript_pos").alias("pos")).where("rname is not null and pos is not null")
+    r = motifs(s, d).select(F.col("idx").alias("ord"), "motif").join(a.groupBy("ord").agg(F.min(F.struct("rname", "pos")).alias("a")).select("ord", "a.*"), "ord")
     return sound, r.select(F.concat(F.lit("r"), F.col("ord").cast("string")).alias("qname"), F.lit(0).alias("flag"), "rname", "pos", F.lit(60).alias("mapq"), F.lit("21M").alias("cigar"), F.lit("*").alias("rnext"), F.lit(-1).cast("long").alias("pnext"), F.lit(0).cast("long").alias("tlen"), F.col("motif").alias("seq"), F.lit("I" * 21).alias("qual"), F.create_map(F.lit("NM"), F.lit("i:0")).alias("tags"), "ord")
 
 

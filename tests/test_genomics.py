@@ -269,6 +269,18 @@ def test_table_liftover(spark, exons):
     assert back == {0: 3, 1: 1, 2: None}
 
 
+def test_registered_liftover_keeps_ambiguous_transcripts(spark, tmp_path):
+    # T1 has rows that disagree on the chromosome, T2 is listed under two genes
+    ref = [("c1", 100, 200, "+", "GA", "T1"), ("c2", 500, 550, "+", "GA", "T1"), ("c1", 300, 400, "-", "GB", "T2"), ("c1", 300, 400, "-", "GC", "T2")]
+    spark.createDataFrame([(*x, 1, 0, 30, "n", "b") for x in ref], "chromosome string, start long, end long, strand string, gene_id string, transcript_id string, transcript_level long, start_codon_pos int, stop_codon_pos int, gene_name string, gene_biotype string").write.parquet(str(tmp_path / "exon_ref.parquet"))
+    ann = [(1, "GA", "T1", 5), (2, "GB", "T2", 5), (3, "GA", "T9", 5), (3, "GA", "T1", 7)]
+    spark.createDataFrame([(*x, "A" * 21, "r") for x in ann], "annotation_id long, gene_id string, transcript_id string, transcript_pos long, transcript_motif string, region string").write.parquet(str(tmp_path / "annotation.parquet"))
+    got = {n: {r[0]: tuple(r)[1:] for r in Q_.QUERIES[n](spark, str(tmp_path)).collect()} for n in ("i1_to_genome", "i2_to_transcript", "c10_tx_to_genome")}
+    assert got["i1_to_genome"] == {"r1": (0, "c1", 105, "21M", False), "r2": (16, "c1", 374, "21M", False), "r3": (0, "c1", 107, "21M", False)}
+    assert {k: v[1:] for k, v in got["i2_to_transcript"].items()} == {"r1": ("T1", 5, "21M"), "r2": ("T2", 5, "21M"), "r3": ("T1", 7, "21M")}
+    assert got["c10_tx_to_genome"] == {1: ("c1", 105), 2: ("c1", 396), 3: ("c1", 105)}
+
+
 QC_GTF = [(0, "gene", 100, 400, "+", "G1"), (1, "exon", 100, 200, "+", "G1"), (2, "exon", 300, 400, "+", "G1"), (3, "gene", 500, 600, "-", "G2"), (4, "exon", 500, 600, "-", "G2")]
 
 
