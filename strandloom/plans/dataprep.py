@@ -1,8 +1,8 @@
-"""Queries on the data-preparation operators of the core (p1 to p6), with the same in SQL."""
+"""Queries on the data-preparation operators of the core (p1 to p3, p5 and p6), with the same in SQL."""
 
 from __future__ import annotations
 
-from strandloom.operators import chunking, lineparse, orphans, runbitmap, toprank, unpack
+from strandloom.operators import chunking, lineparse, orphans, runbitmap, unpack
 
 QUERIES = {
     "p1_found": orphans.found,
@@ -13,8 +13,6 @@ QUERIES = {
     "p2_by_key": unpack.by_key,
     "p3_found": runbitmap.found,
     "p3_coverage": runbitmap.coverage,
-    "p4_found": toprank.found,
-    "p4_longest": toprank.spread,
     "p5_found": chunking.found,
     "p5_profiles": chunking.profiles,
     "p6_found": lineparse.found,
@@ -51,8 +49,6 @@ p as (select t, n, min(s) s, max(e) e from i group by t, n),
 g as (select t, lag(e) over (partition by t order by s) + 1 s, s - 1 e from p),
 found as (select t transcript_id, 'period' kind, s start_pos, e end_pos from p union all select t, 'gap', s, e from g where s is not null) """
 
-RANKED = "select upper(trim(gene_id)) gene_id, upper(trim(transcript_id)) transcript_id, min(transcript_level) l, max(transcript_length) n from exon_ref where gene_id is not null and transcript_id is not null group by 1, 2"
-
 SITE_OK = r"""(?:"(?:[^"]|"")*"|[^"\t][^\t]*|)"""
 P6 = rf"""with s0 as (select line_no, regexp_replace(line, '\r$', '') l from site_lines),
 s1 as (select line_no, l from s0 where l is not null and trim(l, e' \t\r\n') <> '' and l[1] <> '#'),
@@ -85,9 +81,6 @@ ORACLES = {
     "p3_found": P3 + "select * from found",
     "p3_coverage": P3 + """select transcript_id, cast(sum(case when kind = 'period' then 1 else 0 end) as bigint) periods, cast(sum(case when kind = 'period' then end_pos - start_pos + 1 else 0 end) as bigint) period_positions,
         cast(sum(case when kind = 'gap' then 1 else 0 end) as bigint) gaps, cast(sum(case when kind = 'gap' then end_pos - start_pos + 1 else 0 end) as bigint) gap_positions from found group by transcript_id""",
-    "p4_found": f"select gene_id, transcript_id, place from (select *, row_number() over (partition by gene_id order by l nulls last, n desc nulls last, transcript_id) place from ({RANKED})) where place <= 3",
-    "p4_longest": """select chromosome, transcript_id, place from (select *, row_number() over (partition by chromosome order by n desc nulls last, transcript_id) place from
-        (select upper(trim(chromosome)) chromosome, upper(trim(transcript_id)) transcript_id, max(transcript_length) n from exon_ref where chromosome is not null and transcript_id is not null group by 1, 2)) where place <= 5""",
     "p5_found": """select 'annotation' src_table, upper(trim(gene_id)) key_value from annotation where gene_id is not null group by 2 having count(*) >= 0.03 * (select count(*) from annotation)
         union all select 'feature', upper(trim(seqname)) from feature where seqname is not null group by 2 having count(*) >= 0.03 * (select count(*) from feature)""",
     "p5_profiles": PROFILE,
