@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators.skew import keyed_left_join
-from strandloom.runtime import cut
+from strandloom.runtime import fits, measured
 
 #: Bin widths are 2 ** (10 + 3 * level).
 LOWEST, STEP, LEVELS = 10, 3, 9
@@ -55,9 +55,9 @@ def overlap_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], left_s
     for k in right_keys:
         no_null = no_null & k.isNotNull()
     many = placed.where(no_null).withColumn("_bin", F.explode(binned(_bits(F.col("_level")), rs, re)))
-    # written once: its levels, its size and the join read it
-    many = cut(many.withColumn("_cell", name(F.col("_level"), F.col("_bin"))).drop("_bin", *keys))
-    levels = sorted(r["_level"] for r in many.select("_level").distinct().collect())  # at most LEVELS rows
+    # one job writes it and tells its size and the levels that occur
+    many, facts = measured(many.withColumn("_cell", name(F.col("_level"), F.col("_bin"))).drop("_bin", *keys), levels=F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("_level"))))
+    levels = [k for k in range(LEVELS) if (facts["levels"] or 0) >> k & 1]
     many = many.drop("_level")
 
     def cells(k: int) -> Column:
@@ -65,7 +65,7 @@ def overlap_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], left_s
 
     looks = F.concat(*map(cells, levels)) if levels else F.array().cast("array<struct<level:int,bin:bigint>>")
     looking = left.where(no_null & (ls < le) & ls.isNotNull()).withColumn("_look", F.explode(looks)).withColumn("_cell", name(F.col("_look.level"), F.col("_look.bin")))
-    joined = keyed_left_join(looking, many, "_cell", list(spread), "inner")
+    joined = keyed_left_join(looking, many, "_cell", list(spread), "inner", fits(facts))
     hits = joined.where((ls < re) & (rs < le))
     if left_span[1]:
         # a pair meets in several bins: it counts in the first they share

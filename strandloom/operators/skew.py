@@ -5,43 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.runtime import small
+from strandloom.runtime import measured, small
 
-#: At most so many keys are treated as hot; the list travels inside the plan.
-MOST_HOT = 200
-#: A key is hot from so many rows on.
-HOT_ROWS = 20_000
+#: Fewer rows of a key than this are never split, as a task takes them anyway.
+LEAST_ROWS = 20_000
 
 
-def hot_keys(df: DataFrame, key: Column, rows: int = HOT_ROWS, most: int = MOST_HOT) -> list[str]:
-    """The keys (strings) of `df` with at least `rows` rows, largest first, `most` of them at most.
+def partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    One map-side combined count. The bound is sufficient for balance: a key that isn't among the `most`
-    largest has fewer than 1/most of all rows. Null keys are left out.
-    """
-    counted = df.select(key.alias("_k")).where("_k is not null").groupBy("_k").agg(F.count("*").alias("_n"))
-    return [r["_k"] for r in counted.where(F.col("_n") >= rows).orderBy(F.desc("_n"), "_k").limit(most).collect()]
-
-
-def salts(df: DataFrame) -> int:
-    """Into how many parts a hot key is split: as many as shuffle partitions, 8 to 256."""
-    return min(256, max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
+def hot_keys(df: DataFrame, key: Column, least: int | None = None) -> DataFrame | None:
+    """(_k, _parts): the keys of `df` with more rows than half of a task's mean, and into how many parts of that size they go; None when there is none.
 
-def keyed_left_join(left: DataFrame, right: DataFrame, key: str, spread: list[str], how: str = "left", most_hot: int = MOST_HOT) -> DataFrame:
-    """left join right on the string column `key`; `right` has one row per key, `left` may have hot keys.
-
-    A right side of a counted small size is broadcast. Otherwise rows of hot keys on the left are split by a
-    hash of the columns `spread`, and only those keys' right rows are repeated, once per part. Null keys on
-    the left match nothing and stay (how=left) or go (how=inner).
+    One map-side combined count over all rows. With p shuffle partitions the mean is rows / p, so there are
+    fewer than 2 p hot keys and 4 p parts, whatever the data: the table may be broadcast. Null keys are left out.
+    """
+    p = partitions(df)
+    counted = df.select(key.alias("_k")).where("_k is not null").groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
+    floor = LEAST_ROWS if least is None else least
+    kept, facts = measured(counted, total=F.sum("_n"), most=F.max("_n"))
+    share = max(floor, (facts["total"] or 0) / (2 * p))
+    if (facts["most"] or 0) <= share:
+        return None
+    return kept.where(F.col("_n") > share).select("_k", F.ceil(F.col("_n") / share).cast("int").alias("_parts"))
+
+
+def keyed_left_join(left: DataFrame, right: DataFrame, key: str, spread: list[str], how: str = "left", fits: bool | None = None) -> DataFrame:
+    """left join right on the string column `key`; `left` may have hot keys.
+
+    A right side of a counted small size is broadcast (`fits` tells it when it is known). Otherwise rows of hot
+    keys on the left are split by a hash of the columns `spread`, and only those keys' right rows are repeated, once
+    per part. Null keys on the left match nothing and stay (how=left) or go (how=inner, left_semi).
     """
-    if small(right):
+    if small(right) if fits is None else fits:
         return left.join(F.broadcast(right), key, how)
-    hot = hot_keys(left, F.col(key), most=most_hot)
-    if not hot:
+    hot = hot_keys(left, F.col(key))
+    if hot is None:
         return left.join(right, key, how)
-    n = salts(left)
-    is_hot = F.col(key).isin(hot)
-    salted = left.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(n)).cast("int")).otherwise(0))
-    repeated = right.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))))
+    parts = F.broadcast(hot.withColumnRenamed("_k", key))  # fewer than two keys per shuffle partition
+    salted = left.join(parts, key, "left").withColumn("_salt", F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(*spread), F.col("_parts")).cast("int")).otherwise(0)).drop("_parts")
+    repeated = right.join(parts, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     return salted.join(repeated, [key, "_salt"], how).drop("_salt")

@@ -7,11 +7,12 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side is broadcast only after a count shows that it has no more rows than this.
-BROADCAST_ROWS = 10_000
+#: A side is broadcast only after a count shows that it has no more rows and bytes than these.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +41,20 @@ def shared_dir(spark: SparkSession) -> str:
     return got
 
 
+def session_dir(spark: SparkSession) -> str:
+    """This session's own folder in shared_dir; the JVM removes it with all tables when it ends."""
+    root = shared_dir(spark)
+    got = spark.conf.get("strandloom.session.dir", None)
+    if not got or not got.startswith(root):
+        got = f"{root}/strandloom-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(got)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        spark.conf.set("strandloom.session.dir", got)
+    return got
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` once to the shared folder and go on from the written table.
 
@@ -47,16 +62,45 @@ def cut(df: DataFrame) -> DataFrame:
     costs a re-read, not a recomputation.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when a count shows that `df` has at most `rows` rows (it stops counting there)."""
-    return df.limit(rows + 1).count() <= rows
+def width(df: DataFrame) -> Column:
+    """About how many bytes a row of `df` takes."""
+    out = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            c = F.octet_length(c)
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            c = F.length(F.to_json(F.struct(c)))
+        else:
+            c = F.lit(8)
+        out = out + F.coalesce(c, F.lit(0))
+    return out
+
+
+def measured(df: DataFrame, **more: Column) -> tuple[DataFrame, dict]:
+    """cut(df), with its rows, its bytes and the aggregates `more`, all taken in the job that writes it."""
+    seen = Observation()
+    written = cut(df.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width(df)), F.lit(0)).alias("bytes"), *[c.alias(k) for k, c in more.items()]))
+    return written, seen.get
+
+
+def fits(facts: dict) -> bool:
+    """Whether a measured table may be broadcast."""
+    return facts["rows"] <= BROADCAST_ROWS and facts["bytes"] <= BROADCAST_BYTES
+
+
+def small(df: DataFrame, rows: int | None = None) -> bool:
+    """True when `df` is counted to have at most `rows` rows (it stops counting there), in BROADCAST_BYTES."""
+    most = BROADCAST_ROWS if rows is None else rows
+    got = df.limit(most + 1).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width(df)), F.lit(0)).alias("bytes")).first()
+    return got["rows"] <= most and got["bytes"] <= BROADCAST_BYTES
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame) -> DataFrame:
     """`df` with a broadcast hint when its counted size allows one, else `df` as it is."""
-    return F.broadcast(df) if small(df, rows) else df
+    return F.broadcast(df) if small(df) else df

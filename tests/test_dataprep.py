@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from strandloom import runtime
 from strandloom.operators import chunking, lineparse, orphans, runbitmap, skew, unpack
 
 T = [dt.datetime(2024, m, 1) for m in range(1, 13)]
@@ -50,15 +51,35 @@ def test_contig_alias(spark, rows):
 
 
 def test_keyed_join_salts_hot_keys(spark, monkeypatch):
-    monkeypatch.setattr(skew, "small", lambda *a: False)
     left = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 50).cast("string")).alias("k"), "id").union(spark.createDataFrame([(None, -1)], "k string, id long"))
     right = spark.createDataFrame([("hot", 1), ("7", 2)], "k string, v int")
-    monkeypatch.setattr(skew, "HOT_ROWS", 100)
-    assert skew.hot_keys(left, F.col("k"), 10_000) == ["hot"]
-    got = Counter(r["v"] for r in skew.keyed_left_join(left, right, "k", ["id"]).select("v").collect())
+    monkeypatch.setattr(skew, "LEAST_ROWS", 100)
+    assert [(r["_k"], r["_parts"] > 1) for r in skew.hot_keys(left, F.col("k")).collect()] == [("hot", True)]
+    assert skew.hot_keys(left.where("k is null"), F.col("k")) is None and skew.hot_keys(left.limit(0), F.col("k")) is None
+    got = Counter(r["v"] for r in skew.keyed_left_join(left, right, "k", ["id"], fits=False).select("v").collect())
     assert got[1] == 20_000 and sum(got.values()) == 60_001 and got[2] == sum(i % 3 != 0 and i % 50 == 7 for i in range(60_000))
 
 
+def test_keyed_join_with_many_hot_keys(spark, monkeypatch):
+    """However many keys are hot: all of them are split, and no row is lost or repeated."""
+    monkeypatch.setattr(skew, "LEAST_ROWS", 10)
+    monkeypatch.setattr(skew, "partitions", lambda df: 200)
+    left = spark.range(30_000).select((F.col("id") % 300).cast("string").alias("k"), "id").union(spark.range(30_000, 31_000).select((F.col("id") % 900 + 1000).cast("string").alias("k"), "id"))
+    assert skew.hot_keys(left, F.col("k")).count() == 300
+    right = spark.range(0, 1300).select(F.col("id").cast("string").alias("k"), (F.col("id") * 2).alias("v"))
+    got = skew.keyed_left_join(left, right, "k", ["id"], "inner", fits=False)
+    want = sum(1 for i in range(30_000)) + sum(1 for i in range(30_000, 31_000) if i % 900 + 1000 < 1300)
+    assert got.count() == want and got.where("cast(k as bigint) * 2 <> v").count() == 0 and got.select("id").distinct().count() == want
+
+
+def test_small_counts_rows_and_bytes(spark):
+    assert runtime.small(spark.range(10)) and not runtime.small(spark.range(20), 10)
+    wide = spark.range(20).select(F.expr("repeat('x', 1 << 20)").alias("s"), F.array("id").alias("a"))
+    assert not runtime.small(wide) and runtime.small(wide.limit(1)) and runtime.small(wide.limit(0))
+    table, facts = runtime.measured(wide.limit(3), most=F.max("a"))
+    assert facts["rows"] == 3 == table.count() and facts["bytes"] > 3 << 20 and facts["most"] and not runtime.fits({"rows": 1, "bytes": 1 << 40})
+
+
 # ---- p2 ----------------------------------------------------------------------------------------------
 
 
