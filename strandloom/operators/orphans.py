@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +37,8 @@ def lifetimes(target: DataFrame, key: Column, since: str, until: str | None) ->
 def orphan_references(child: DataFrame, refs: Sequence[str], at: str | None, target: DataFrame, keys: Sequence[str], since: str | None = None, until: str | None = None, semantics: str = "simple", spread: Sequence[str] = ()) -> DataFrame:
     """The rows of `child` whose reference (`refs` -> `keys`) no row of `target` serves, with `_status`.
 
-    References are grouped by null mask, and each mask is anti-joined on its non-null columns only.
+    References are grouped by null mask, and each mask is anti-joined on its non-null columns only: the key of the
+    join holds the mask and these columns, so child and target are read once for all masks.
 
     semantics: `simple` - a reference with any null isn't checked; `partial` - the non-null columns must
     match some target row, an all-null reference isn't checked; `full` - a reference must be all null (not
@@ -52,42 +54,33 @@ def orphan_references(child: DataFrame, refs: Sequence[str], at: str | None, tar
     if len(refs) != len(keys) or not refs:
         raise ValueError("refs and keys must name as many columns, one at least")
     every = (1 << len(refs)) - 1
-    clash = {"_key", "_mask", "_status", "_rows", "_first", "_open", "_closed", "_salt"} & set(child.columns)
+    clash = {"_key", "_mask", "_status", "_rows", "_first", "_open", "_closed", "_salt", "_parts"} & set(child.columns)
     if clash:
         raise ValueError(f"reserved column names: {sorted(clash)}")
     timed = since is not None and at is not None
     masked = child.withColumn("_mask", null_mask(refs))
-    found = []
-    for mask in range(every):
-        here = masked.where(F.col("_mask") == mask)
-        if mask and semantics == "simple":
-            continue
-        if mask and semantics == "full":
-            found.append(here.withColumn("_status", F.lit("incomplete")).drop("_mask"))
-            continue
-        kept = [i for i in range(len(refs)) if not mask >> i & 1]
-        ref_key, target_key = (F.concat_ws(SEP, *[norm(cols[i]) for i in kept]) for cols in (refs, keys))
-        usable = target
-        for i in kept:
-            usable = usable.where(F.col(keys[i]).isNotNull())
-        if timed:
-            known = lifetimes(usable, target_key, since, until)
-        else:
-            known = usable.select(target_key.alias("_key")).distinct().withColumn("_rows", F.lit(1))
-        joined = keyed_left_join(here.withColumn("_key", ref_key), known, "_key", list(spread) or list(refs))
-        if timed:
-            t = F.col(at)
-            served = F.coalesce(F.col("_open") <= t, F.lit(False)) | F.coalesce(F.exists("_closed", lambda x: (x["_from"] <= t) & (x["_to"] > t)), F.lit(False))
-            status = F.when(F.col("_rows").isNull(), "missing").when(F.col("_first") > t, "late").otherwise("deleted")
-            joined = joined.where(~served)
-        else:
-            status = F.lit("missing")
-            joined = joined.where(F.col("_rows").isNull())
-        found.append(joined.withColumn("_status", status).drop("_mask", "_key", "_rows", "_first", "_open", "_closed"))
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out
+    # the masks that are looked up; the key holds the mask, so one join serves all of them
+    masks = range(every) if semantics == "partial" else [0]
+    looked = masked.where(F.col("_mask").isin(*masks)).withColumn("_key", masked_key(F.col("_mask"), refs))
+    usable = target.withColumn("_null", null_mask(keys)).withColumn("_mask", F.explode(F.array(*map(F.lit, masks)))).where((F.col("_null").bitwiseAND(F.bitwise_not("_mask"))) == 0)
+    target_key = masked_key(F.col("_mask"), keys)
+    tell = list(spread) or list(refs)
+    if timed:
+        joined = keyed_left_join(looked, lifetimes(usable, target_key, since, until), "_key", tell)
+        t = F.col(at)
+        served = F.coalesce(F.col("_open") <= t, F.lit(False)) | F.coalesce(F.exists("_closed", lambda x: (x["_from"] <= t) & (x["_to"] > t)), F.lit(False))
+        status = F.when(F.col("_rows").isNull(), "missing").when(F.col("_first") > t, "late").otherwise("deleted")
+        lost = joined.where(~served).withColumn("_status", status).drop("_key", "_rows", "_first", "_open", "_closed")
+    else:
+        lost = keyed_left_join(looked, usable.select(target_key.alias("_key")).distinct(), "_key", tell, "left_anti").withColumn("_status", F.lit("missing")).drop("_key")
+    if semantics == "full" and every > 1:
+        lost = lost.unionByName(masked.where((F.col("_mask") != 0) & (F.col("_mask") != every)).withColumn("_status", F.lit("incomplete")))
+    return lost.drop("_mask")
+
+
+def masked_key(mask: Column, cols: Sequence[str]) -> Column:
+    """One text for a null mask and the columns that it leaves."""
+    return F.concat_ws(SEP, mask.cast("string"), *[F.when(mask.bitwiseAND(F.lit(1 << i)) == 0, norm(c)) for i, c in enumerate(cols)])
 
 
 def contig_names(contig: DataFrame, alias: DataFrame) -> DataFrame:
@@ -98,24 +91,30 @@ def contig_names(contig: DataFrame, alias: DataFrame) -> DataFrame:
     return own.unionByName(other.join(own.withColumnRenamed("key", "_name"), "_name").drop("_name"))
 
 
-def found(spark, sf: str) -> DataFrame:
-    """p1_found: the orphan references of transcript, annotation and feature."""
+def references(spark, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All references as (child_table, child_key, ref_field, target, ref, at), and all that can be referred to as (target, key, since, until).
+
+    A reference is a composite one: the kind of its target, and a key of that kind.
+    """
     gene, transcript, feature, annotation = (table(spark, sf, t) for t in ("gene", "transcript", "feature", "annotation"))
     names = contig_names(table(spark, sf, "contig"), table(spark, sf, "chrom_alias"))
-    parts = []
-    for name, child, child_key, ref, target, key, since, until in (
-        ("transcript", transcript, norm("transcript_id"), "gene_id", gene, "gene_id", "loaded_at", "deleted_at"),
-        ("annotation", annotation, F.col("annotation_id").cast("string"), "gene_id", gene, "gene_id", "loaded_at", "deleted_at"),
-        ("feature", feature, F.col("feature_id").cast("string"), "transcript_id", transcript, "transcript_id", "loaded_at", "deleted_at"),
-        ("feature", feature, F.col("feature_id").cast("string"), "seqname", names, "key", "added_at", "retired_at"),
+    children = []
+    for name, child, child_key, fields in (
+        ("transcript", transcript, norm("transcript_id"), {"gene_id": "gene"}),
+        ("annotation", annotation, F.col("annotation_id").cast("string"), {"gene_id": "gene"}),
+        ("feature", feature, F.col("feature_id").cast("string"), {"transcript_id": "transcript", "seqname": "contig"}),
     ):
-        rows = child.select(child_key.alias("child_key"), F.col(ref), F.col("loaded_at").alias("_at"))
-        lost = orphan_references(rows, [ref], "_at", target, [key], since, until, spread=["child_key"])
-        parts.append(lost.select(F.lit(name).alias("child_table"), "child_key", F.lit(ref).alias("ref_field"), F.col("_status").alias("status"), F.date_format("_at", "yyyy-MM").alias("period")).distinct())
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+        each = F.array(*[F.struct(F.lit(f).alias("ref_field"), F.lit(t).alias("target"), F.col(f).alias("ref")) for f, t in fields.items()])
+        children.append(child.select(F.lit(name).alias("child_table"), child_key.alias("child_key"), F.col("loaded_at").alias("at"), F.explode(each).alias("r")).select("child_table", "child_key", "at", "r.*"))
+    targets = [rows.select(F.lit(kind).alias("target"), F.col(key).alias("key"), F.col(since).alias("since"), F.col(until).alias("until")) for kind, rows, key, since, until in (("gene", gene, "gene_id", "loaded_at", "deleted_at"), ("transcript", transcript, "transcript_id", "loaded_at", "deleted_at"), ("contig", names, "key", "added_at", "retired_at"))]
+    return reduce(DataFrame.unionByName, children), reduce(DataFrame.unionByName, targets)
+
+
+def found(spark, sf: str) -> DataFrame:
+    """p1_found: the orphan references of transcript, annotation and feature."""
+    children, targets = references(spark, sf)
+    lost = orphan_references(children, ["target", "ref"], "at", targets, ["target", "key"], "since", "until", spread=["child_key"])
+    return lost.select("child_table", "child_key", "ref_field", F.col("_status").alias("status"), F.date_format("at", "yyyy-MM").alias("period")).distinct()
 
 
 def report(spark, sf: str) -> DataFrame:
