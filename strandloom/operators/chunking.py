@@ -8,12 +8,14 @@ merged in order.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.runtime import cut, norm, table
+from strandloom.runtime import cut, fits, measured, norm, table
 
 CHUNK_ROWS = 50_000
 
@@ -36,18 +38,51 @@ def numbered(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     return at.join(offsets, (F.col("_part") == F.col("_p")) & F.col(key).eqNullSafe(F.col("_key"))).withColumn("_no", F.col("_local") + F.col("_before")).drop("_p", "_key", "_local", "_before")
 
 
-def chunk_counts(df: DataFrame, key: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """(key, chunk, rows): the equal-sized chunks of each key, in the order of the input partitions.
-
-    Only counts are needed, so the numbers of a partition's rows of a key are the range from its offset on,
-    and no row moves: what is shuffled is one count per partition and key.
+def _place_in_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to (_part, key) the row's place among the partition's rows of its key; one count per key is held."""
+    seen: dict = {}
+    for b in batches:
+        if not b.num_rows:
+            continue
+        coded = b.column(1).dictionary_encode(null_encoding="encode")
+        codes, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+        order = np.argsort(codes, kind="stable")
+        sizes = np.bincount(codes, minlength=len(names))
+        place = np.empty(b.num_rows, np.int64)
+        before = np.array([seen.get(k, 0) for k in names], np.int64)
+        place[order] = np.arange(b.num_rows) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(before, sizes)
+        seen.update((k, int(n)) for k, n in zip(names, before + sizes, strict=True))
+        yield pa.record_batch([*b.columns, pa.array(place)], names=["_part", "_key", "_place"])
+
+
+def numbered_as_stored(df: DataFrame, key: str) -> DataFrame:
+    """(key, _no): the rows of each key numbered from 0 in the order of the input partitions and of the rows in them.
+
+    No row moves to be counted. The numbers are the partitions' offsets plus the places, which meet in a join on
+    (partition, key); a pair of them has a partition's rows at most, so a hot key is spread over all partitions.
+    A null key is a key here.
     """
-    counts = df.select(F.spark_partition_id().alias("_part"), F.col(key)).groupBy("_part", key).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.withColumn("_from", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_to", F.col("_from") + F.col("_n"))
-    chunks = placed.select(key, "_from", "_to", F.explode(F.sequence((F.col("_from") / chunk_rows).cast("long"), ((F.col("_to") - 1) / chunk_rows).cast("long"))).alias("chunk"))
-    here = F.least(F.col("_to"), (F.col("chunk") + 1) * chunk_rows) - F.greatest(F.col("_from"), F.col("chunk") * chunk_rows)
-    return chunks.groupBy(key, "chunk").agg(F.sum(here).alias("rows"))
+    kind = df.schema[key].dataType.simpleString()
+    # written once: counts and rows must see the same partitions
+    placed = cut(df.select(F.spark_partition_id().alias("_part"), F.col(key).alias("_key")).mapInArrow(_place_in_partition, f"_part int, _key {kind}, _place bigint"))
+    counts = placed.groupBy("_part", "_key").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets, facts = measured(counts.select(F.col("_part").alias("_p"), F.col("_key").alias("_k"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    same = (F.col("_part") == F.col("_p")) & F.col("_key").eqNullSafe(F.col("_k"))
+    return placed.join(F.broadcast(offsets) if fits(facts) else offsets, same).select(F.col("_key").alias(key), (F.col("_place") + F.col("_before")).alias("_no"))
+
+
+def chunk_states(df: DataFrame, key: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(key, chunk, rows, first_no, last_no): each equal-sized chunk of a key processed on its own."""
+    at = numbered_as_stored(df, key)
+    return at.groupBy(key, (F.col("_no") / chunk_rows).cast("long").alias("chunk")).agg(F.count("*").alias("rows"), F.min("_no").alias("first_no"), F.max("_no").alias("last_no"))
+
+
+def merged_counts(states: DataFrame, key: str) -> DataFrame:
+    """(key, rows, joined): the chunks' states merged in their order; `joined` tells that each chunk goes on where the one before ends."""
+    order = Window.partitionBy(key).orderBy("chunk")
+    meets = F.col("first_no") == F.coalesce(F.lag("last_no").over(order) + 1, F.lit(0))
+    return states.withColumn("_meets", meets & (F.col("last_no") - F.col("first_no") + 1 == F.col("rows"))).groupBy(key).agg(F.sum("rows").alias("rows"), F.bool_and("_meets").alias("joined"))
 
 
 def key_profiles(df: DataFrame, key: str, order: Sequence[str], label: Column, value: Column, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -67,11 +102,14 @@ def key_profiles(df: DataFrame, key: str, order: Sequence[str], label: Column, v
 
 
 def heavy_keys(df: DataFrame, key: str, share: float, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """(key, rows): the non-null keys with at least `share` of all rows; null keys count among all rows."""
-    chunks = chunk_counts(df, key, chunk_rows)
-    merged = cut(chunks.groupBy(key).agg(F.sum("rows").alias("rows")))
-    total = merged.agg(F.sum("rows")).first()[0] or 0
-    return merged.where(F.col(key).isNotNull() & (F.col("rows") >= total * share)).select(key, "rows")
+    """(key, rows): the non-null keys with at least `share` of all rows; null keys count among all rows.
+
+    The rows are numbered, processed in chunks, and the chunks' states merged in order. An empty table gives no row.
+    """
+    merged, facts = measured(merged_counts(chunk_states(df, key, chunk_rows), key), total=F.sum("rows"), sound=F.bool_and("joined"))
+    if facts["sound"] is False:
+        raise RuntimeError("the numbers of a key have holes: its input changed between two reads")
+    return merged.where(F.col(key).isNotNull() & (F.col("rows") >= (facts["total"] or 0) * share)).select(key, "rows")
 
 
 def found(spark, sf: str) -> DataFrame:
@@ -81,6 +119,6 @@ def found(spark, sf: str) -> DataFrame:
 
 
 def profiles(spark, sf: str) -> DataFrame:
-    """p5_profiles: per gene_id of annotation, its rows in the order of annotation_id."""
-    rows = table(spark, sf, "annotation").select(norm("gene_id").alias("gene_id"), "annotation_id", "region", "pos").distinct()
-    return key_profiles(rows, "gene_id", ["annotation_id"], F.col("region"), F.col("pos"))
+    """p5_profiles: per gene_id of annotation, its rows as stored in the order of annotation_id, region and pos."""
+    rows = table(spark, sf, "annotation").select(norm("gene_id").alias("gene_id"), "annotation_id", "region", "pos")
+    return key_profiles(rows, "gene_id", ["annotation_id", "region", "pos"], F.col("region"), F.col("pos"))

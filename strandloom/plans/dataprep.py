@@ -66,8 +66,8 @@ f2 as (select line_no, case when len(f) <> 9 then 'column_count' when not regexp
   or f[7] not in ('+', '-', '.') or f[8] not in ('.', '0', '1', '2')
   or not regexp_matches(';' || regexp_replace(f[9], '"[^"]*[^"\s][^"]*"', '""Q""', 'g'), ';\s*gene_id(?:\s*=\s*|\s+)(?:""Q""|[^\s;"])') then 'value' end reason, f from f1) """
 
-PROFILE = """with r as (select distinct upper(trim(gene_id)) gene_id, annotation_id, region, pos from annotation where gene_id is not null),
-w as (select *, lag(region) over (partition by gene_id order by annotation_id) p, row_number() over (partition by gene_id order by annotation_id) i from r)
+PROFILE = """with r as (select upper(trim(gene_id)) gene_id, annotation_id, region, pos from annotation where gene_id is not null),
+w as (select *, lag(region) over o p, row_number() over o i from r window o as (partition by gene_id order by annotation_id nulls first, region nulls first, pos nulls first))
 select gene_id, count(*) "rows", cast(sum(pos) as bigint) value_sum, min(pos) value_min, max(pos) value_max, cast(sum(case when i > 1 and region is distinct from p then 1 else 0 end) as bigint) changes from w group by gene_id"""
 
 ORACLES = {

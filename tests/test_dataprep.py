@@ -166,9 +166,12 @@ def test_chunks_and_numbers(spark, rows):
     data = [(r.choice(["hot"] * 6 + ["a", "b", None]), i, r.choice("xy"), r.randint(0, 9)) for i in range(2000)]
     df = spark.createDataFrame(data, "k string, i long, lab string, v long").repartition(5)
     counts = Counter(x[0] for x in data)
-    chunks = rows(chunking.chunk_counts(df, "k", 100))
-    assert all(n <= 100 for *_, n in chunks) and all(sum(n for k, _, n in chunks if k == key) == c for key, c in counts.items())
-    assert all(n == 100 for k, c, n in chunks if c < counts[k] // 100)
+    chunks = rows(chunking.chunk_states(df, "k", 100))
+    assert all(n <= 100 for _, _, n, _, _ in chunks) and all(sum(n for k, _, n, _, _ in chunks if k == key) == c for key, c in counts.items())
+    assert all(n == 100 for k, c, n, _, _ in chunks if c < counts[k] // 100) and all(a // 100 == c == b // 100 for _, c, _, a, b in chunks)
+    stored = chunking.numbered_as_stored(df, "k").collect()
+    assert all(sorted(x["_no"] for x in stored if x["k"] == key) == list(range(c)) for key, c in counts.items())
+    assert all(r["joined"] for r in chunking.merged_counts(chunking.chunk_states(df, "k", 100), "k").collect())
     nos = chunking.numbered(df, "k", ["i"]).select("k", "i", "_no").collect()
     for key in counts:
         assert [x["_no"] for x in sorted((x for x in nos if x["k"] == key), key=lambda x: x["i"])] == list(range(counts[key]))
@@ -180,6 +183,8 @@ def test_chunks_and_numbers(spark, rows):
     assert None not in got
     assert {x["k"] for x in chunking.heavy_keys(df, "k", 0.03, 100).collect()} == {k for k, c in counts.items() if k and c >= 60}
     assert chunking.heavy_keys(df.limit(0), "k", 0.03).count() == 0
+    again = chunking.key_profiles(df.union(df.where("k = 'a'")), "k", ["i"], F.col("lab"), F.col("v"), 37).where("k = 'a'").first()
+    assert (again["rows"], again["changes"]) == (2 * counts["a"], got["a"]["changes"])
 
 
 # ---- p6 ----------------------------------------------------------------------------------------------
