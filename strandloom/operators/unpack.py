@@ -2,9 +2,9 @@
 
 The separators of a source are inferred: each field is reduced to its shape (quoted texts, words or numbers
 become one sign), shapes are counted, and every candidate set of separators is scored on the counted shapes:
-piece-count consistency (the share of fields that fall into typed pieces only, so that their piece count is
-the count of values) times piece type regularity (the share of pieces that have the type). The best set
-wins; of equal ones that with the fewest separators.
+piece-count consistency (the share of fields with as many pieces as their words or numbers make values) times
+piece type regularity (the share of pieces that have the type). The best set wins; of equal ones that with the
+fewest separators. A source may mix separators, also within a field, so candidates are sets.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.operators.skew import keyed_left_join
-from strandloom.runtime import norm, table
+from strandloom.runtime import fits, measured, norm, table
 
 BLANKS = " \t\r\n"
 #: What may join the two numbers of a span.
@@ -49,32 +49,44 @@ def pieces(field: Column, seps: str | Column, pairs: bool) -> Column:
     return F.filter(F.transform(got, lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != "")
 
 
+#: Signs in shapes: a quoted text, a word, a number.
+QUOTED, WORD, NUMBER = "\x01", "w", "N"
+
+
 def shape(field: Column, pairs: bool) -> Column:
+    """A field's shape. Of three and more neighbouring values of one form two are kept, so that shapes stay few however long fields are."""
     if pairs:
-        return F.regexp_replace(F.regexp_replace(field, r'"[^"]*+"', "Q"), r'[^\s;,|="Q]++', "w")
-    return F.regexp_replace(field, "[0-9]++", "N")
+        signs = F.regexp_replace(F.regexp_replace(F.regexp_replace(field, r'"[^"]*+"', QUOTED), rf'[^\s;,|="{QUOTED}]++', WORD), r"\s++", " ")
+        return F.regexp_replace(signs, r"([^;,|]++[;,|] ?)\1{2,}+", "$1$1")
+    signs = F.regexp_replace(field, "[0-9]++", NUMBER)
+    return F.regexp_replace(signs, r"(N[^N]++N[^N]++)\1{2,}+", "$1$1")
 
 
 #: The type of a piece, on its shape.
-PAIR_TYPE = r"^[wQ]++(?:\s*=\s*|\s+)[wQ]++$"
+PAIR_TYPE = rf"^[{WORD}{QUOTED}]++(?:\s*=\s*|\s+)[{WORD}{QUOTED}]++$"
 SPAN_TYPE = rf"^[\s\"'()\[\]]*N\s*[{JOINS}]+\s*N[\s\"'()\[\]]*$"
 
 
 def infer_separators(df: DataFrame, field: str, source: str, pairs: bool) -> DataFrame:
-    """(_source, _seps, _pattern): the separators of each source, inferred from all its fields."""
+    """(_source, _seps, _pattern): the separators of each source, inferred from all its fields.
+
+    A value has two parts (key and value, or two numbers), so a field with 2 n words or numbers has n values; a
+    candidate's piece count is consistent in the fields where it is n.
+    """
     shapes = df.where(F.col(field).isNotNull()).groupBy(F.col(source).alias("_source"), shape(F.col(field), pairs).alias("_shape")).agg(F.count("*").alias("_n"))
     typed = PAIR_TYPE if pairs else SPAN_TYPE
     make = pair_take if pairs else span_split
     options = candidates(PAIR_SIGNS if pairs else SPAN_SIGNS)
     blank = "" if pairs else "\"'()[] "
+    parts = F.length(F.regexp_replace("_shape", f"[^{WORD}{QUOTED}]" if pairs else f"[^{NUMBER}]", ""))
 
     def counts(seps: str) -> Column:
         got = F.filter(pieces(F.col("_shape"), make(seps), pairs), lambda x: F.btrim(x, F.lit(BLANKS + blank)) != "")
         return F.struct(F.lit(seps).alias("seps"), F.lit(make(seps)).alias("pattern"), F.size(got).alias("all"), F.size(F.filter(got, lambda x: x.rlike(typed))).alias("good"))
 
-    scored = shapes.select("_source", "_n", F.explode(F.array(*map(counts, options))).alias("c")).where("c.all > 0")
+    scored = shapes.select("_source", "_n", parts.alias("_parts"), F.explode(F.array(*map(counts, options))).alias("c")).where("c.all > 0")
     by = scored.groupBy("_source", F.col("c.seps").alias("_seps"), F.col("c.pattern").alias("_pattern")).agg(
-        F.sum(F.when(F.col("c.all") == F.col("c.good"), F.col("_n")).otherwise(0)).alias("_even"),
+        F.sum(F.when(F.col("c.all") * 2 == F.col("_parts"), F.col("_n")).otherwise(0)).alias("_even"),
         F.sum("_n").alias("_fields"),
         F.sum(F.col("_n") * F.col("c.good")).alias("_good"),
         F.sum(F.col("_n") * F.col("c.all")).alias("_all"),
@@ -93,8 +105,12 @@ def unpack(df: DataFrame, row_id: str, field: str, source: str | None = None, pa
     value; a span piece that isn't two numbers keeps its text. Repeated rows give repeated items.
     """
     rows = df.select(F.col(row_id).alias("_id"), F.col(field).alias("_field"), (F.coalesce(F.lower(F.trim(F.col(source).cast("string"))), F.lit("")) if source else F.lit("all")).alias("_source")).where(~F.btrim("_field", F.lit(BLANKS + ("" if pairs else "\"'()[]"))).isin("", "."))
-    inferred = infer_separators(rows, "_field", "_source", pairs)
-    split = keyed_left_join(rows, inferred, "_source", ["_id"])
+    inferred, facts = measured(infer_separators(rows, "_field", "_source", pairs))
+    if source:
+        split = keyed_left_join(rows, inferred, "_source", ["_id"], fits=fits(facts))
+    else:  # one source: its one pattern goes into the plan
+        only = inferred.first()
+        split = rows.withColumn("_pattern", F.lit(only["_pattern"] if only else None).cast("string"))
     items = F.coalesce(pieces(F.col("_field"), F.col("_pattern"), pairs), F.array("_field"))
     if not pairs:
         items = F.filter(items, lambda x: F.btrim(x, F.lit(BLANKS + "\"'()[]")) != "")
