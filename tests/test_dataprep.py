@@ -105,6 +105,18 @@ def test_unpack_pairs(spark, rows):
     assert set(seps["s1"]) == set(";,|") and seps["s2"] == ";"
 
 
+def test_separators_are_told_apart_by_piece_counts(spark):
+    """Sources with one separator each: a wrong candidate gives other piece counts than there are values."""
+    make = {"semi": "a 1; b 2, c 3; d 4", "comma": "a 1, b 2, c 3", "bar": "a=1|b=2|c=3|d=4", "both": "a 1; b 2, c 3"}
+    data = [(s, f) for s, f in make.items() for _ in range(5)]
+    data += [("semi", 'a "x, y"; b "z"')] * 9 + [("quoted", 'k "a, b"; m "c, d"; n "e"')] * 3
+    df = spark.createDataFrame(data, "_source string, f string")
+    got = {r["_source"]: set(r["_seps"]) for r in unpack.infer_separators(df, "f", "_source", True).collect()}
+    assert got["comma"] == {","} and got["bar"] == {"|"} and got["both"] == {";", ","} and got["quoted"] == {";"}
+    shapes = {r[0] for r in spark.createDataFrame([("; ".join(f'k{i} "v"' for i in range(n)) + ";",) for n in range(3, 40)], "f string").select(unpack.shape(F.col("f"), True)).collect()}
+    assert len(shapes) <= 3
+
+
 def test_unpack_spans(spark, rows):
     text = ['"1-2", (3–4) ; [5..6]|7:8', "1 - 2 3 - 4  5 -6", "9-10,,11-12", '""', ".", " ", None, "[13 - 14, 15-16]", "17-18\t19-20"]
     df = spark.createDataFrame(list(enumerate(text)), "id long, f string")
@@ -205,6 +217,21 @@ def test_site_lines(spark):
         assert (got[i]["reason"] if i in got else "skip") == SITES[k], (k or "")[:60]
     assert got[1]["chrom"] == "1" and got[1]["pos"] == 7 and got[1]["note"] == 'a\tb "q"' and got[2]["note"] == ""
     assert lineparse.split_lines(df.limit(0), "line_no", "line", lineparse.SITES).count() == 0
+    why = {k: got[i]["detail"] for i, k in enumerate(keys) if i in got}
+    assert why["1\t0\t+\tA\tc\tn"] == "pos: out of range" and why["1\t٣\t+\tA\tc\tn"] == "pos: not a number" and why['""\t5\t+\tA\tc\tn'] == "chrom: empty"
+    short = {r["line_no"]: (r["reason"], r["detail"]) for r in lineparse.split_lines(df, "line_no", "line", lineparse.SITES, load=False).collect()}
+    assert short == {i: (r["reason"], r["detail"]) for i, r in got.items()}
+
+
+def test_values_are_cast_once_each(spark):
+    lines = ["1\t7\t+\tA\tc\tn"] * 50 + ["1\tx\t+\tA\tc\tn"] * 50 + ["1\tx\t*\tA\tc\tn"]
+    df = spark.createDataFrame(list(enumerate(lines)), "line_no long, line string")
+    cells = lineparse.cells_of(lineparse.parsed(df, "line_no", "line", lineparse.SITES), lineparse.SITES)
+    d = sorted(tuple(r) for r in lineparse.value_dictionary(cells, lineparse.SITES, False).select("_column", "_why").collect())
+    assert d == [("pos", "pos: not a number"), ("strand", "strand: not one of + - .")]
+    loaded = lineparse.split_lines(df, "line_no", "line", lineparse.SITES).where("reason is null").collect()
+    assert len(loaded) == 50 and {r["pos"] for r in loaded} == {7}
+    assert lineparse.split_lines(df, "line_no", "line", lineparse.SITES).where("line_no = 100").first()["detail"] == "pos: not a number, strand: not one of + - ."
 
 
 def feature(attrs, start="1", end="9", score=".", strand="+", frame="."):
