@@ -13,15 +13,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from strandloom.runtime import cut, norm, table
+from strandloom.runtime import cut, norm, observed, table
 
 BITS = 16
 WIDTH = 1 << BITS
 #: Rows that are united at once in a Python worker.
 FLUSH_ROWS = 400_000
+#: Bytes of bitmaps that are united at once.
+FLUSH_BYTES = 32 << 20
+#: An interval over more shards than this is long: the shards that it fills are one block, not a bitmap each.
+LONG_SHARDS = 64
 #: Positions of group g start at g * STRIDE, so that runs of two groups never touch.
 STRIDE = WIDTH + 2
 
@@ -103,21 +107,31 @@ def _extract(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.record_batch([entity.take(pa.array(heads[who])), pa.array(kinds), pa.array(start), pa.array(end)], ["_e", "_kind", "_a", "_b"])
 
 
+def _by_bytes(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of about FLUSH_BYTES of bitmaps."""
+    if not b.num_rows:
+        return
+    part = np.cumsum(pc.binary_length(b.column("_runs")).to_numpy(zero_copy_only=False)) // FLUSH_BYTES
+    starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    for a, z in zip(starts, np.append(starts[1:], b.num_rows), strict=True):
+        yield b.slice(a, z - a)
+
+
 def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """As compress, for bitmaps that arrive ordered by entity and shard: a group is held back until it is complete."""
-    held, rows = [], 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        if rows >= FLUSH_ROWS // 8:
-            end = (b.column("_e")[0], b.column("_s")[0])
-            # the last held group may go on in this batch: cut where it starts
-            tail = held[-1]
-            if (tail.column("_e")[-1], tail.column("_s")[-1]) != end:
-                yield _extract(held)
-                held, rows = [], 0
-        held.append(b)
-        rows += b.num_rows
+    held, rows, size = [], 0, 0
+    for whole in batches:
+        for b in _by_bytes(whole):
+            if rows >= FLUSH_ROWS // 8 or size >= FLUSH_BYTES:
+                end = (b.column("_e")[0], b.column("_s")[0])
+                # the last held group may go on in this batch: cut where it starts
+                tail = held[-1]
+                if (tail.column("_e")[-1], tail.column("_s")[-1]) != end:
+                    yield _extract(held)
+                    held, rows, size = [], 0, 0
+            held.append(b)
+            rows += b.num_rows
+            size += pc.sum(pc.binary_length(b.column("_runs"))).as_py() or 0
     if held:
         yield _extract(held)
 
@@ -127,12 +141,16 @@ def periods_and_gaps(df: DataFrame, entity: str, start: str, end: str) -> DataFr
 
     Touching intervals (end + 1 = start) form one period. Rows with a null entity, start or end, and
     reversed ones (start > end), play no part. Repeats, nested and unordered rows change nothing; an
-    entity with one period has no gap; an empty table gives an empty result. Positions may be negative.
+    entity with one period has no gap; an empty table gives an empty result. Positions may be negative. An
+    interval over more than LONG_SHARDS shards takes two bitmaps and one block, however long it is.
     """
     kind = dict(df.dtypes)[entity]
     rows = df.select(F.col(entity).cast("string").alias("_e"), F.col(start).cast("long").alias("_x"), F.col(end).cast("long").alias("_y")).where("_e is not null and _x <= _y")
-    one = F.shiftright("_x", BITS) == F.shiftright("_y", BITS)
-    pieces = rows.select("_e", "_x", "_y", F.explode(F.when(one, F.array(F.shiftright("_x", BITS))).otherwise(F.sequence(F.shiftright("_x", BITS), F.shiftright("_y", BITS)))).alias("_s")).select(
+    first, last = F.shiftright("_x", BITS), F.shiftright("_y", BITS)
+    long = last - first > LONG_SHARDS
+    seen = Observation()
+    shards = F.when(first == last, F.array(first)).when(long, F.array(first, last)).otherwise(F.sequence(first, F.when(long, first).otherwise(last)))
+    pieces = rows.observe(seen, F.count_if(long).alias("long")).select("_e", "_x", "_y", F.explode(shards).alias("_s")).select(
         "_e",
         "_s",
         (F.greatest(F.col("_x"), F.col("_s") * WIDTH) - F.col("_s") * WIDTH).cast("int").alias("_lo"),
@@ -140,6 +158,37 @@ def periods_and_gaps(df: DataFrame, entity: str, start: str, end: str) -> DataFr
     )
     maps = pieces.mapInArrow(compress, "_e string, _s bigint, _runs binary").repartition("_e", "_s").sortWithinPartitions("_e", "_s")
     runs = cut(maps.mapInArrow(extract, "_e string, _kind tinyint, _a bigint, _b bigint"))
+    facts = observed(seen)
+    if not (facts["long"] if facts else rows.where(long).limit(1).count()):
+        return _result(_joined(runs), kind, entity)
+    blocks = rows.where(long).select("_e", ((first + 1) * WIDTH).alias("_a"), (last * WIDTH - 1).alias("_b"))
+    own = blocks.select("_e").distinct()
+    with_blocks = runs.where("_kind <> 1").join(own, "_e", "left_semi").select("_e", "_a", "_b").unionByName(blocks)
+    return _result(_joined(runs.join(own, "_e", "left_anti")).unionByName(_swept(with_blocks)), kind, entity)
+
+
+def _result(found: DataFrame, kind: str, entity: str) -> DataFrame:
+    return found.select(F.col("_e").cast(kind).alias(entity), "kind", "start_pos", "end_pos")
+
+
+def _swept(runs: DataFrame) -> DataFrame:
+    """Periods and gaps of entities with long intervals: their runs and blocks swept in order of position."""
+    by = Window.partitionBy("_e").orderBy("_a", "_b")
+    reach = F.max("_b").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    new = runs.withColumn("_reach", reach).withColumn("_new", F.when(F.col("_reach").isNull() | (F.col("_a") > F.col("_reach") + 1), 1).otherwise(0))
+    islands = new.withColumn("_island", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = islands.groupBy("_e", "_island").agg(F.min("_a").alias("_a"), F.max("_b").alias("_b"), F.max(F.when(F.col("_new") == 1, F.col("_reach"))).alias("_before"))
+    return _spelled(whole)
+
+
+def _spelled(whole: DataFrame) -> DataFrame:
+    """Rows (_e, _a, _b, _before) as a period each, and as a gap behind `_before` when there is one."""
+    both = F.array(F.struct(F.lit("period").alias("kind"), F.col("_a").alias("start_pos"), F.col("_b").alias("end_pos")), F.when(F.col("_before").isNotNull(), F.struct(F.lit("gap").alias("kind"), (F.col("_before") + 1).alias("start_pos"), (F.col("_a") - 1).alias("end_pos"))))
+    return whole.select("_e", F.explode(both).alias("x")).where("x is not null").select("_e", "x.*")
+
+
+def _joined(runs: DataFrame) -> DataFrame:
+    """(_e, kind, start_pos, end_pos): the runs of all shards, those that touch a shard's edge put together."""
     inner = runs.where("_kind < 2").select("_e", F.when(F.col("_kind") == 0, "period").otherwise("gap").alias("kind"), F.col("_a").alias("start_pos"), F.col("_b").alias("end_pos"))
     by = Window.partitionBy("_e").orderBy("_a")
     before = F.lag("_b").over(by)
@@ -150,8 +199,7 @@ def periods_and_gaps(df: DataFrame, entity: str, start: str, end: str) -> DataFr
         # the island's first edge carries what lies before it
         F.min(F.when((F.col("_new") == 1) & (F.col("_kind") == 2), F.col("_before"))).alias("_before"),
     )
-    both = pulled.select("_e", F.explode(F.array(F.struct(F.lit("period").alias("kind"), F.col("_a").alias("start_pos"), F.col("_b").alias("end_pos")), F.when(F.col("_before").isNotNull(), F.struct(F.lit("gap").alias("kind"), (F.col("_before") + 1).alias("start_pos"), (F.col("_a") - 1).alias("end_pos"))))).alias("x")).where("x is not null").select("_e", "x.*")
-    return inner.unionByName(both).select(F.col("_e").cast(kind).alias(entity), "kind", "start_pos", "end_pos")
+    return inner.unionByName(_spelled(pulled))
 
 
 def found(spark, sf: str) -> DataFrame:

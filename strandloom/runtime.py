@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,11 +83,20 @@ def width(df: DataFrame) -> Column:
     return out
 
 
+def observed(seen: Observation) -> dict | None:
+    """What an observation saw, after its job; None when the optimizer left the observed part out, as it does with empty tables."""
+    try:
+        return seen.get or None
+    except Py4JJavaError:
+        return None
+
+
 def measured(df: DataFrame, **more: Column) -> tuple[DataFrame, dict]:
     """cut(df), with its rows, its bytes and the aggregates `more`, all taken in the job that writes it."""
     seen = Observation()
-    written = cut(df.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width(df)), F.lit(0)).alias("bytes"), *[c.alias(k) for k, c in more.items()]))
-    return written, seen.get
+    facts = [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width(df)), F.lit(0)).alias("bytes"), *[c.alias(k) for k, c in more.items()]]
+    written = cut(df.observe(seen, *facts))
+    return written, observed(seen) or written.agg(*facts).first().asDict()
 
 
 def fits(facts: dict) -> bool:

@@ -163,8 +163,18 @@ def test_periods_empty(spark):
     assert runbitmap.periods_and_gaps(spark.createDataFrame([], "e string, s long, t long"), "e", "s", "t").count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 1, 64])
+def test_periods_long(spark, rows, monkeypatch, most):
+    monkeypatch.setattr(runbitmap, "LONG_SHARDS", most)
+    r = random.Random(most)
+    data = [(r.choice("abcd"), s := r.randint(-400_000, 400_000), s + r.choice([0, 9, 70_000, 200_000])) for _ in range(40)]
+    data += [("huge", 5, (1 << 62)), ("huge", -10, 3), ("huge", -100, -100), ("neg", -(1 << 60), -1), ("neg", 1, 70_000), ("pair", 0, 10_000_000), ("pair", 10_000_001, 10_000_001), ("pair", 20_000_000, 40_000_000)]
+    assert rows(runbitmap.periods_and_gaps(spark.createDataFrame(data, "e string, s long, t long"), "e", "s", "t")) == brute_periods(data)
+
+
 def test_periods_flush(spark, rows, monkeypatch):
     monkeypatch.setattr(runbitmap, "FLUSH_ROWS", 16)
+    monkeypatch.setattr(runbitmap, "FLUSH_BYTES", 64)
     r = random.Random(1)
     data = [(f"e{r.randint(0, 30)}", s := r.randint(0, 200_000), s + r.randint(0, 400)) for _ in range(3000)]
     assert rows(runbitmap.periods_and_gaps(spark.createDataFrame(data, "e string, s long, t long").repartition(3), "e", "s", "t")) == brute_periods(data)
