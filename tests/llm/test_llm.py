@@ -87,33 +87,51 @@ def test_mixing(spark, library):
     docs = [(i, r.choice(["big"] * 8 + [" Small", "SMALL", None]), r.choice([None, "", " ".join(r.choices(words, k=r.randint(1, 60)))])) for i in range(1500)]
     targets = [("m", "Big", 3.0, 2), ("m", "small ", 1.0, 3), ("n", "small", 0.9, 2), ("n", "big", 0.1, 1), ("n", "nowhere", 0.2, 9), ("o", "big", None, None), ("o", None, 1.0, 2), ("p", "nowhere", 1.0, 1)]
     d, t = mix(spark, docs, targets)
-    sized, goals = mixing.balance(d, t)
+    sized, histogram, solved = mixing.balance(d, t)
+    goals = [r.asDict() for r in solved.collect()]
     have = defaultdict(int)
     for _, s, x in docs:
         have[(s or "?").strip().lower()] += len(library(x or ""))
     for g in goals:
         own = [x for x in targets if x[0] == g["mix_id"]]
         size = sum(have.get(s, 0) for s in {(x[1] or "??").strip().lower() for x in own})
-        want = (g["share"]) * size
-        assert g["want"] == pytest.approx(want) and g["reachable"] == (not g["cap"] * g["have"] < g["want"])
-    assert [(g["mix_id"], g["source"]) for g in goals if not g["reachable"]] == [("n", "small"), ("n", "nowhere"), ("o", None)]
+        assert g["want"] == pytest.approx(g["share"] * size) and g["reachable"] == (not g["cap"] * g["have"] < g["want"])
+        assert (g["x"] == math.inf) == (not g["reachable"])
+    assert sorted(str((g["mix_id"], g["source"])) for g in goals if not g["reachable"]) == ["('n', 'nowhere')", "('n', 'small')", "('o', None)"]
+    taken = mixing.copies(sized, histogram, solved).collect()
+    assert sorted(map(str, taken)) == sorted(map(str, mixing.copies(sized.repartition(7), histogram, solved).collect()))
     got = defaultdict(lambda: [0, 0])
-    for x in mixing.copies(sized, goals).collect():
+    for x in taken:
         got[x["mix_id"], x["source"]][0] += x["copies"] * x["tokens"]
         got[x["mix_id"], x["source"]][1] = max(got[x["mix_id"], x["source"]][1], x["copies"])
     for g in goals:
         tokens, most = got[g["mix_id"], g["source"]]
         assert most <= g["cap"]
-        if g["source"] and g["want"]:
-            # rounding draws one bit per document: four standard deviations of that
-            mine = [len(library(x or "")) for _, s, x in docs if (s or "?").strip().lower() == g["source"]]
-            assert abs(tokens - min(g["want"], g["cap"] * g["have"])) <= 2 * math.sqrt(sum(n * n for n in mine))
+        if g["source"] and g["have"]:
+            longest = max(len(library(x or "")) for _, s, x in docs if (s or "?").strip().lower() == g["source"])
+            assert abs(tokens - g["aim"]) <= (longest if g["reachable"] else 0)
     # the rates solve the constraint exactly, before they are rounded
     sizes = [len(library(x or "")) for _, s, x in docs if s == "big"]
-    g = goals[0]
-    assert sum(n * min(g["cap"], math.exp(g["tilt"] * n / g["mean"])) for n in sizes) == pytest.approx(g["want"], rel=1e-6)
-    assert mixing.balance(d.limit(0), t)[1][0]["have"] == 0
-    assert mixing.balance(d, t.limit(0))[1] == []
+    g = next(g for g in goals if (g["mix_id"], g["source"]) == ("m", "big"))
+    assert sum(n * min(g["cap"], math.exp(g["x"] * n / g["mean"])) for n in sizes) == pytest.approx(g["want"], rel=1e-6)
+    report = {(r["mix_id"], r["source"]): r for r in mixing.shares(sized, histogram, solved).collect()}
+    assert len(report) == len(targets)
+    # a source that falls short doesn't move the shares of the others
+    for which in "mn":
+        for g in goals:
+            if g["mix_id"] == which and g["reachable"]:
+                assert report[which, g["source"]]["reached_share"] == pytest.approx(g["share"], rel=0.01)
+    none = mixing.balance(d.limit(0), t)
+    assert none[2].agg(F.max("have")).first()[0] == 0 and mixing.copies(*none).count() == 0
+    assert mixing.balance(d, t.limit(0))[2].count() == 0
+
+
+def test_mixing_many_targets(spark):
+    """Targets are rows of a table: there is no limit on their number."""
+    sizes = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 20).cast("string").alias("source"), (F.col("id") % 13 + 1).alias("tokens"))
+    targets = spark.range(3000).select((F.col("id") / 5).cast("int").cast("string").alias("mix_id"), (F.col("id") % 20).cast("string").alias("source"), F.lit(1.0).alias("target_share"), F.lit(4).alias("max_repeats"))
+    solved = mixing.solve(targets, mixing.lengths(sizes))
+    assert solved.count() == 3000 and solved.where("reachable = (cap * have < want)").count() == 0
 
 
 #: Sentences between ¶ signs; what stands between other signs ¦ lies outside.
