@@ -453,8 +453,13 @@ class Splitter:
         if mark == ".":
             if stop - at > 1 or last == "." or not last.isascii() and last >= "\u0530":
                 return False
+            if last.isdigit():  # an ordinal or a list number has three digits at most, and is no part of a longer number
+                k = at - 1
+                while k > begin and at - k < 4 and view[k - 1].isdigit():
+                    k -= 1
+                return at - k > 3 or k > begin and view[k - 1] in ".,:/-–v"
             if not last.isalpha():
-                return not last.isdigit() and last > " "
+                return last > " "
             k = at - 1
             while k > begin and at - k <= self.longest and view[k - 1].isalpha():
                 k -= 1

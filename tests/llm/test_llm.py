@@ -171,6 +171,46 @@ def test_sentences(i):
         assert [text[a:b] for a, b in sentences.Splitter().split(text, hint)] == [text[a:b] for a, b in want]
 
 
+#: Texts of no corpus here: one rule of the tables each.
+UNPLANTED = [
+    '"Stop!" Tom yelled.¶', '"No way!" Tom grumbled.¶', "Well, it ran.¶The plot was due in 5 m.¶It rained.¶", "We ran at 10 p.¶The end.¶", "Go to the U.S.¶Then return.¶", "The U.S. Army left.¶He saw K.L. Smith and J. R. R. Tolkien.¶",
+    "Il sig. Rossi dice di no.¶La casa è bella.¶", "မင်္ဂလာပါ။¶နေကောင်းလား။¶", "He came at 5 p.m.¶The show began.¶", "By 6 p.m. Nora had left.¶", "Er kam am 3. Mai.¶Das ist z. B. Der Weg.¶", "See fig. 3.¶The end.¶See Fig. S1 for more.¶",
+    "Mr. Smith vs. The State.¶It cost approx. $5.¶", "He left… and came back.¶Stop…¶The end.¶", "He works at Foo Inc.¶The firm is big.¶Foo Inc. is big.¶", "I like vitamin C.¶The doctor agreed.¶", '"I am done."¶The door closed.¶“Go!”¶She ran.¶',
+    "Dr. 🙂 Smith left.¶Thanks! 🙂¶He said no.¶It is no. 7 of ten.¶", '"Really"? asked Tom.¶Yes.¶', "De heer dhr. Jansen is er niet.¶Wij wachten.¶", "Pan dr. Nowak nie jest w domu.¶To jest np. tutaj.¶",
+]
+
+
+@pytest.mark.parametrize("marked", UNPLANTED)
+def test_sentences_of_other_texts(marked):
+    want = [x for x in marked.split("¶") if x]
+    text = " ".join(want)
+    assert [text[a:b] for a, b in sentences.Splitter().split(text)] == want
+
+
+def test_sentences_look_back_as_far_as_needed():
+    """The opening of a long quotation, a long tag and a long address count like short ones."""
+    s = sentences.Splitter()
+    inner = "It ran. It fell. " * 400
+    for text in (f'"{inner}" asked Tom.', f'<b class="{"x" * 5000}">Dr. Smith left.</b>', f"See http://a.example/{'b!' * 3000}c for it."):
+        assert [text[a:b] for a, b in s.split(text, "en")] == [text]
+    text = "word, " * 1000 + "e.g. this one. Next."
+    assert len(text) > 5000 and [text[a:b] for a, b in s.split(text, "en")] == [text[:-6], "Next."]
+    text = f'<b class="{"x" * 5000}">A. Lunte left.</b> Next.'
+    assert len(s.split(text, "en")) == 2
+
+
+def test_index_of_the_tables_changes_nothing():
+    """The rules alone decide like the rules behind the index that skips those which can't match."""
+    r = random.Random(8)
+    fast, slow = sentences.Splitter(), sentences.Splitter()
+    slow.plain = lambda *a: False
+    parts = ["Dr", "fig", "e.g", "No", "U.S", "am 3", "x1.fa", "4.26", "z. B", "etc", "Tom", "ran", "p", "Ок", "г", "А", "дом", '"So', 'go"', "(it", "is)", "5 p.m", "well"]
+    for _ in range(3000):
+        text = " ".join(r.choice(parts) + r.choice(["", ".", ".", "!", "?", "...", "…", ".)", '."', ". :)"]) for _ in range(r.randint(1, 9)))
+        lang = r.choice(["en", "de", "ru", None])
+        assert fast.split(text, lang) == slow.split(text, lang), text
+
+
 def test_sentence_frame(spark):
     df = spark.createDataFrame([(1, "A b. C d.", "en"), (2, None, None), (3, "", "en"), (4, " \n--\n", "en"), (5, "x", None), (5, "x", None), (6, "word " * 60_000, "en"), (7, "a. " * 20_000, "en")], "doc_id long, text string, lang string").withColumn("sent_start", F.lit("clash"))
     got = defaultdict(list)
