@@ -4,9 +4,11 @@ A text is parted into words by the tokenizer's pattern, and each word's bytes ar
 For each prefix of a word there is exactly one token that ends its encoding; it is the one that is
 compatible with the token that ends the encoding of what is left of it, two tokens being compatible when
 the merges leave them apart. So every position points back to where its last token starts, and the
-positions form a tree. A later token starts less than the longest token's length before the end read so far,
-so only the paths from those last positions can still matter: tokens on the part which all of them share are
-stable and are emitted, and the positions before are forgotten.
+positions form a tree. `lookahead` computes from the merge list how far what is read can still change what was
+read before: a later token starts less than the longest token's length before the end, so only the paths from
+those last positions matter, and the tokens on the part which all of them share are stable; and behind the
+sufficient lookahead all paths are one in any case. Stable tokens are emitted and their positions forgotten, so
+the memory of a word is bounded by the merge list, however long the word is.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ WORD_CHARS, WORDS = 48, 200_000
 class Transducer:
     """The encoder of one merge list; `ranks` maps a token's bytes to its id, which is also its priority."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         import regex
 
         self.ranks = ranks
@@ -48,7 +50,8 @@ class Transducer:
             ends.setdefault(t[-2:], set()).add(len(t))
         self.ends = {k: sorted(v, reverse=True) for k, v in ends.items()}
         # \s of some engines takes four control characters as blanks; White_Space doesn't
-        self.words = regex.compile(PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        self.words = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).finditer
+        self.live, self.bound = self.lookahead()
         self.apart: dict[tuple[int, int], bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
 
@@ -56,7 +59,7 @@ class Transducer:
         """(live, bound), in bytes: how far back from the end a later token can start, and after how many bytes
         of lookahead the tokens before are certain in any case: merges times the longest merged text, since
         in a longer chain of pending tokens one merge would have to occur twice."""
-        return self.longest - 1, sum(len(t) > 1 for t in self.ranks) * self.longest
+        return max(1, self.longest - 1), sum(len(t) > 1 for t in self.ranks) * self.longest
 
     def merge(self, text: bytes) -> list[int]:
         """Plain merging, lowest rank first; used on the bytes of one or two tokens only."""
@@ -80,7 +83,7 @@ class Transducer:
 
     def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
         """The ids of one word that comes in pieces of bytes. What is held is what isn't stable yet."""
-        live = max(1, self.longest)
+        live = self.live + 1
         text, last, back = bytearray(), [-1], [-1]  # by position since the last emitted token; last[0] is that token
         ranks, ends = self.ranks, self.ends
         for chunk in chunks:
@@ -98,6 +101,8 @@ class Transducer:
                 back.append(n - size)
                 if n >= 4 * live:
                     shared = self.shared(back, n, live, last)
+                    if not shared and n > self.bound + live:  # behind the sufficient lookahead any path is the one
+                        shared = self.cut(back, n, last)
                     if shared:
                         yield from self.path(last, back, shared)
                         keep = last[shared]
@@ -114,6 +119,13 @@ class Transducer:
             heads.add(back[p])
         return max(0, min(heads, default=0))
 
+    def cut(self, back: list[int], n: int, last: list[int | None]) -> int:
+        """The last position before the sufficient lookahead, on the path of the last live position."""
+        p = next(p for p in range(n, -1, -1) if last[p] is not None)
+        while p > n - self.bound:
+            p = back[p]
+        return max(0, p)
+
     def path(self, last: list[int | None], back: list[int], end: int) -> list[int]:
         got = []
         while end > 0:
@@ -124,7 +136,8 @@ class Transducer:
     def encode(self, text: str) -> list[int]:
         """The ids of a text, special tokens' strings taken as text."""
         known, ids = self.known, []
-        for w in self.words(text):
+        for m in self.words(text):
+            w = m.group()
             got = known.get(w)
             if got is None:
                 raw = w.encode("utf-8", "surrogatepass")
@@ -182,7 +195,11 @@ def decode(transducer: Transducer, ids: Iterable[int]) -> str:
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
-    return {base64.b64decode(t): int(i) for t, i in (line.split() for line in data.splitlines() if line)}
+    """The tokens of a file of ranks: a token in base64 and its rank on each line. A file of another kind is refused, as its words are cut otherwise."""
+    try:
+        return {base64.b64decode(t, validate=True): int(i) for t, i in (line.split() for line in data.splitlines() if line)}
+    except ValueError as e:
+        raise ValueError("this is no file of byte-level ranks (token in base64, rank); other kinds of tokenizers part words otherwise") from e
 
 
 def worker_transducer(data: bytes) -> Transducer:

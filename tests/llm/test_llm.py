@@ -69,6 +69,35 @@ def test_stream_is_bounded(transducer):
     assert live == transducer.longest - 1 and bound > live
 
 
+def test_lookahead_of_a_small_merge_list():
+    """Behind the sufficient lookahead tokens are emitted even while the live paths differ; the result stays that of merging."""
+    ranks = {bytes([i]): i for i in range(256)} | {b"aa": 256, b"aab": 257, b"ba": 258, b"aaaa": 259}
+    t = tokenizer.Transducer(ranks)
+    assert (t.live, t.bound) == (3, 16)
+    r = random.Random(12)
+    for _ in range(300):
+        word = bytes(r.choices(b"aab", k=r.randint(1, 200)))
+        assert list(t.stream([word])) == t.merge(word)
+    held = []
+    plain = t.shared
+    t.shared = lambda back, n, live, last: held.append(n) or 0  # as if the live paths never met
+    assert list(t.stream([b"aab" * 500])) == t.merge(b"aab" * 500) and max(held) <= t.bound + 4 * (t.live + 1) + 4
+    t.shared = plain
+
+
+def test_other_files(transducer):
+    with pytest.raises(ValueError):
+        tokenizer.read_ranks(b'{"version": "1.0"}')
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = tokenizer.read_ranks(f.read())
+    other, own = tokenizer.Transducer(ranks), tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert public_tokenizers.PATTERN == tokenizer.PATTERN
+    assert all(other.encode(x or "") == own.encode_ordinary(x or "") for x in TEXTS if x is None or "\x1c" not in x)
+
+
 def test_decoder():
     m = tokenizer.Utf8()
     r = random.Random(3)
