@@ -268,7 +268,7 @@ class Text:
 
     whole: str
     named: str
-    cased: bool
+    cased: bool | None = None
     lang: str | None = None
     line: str | None = None
     spoken: str = ""
@@ -308,6 +308,7 @@ class Splitter:
         self.small_start = c(r"(?:(?:^|\n)[\s>]*|[\p{Ll}\d][.!?]\s+)\p{Ll}{2}")
         self.letters = c(r"(\p{L}+)([.'’]?)")
         self.markup = c(rf"<[^<>]*>|\[/?[A-Za-z][^\[\]]*\]|&lt;/?[A-Za-z]+&gt;|{ENTITY}")
+        self.any_script = c("|".join(SCRIPTS.values()))
         self.scripts = {k: c(v) for k, v in SCRIPTS.items()}
         self.openers: dict[str, list[str]] = {}
         for lang, words in OPENERS.items():
@@ -358,10 +359,9 @@ class Splitter:
     # ---- the text and its lines ----------------------------------------------------------------------
 
     def script(self, text: str) -> str | None:
-        for lang, p in self.scripts.items():
-            if p.search(text):
-                return lang
-        return None
+        if not self.any_script.search(text):
+            return None
+        return next(lang for lang, p in self.scripts.items() if p.search(text))
 
     def spoken(self, line: str, hint: str | None) -> str | None:
         """The language of a line by its letters and its most frequent words; the hint where they say little. Without hint, None there."""
@@ -434,6 +434,11 @@ class Splitter:
             done = d
         return "".join([*out, line[done:]])
 
+    def cased(self, text: Text) -> bool:
+        if text.cased is None:
+            text.cased = self.small_start.search(text.whole) is None
+        return text.cased
+
     def spoken_once(self, line: str, text: Text) -> str:
         """spoken() of a line, asked once for it."""
         if text.line is not line:
@@ -508,7 +513,9 @@ class Splitter:
                     blank = True  # only the default can match
                 else:
                     own = self.spoken_once(line, text) if line[at] == "." else ""
-                    blank = self.ruled(view, done, stop if not bare else q, q, end, own, text.cased, line[at], closed)
+                    # only an ellipsis asks whether the text opens its sentences with capitals
+                    cased = line[at] not in ".…" or stop - at == 1 and line[at] == "." or self.cased(text)
+                    blank = self.ruled(view, done, stop if not bare else q, q, end, own, cased, line[at], closed)
             if blank:
                 cuts.append(q)
                 done = q
@@ -594,7 +601,7 @@ class Splitter:
         """(start, end) of each sentence in code points, end exclusive; none for a null, empty or blank text."""
         if not text:
             return []
-        facts = Text(text, (lang or "").strip().lower()[:2], self.small_start.search(text) is None)
+        facts = Text(text, (lang or "").strip().lower()[:2])
         return [(m.start() + a, m.start() + b) for m in self.lines.finditer(text) for a, b in self.line(m.group(), facts)]
 
 
