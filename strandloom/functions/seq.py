@@ -32,7 +32,7 @@ def reverse_base(s: Column) -> Column:
 def expand_base(b: Column) -> Column:
     """The bases an ambiguity code stands for; null for an unknown sign."""
     table = F.create_map(*[x for k, v in EXPANSIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    return F.element_at(table, F.upper(b)) if False else F.try_element_at(table, F.upper(b))
+    return F.try_element_at(table, F.upper(b))
 
 
 def convert_bases(s: Column, old: str, new: str) -> Column:
@@ -63,20 +63,14 @@ def window_of(seq: Column, start: Column, end: Column, length: Column) -> Column
     inner = F.when(a < b, seq.substr((a + 1).cast("int"), (b - a).cast("int"))).otherwise("")
     left = F.greatest(F.lit(0), F.least(F.lit(0) - start, end - start))
     right = F.greatest(F.lit(0), F.least(end - length, end - start))
-    n = lambda k: F.expr("repeat('N', 0)") if k is None else F.call_function("repeat", F.lit("N"), k.cast("int"))
+    n = lambda k: F.call_function("repeat", F.lit("N"), k.cast("int"))
     return F.concat(n(left), inner, n(right))
 
 
-def motif_window(seq: Column, length: Column, pos: Column, strand: Column, left: int, right: int) -> Column:
-    """The bases around the 1-based site, `left` before and `right` after it in the strand's direction, N beyond the contig."""
-    plus = window_of(seq, pos - 1 - left, pos + right, length)
-    minus = reverse_complement(window_of(seq, pos - 1 - right, pos + left, length))
-    return F.upper(F.when(strand == "-", minus).otherwise(plus))
-
-
-def mark_site(motif: Column, left: int) -> Column:
-    """The motif with its site in square brackets."""
-    return F.concat(motif.substr(1, left), F.lit("["), motif.substr(left + 1, 1), F.lit("]"), motif.substr(F.lit(left + 2), F.length(motif)))
+def mark_site(motif: Column, strand: Column, left: int, right: int) -> Column:
+    """The motif with its site in square brackets: behind `left` bases, on the minus strand behind `right`."""
+    before = F.when(strand == "-", right).otherwise(left)
+    return F.concat(motif.substr(F.lit(1), before), F.lit("["), motif.substr(before + 1, F.lit(1)), F.lit("]"), motif.substr(before + 2, F.length(motif)))
 
 
 def padded_motif(seq: Column, pos: Column, pad: int) -> Column:

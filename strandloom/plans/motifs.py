@@ -11,24 +11,25 @@ from strandloom.sources.tables import fetch
 
 
 def site_motifs(sites: DataFrame, chunks: DataFrame, lengths: DataFrame, record: str, left: int, right: int, chunk: int = 65536, wrap: bool = False) -> DataFrame:
-    """sites (record, chrom, pos 1-based, strand) with `motif`: left and right bases in the strand's direction, N beyond the contig.
+    """sites (record, chrom, pos 1-based, strand) with `motif`: the bases from `left` before to `right` behind the site on
+    the genome, N beyond the contig, turned round as a whole on the minus strand (where the site then has `right` before it).
 
-    A position that isn't a number or a strand other than + and - ends the run with an error.
+    A position that isn't made of digits or a strand other than + and - ends the run with an error.
     """
-    bad = sites.where(F.col("pos").try_cast("bigint").isNull() | ~F.coalesce(F.col("strand").isin("+", "-"), F.lit(False)))
+    bad = sites.where(~F.coalesce(F.col("pos").cast("string").rlike("^[0-9]+\\z"), F.lit(False)) | ~F.coalesce(F.col("strand").isin("+", "-"), F.lit(False)))
     if bad.limit(1).count():
         raise ValueError("rows with an invalid position or strand")
-    minus = F.col("strand") == "-"
     p = F.col("pos").cast("bigint") - 1
-    at = sites.withColumn("_a", p - F.when(minus, right).otherwise(left)).withColumn("_b", p + 1 + F.when(minus, left).otherwise(right)).join(lengths.select("chrom", F.col("length").alias("_len")), "chrom", "left")
+    placed = sites.withColumn("_a", p - left).withColumn("_b", p + 1 + right)
+    at = keyed_left_join(placed, lengths.select("chrom", F.col("length").alias("_len")), "chrom", [record])
     got = fetch(chunks, at, record, "_a", "_b", chunk)
     n = lambda k: F.call_function("repeat", F.lit("N"), F.greatest(k, F.lit(0)).cast("int"))
     size = F.lit(left + right + 1)
     before = F.least(F.greatest(-F.col("_a"), F.lit(0)), size)
     whole = F.concat(n(before), F.col("seq"), n(size - before - F.length("seq")))
-    motif = F.upper(F.when(minus, reverse_complement(whole)).otherwise(whole))
+    motif = F.upper(F.when(F.col("strand") == "-", reverse_complement(whole)).otherwise(whole))
     out = got.withColumn("motif", motif).drop("_a", "_b", "_len", "seq")
-    return out.withColumn("motif", mark_site(F.col("motif"), left)) if wrap else out
+    return out.withColumn("motif", mark_site(F.col("motif"), F.col("strand"), left, right)) if wrap else out
 
 
 def motif_scores(motifs: DataFrame, rna: bool = True, bits: bool = False, share: bool = False) -> DataFrame:

@@ -55,18 +55,25 @@ def exon_features(rows: DataFrame) -> DataFrame:
 
 
 def counters(reads: DataFrame, unpaired: bool = False) -> DataFrame:
-    """One row of counts over all reads: by flags, quality, mates and bases."""
+    """One row of counts over all reads (flag, mapq, nm, pos, cigar): by flags and quality, of either end of pairs with both
+    mates mapped, and of aligned bases, mismatches and blocks of what is mapped."""
     f = F.col("flag")
     n = lambda c: F.count_if(c)
-    primary = ~has_flag(f, "secondary") & ~has_flag(f, "supplementary") & ~has_flag(f, "qcfail")
-    mapped = primary & ~has_flag(f, "unmapped")
-    hq = mapped & high_quality(F.col("mapq"), F.col("nm"), f, unpaired)
-    return reads.agg(
-        n(F.lit(True)).alias("alignments"), n(has_flag(f, "secondary")).alias("secondary"), n(has_flag(f, "supplementary")).alias("supplementary"), n(has_flag(f, "qcfail")).alias("failed"),
-        n(primary).alias("total"), n(mapped).alias("mapped"), n(mapped & has_flag(f, "duplicate")).alias("duplicates"), n(mapped & ~has_flag(f, "duplicate")).alias("unique"),
-        n(mapped & has_flag(f, "paired")).alias("paired"), n(mapped & has_flag(f, "proper_pair")).alias("proper"), n(mapped & has_flag(f, "paired") & has_flag(f, "mate_unmapped")).alias("single_mapped"),
-        n(mapped & has_flag(f, "read1")).alias("end1"), n(mapped & has_flag(f, "read2")).alias("end2"), n(hq).alias("high_quality"), n(hq & has_flag(f, "duplicate")).alias("high_quality_duplicates"),
-        F.coalesce(F.sum(F.when(mapped, F.coalesce("nm", F.lit(0)))), F.lit(0)).alias("mismatches"), F.coalesce(F.max(F.when(mapped, F.length("seq"))), F.lit(0)).alias("read_length"),
+    extra = has_flag(f, "supplementary")
+    passed = ~has_flag(f, "secondary") & ~extra & ~has_flag(f, "qcfail")
+    mapped = passed & ~has_flag(f, "unmapped")
+    twin = mapped & has_flag(f, "paired") & ~has_flag(f, "mate_unmapped")
+    ends = {"end1": twin & has_flag(f, "read1"), "end2": twin & ~has_flag(f, "read1")}
+    good = high_quality(F.col("mapq"), F.col("nm"), f, unpaired)
+    dup = has_flag(f, "duplicate")
+    x = reads.withColumn("_b", F.coalesce(reference_blocks(F.col("cigar"), F.col("pos")), F.array())).withColumn("_bases", F.aggregate("_b", F.lit(0).cast("long"), lambda a, b: a + b["b_end"] - b["b_start"])).withColumn("_nm", F.coalesce("nm", F.lit(0)))
+    total = lambda c, v: F.coalesce(F.sum(F.when(c, v)), F.lit(0)).cast("long")
+    return x.agg(
+        n(F.lit(True)).alias("total"), n(has_flag(f, "secondary")).alias("secondary"), n(extra).alias("supplementary"), n(~extra & has_flag(f, "qcfail")).alias("failed"), n(~extra & ~has_flag(f, "qcfail") & (F.col("mapq") < MAPQ)).alias("low_mapq"),
+        n(passed).alias("passed"), n(passed & ~has_flag(f, "paired")).alias("unpaired"), n(mapped).alias("mapped"), n(mapped & dup).alias("duplicates"), n(mapped & ~dup).alias("unique"),
+        n(ends["end1"]).alias("end1"), n(ends["end2"]).alias("end2"), n(ends["end1"] & dup).alias("duplicate_pairs"), n(ends["end1"] & ~dup).alias("unique_fragments"), n(mapped & good).alias("high_quality"), n(mapped & ~good).alias("low_quality"),
+        total(mapped, F.col("_bases")).alias("bases"), total(mapped, F.col("_nm")).alias("mismatches"), total(mapped, F.size("_b")).alias("blocks"), *[total(c, v).alias(f"{e}_{k}") for e, c in ends.items() for k, v in (("mismatches", F.col("_nm")), ("bases", F.col("_bases")))],
+        F.coalesce(F.max(F.when(mapped, F.col("_bases"))), F.lit(0)).cast("long").alias("read_length"),
     )
 
 
@@ -78,17 +85,6 @@ def read_blocks(reads: DataFrame, stranded: bool = False) -> DataFrame:
     return used.select("read", group_label(F.col("rname"), strand, stranded).alias("chrom"), F.posexplode(reference_blocks(F.col("cigar"), F.col("pos"))).alias("block_no", "b")).select("read", "chrom", "block_no", "b.*")
 
 
-def end_counters(reads: DataFrame) -> DataFrame:
-    """One row over mapped reads: blocks, and of either mate of pairs with both mapped the mismatches and aligned bases."""
-    f = F.col("flag")
-    used = reads.where(~has_flag(f, "secondary") & ~has_flag(f, "supplementary") & ~has_flag(f, "qcfail") & ~has_flag(f, "unmapped"))
-    x = used.withColumn("_b", F.coalesce(reference_blocks(F.col("cigar"), F.col("pos")), F.array())).withColumn("_bases", F.aggregate("_b", F.lit(0).cast("long"), lambda a, b: a + b["b_end"] - b["b_start"]))
-    both = has_flag(f, "paired") & ~has_flag(f, "mate_unmapped")
-    ends = {"end1": both & has_flag(f, "read1"), "end2": both & ~has_flag(f, "read1")}
-    total = lambda c, v: F.coalesce(F.sum(F.when(c, v)), F.lit(0))
-    return x.agg(F.coalesce(F.sum(F.size("_b")), F.lit(0)).alias("blocks"), *[total(c, v).alias(f"{e}_{n}") for e, c in ends.items() for n, v in (("mismatches", F.coalesce("nm", F.lit(0))), ("bases", F.col("_bases")))])
-
-
 def full_cover(blocks: DataFrame, exons: DataFrame, more: Sequence[str] = ()) -> DataFrame:
     """Block and exon pairs that overlap, with `full`: whether the exon holds the whole block, and the exons' columns `more`."""
     pairs = overlap_pairs(blocks, exons.select("chrom", "e_start", "e_end", "exon_id", "gene_id", *more), ["chrom"], ("b_start", "b_end"), ("e_start", "e_end"), ["read"])
@@ -147,7 +143,7 @@ def stats(df: DataFrame, column: str) -> DataFrame:
 
 def non_globin(unamb: DataFrame, genes: DataFrame, reads: DataFrame) -> DataFrame:
     """One row: exonic reads that touch no globin gene, and their duplicates."""
-    hit = unamb.join(genes.select("gene_id", F.coalesce(F.upper("gene_name").isin(*GLOBINS), F.lit(False)).alias("_g")), "gene_id").groupBy("read").agg(F.bool_or("_g").alias("_g"))
+    hit = unamb.join(genes.select("gene_id", F.coalesce(F.col("gene_name").isin(*GLOBINS), F.lit(False)).alias("_g")), "gene_id").groupBy("read").agg(F.bool_or("_g").alias("_g"))
     return hit.where("not _g").join(reads.select("read", "duplicate"), "read").agg(F.count("*").alias("reads"), F.count_if("duplicate").alias("duplicates"))
 
 
@@ -198,7 +194,7 @@ def library_complexity(unique: int, duplicates: int) -> int:
     for _ in range(200):
         mid = (low + high) / 2
         low, high = (mid, high) if f(mid) < 0 else (low, mid)
-    return int(low)
+    return round((low + high) / 2)
 
 
 def metrics(reads: DataFrame, rows: DataFrame, unpaired: bool = False, stranded: bool = False, detection: int = 5) -> tuple[DataFrame, dict[str, DataFrame]]:
@@ -223,7 +219,6 @@ def metrics(reads: DataFrame, rows: DataFrame, unpaired: bool = False, stranded:
     c = counters(tagged, unpaired).first().asDict()
     by_class = classes(known, pairs, unamb, genes, bodies).join(flags.select("read", "hq"), "read").groupBy("class").agg(F.count("*").alias("n"), F.count_if("hq").alias("hq")).collect()
     k, hq = ({r["class"]: r[n] for r in by_class} for n in ("n", "hq"))
-    ends = end_counters(tagged).first()
     sense = (F.col("reverse") & F.col("minus")) | (~F.col("reverse") & F.col("plus"))
     one = F.col("plus") != F.col("minus")
     met = marks(pairs, bodies).join(flags.select("read", "first", "reverse"), "read").agg(F.count_if("ribosomal").alias("ribosomal"), *[F.count_if(one & (F.col("first") == first) & x).alias(n) for first, e in ((True, "end1"), (False, "end2")) for x, n in ((F.lit(True), e), (sense, f"{e}_sense"))]).first()
@@ -233,20 +228,24 @@ def metrics(reads: DataFrame, rows: DataFrame, unpaired: bool = False, stranded:
     detected = counts.where(F.col("unique_reads") >= detection).count()
     div = lambda a, b: a / b if b else float("nan")
     m = c["mapped"]
+    x, i, g, a = (k.get(n, 0) for n in ("exonic", "intronic", "intergenic", "ambiguous"))
+    hx, hi, hg, ha = (hq.get(n, 0) for n in ("exonic", "intronic", "intergenic", "ambiguous"))
+    passed, good = c["passed"], c["high_quality"]
+    # The statistics' names, in their order.
     rows_ = [
-        ("Mapping Rate", div(m, c["total"])), ("Unique Rate of Mapped", div(c["unique"], m)), ("Duplicate Rate of Mapped", div(c["duplicates"], m)), ("End 1 Mapping Rate", div(2 * c["end1"], c["total"])), ("End 2 Mapping Rate", div(2 * c["end2"], c["total"])), ("Base Mismatch", div(c["mismatches"], m)),
-        *((f"{n.title()} Rate", div(k.get(n, 0), m)) for n in ("exonic", "intronic", "intergenic", "ambiguous")), ("Intragenic Rate", div(k.get("exonic", 0) + k.get("intronic", 0), m)), ("High Quality Rate", div(c["high_quality"], m)), ("Discard Rate", 0.0),
-        *((n.replace("_", " ").title(), float(v)) for n, v in c.items()), ("Genes Detected", float(detected)), ("Estimated Library Complexity", float(library_complexity(c["unique"], c["duplicates"]))), ("Read Length", float(c["read_length"])),
-        ("Duplicate Rate of Mapped, excluding Globins", div(globin_free["duplicates"], globin_free["reads"])), ("End 1 Mismatch Rate", div(ends["end1_mismatches"], ends["end1_bases"])), ("End 2 Mismatch Rate", div(ends["end2_mismatches"], ends["end2_bases"])), ("Expression Profiling Efficiency", div(k.get("exonic", 0), c["total"])),
-        *((f"High Quality {label} Rate", div(sum(hq.get(n, 0) for n in ns), c["high_quality"])) for label, ns in (("Exonic", ["exonic"]), ("Intronic", ["intronic"]), ("Intergenic", ["intergenic"]), ("Intragenic", ["exonic", "intronic"]), ("Ambiguous Alignment", ["ambiguous"]))),
-        ("rRNA Rate", div(met["ribosomal"], m)), ("End 1 Sense Rate", div(met["end1_sense"], met["end1"])), ("End 2 Sense Rate", div(met["end2_sense"], met["end2"])), ("Avg. Splits per Read", div(ends["blocks"], m) - 1),
+        ("Mapping Rate", div(m, passed)), ("Unique Rate of Mapped", div(c["unique"], m)), ("Duplicate Rate of Mapped", div(c["duplicates"], m)), ("Duplicate Rate of Mapped, excluding Globins", div(globin_free["duplicates"], globin_free["reads"])), ("Base Mismatch", div(c["mismatches"], c["bases"])),
+        ("End 1 Mapping Rate", 2 * div(c["end1"], passed)), ("End 2 Mapping Rate", 2 * div(c["end2"], passed)), ("End 1 Mismatch Rate", div(c["end1_mismatches"], c["end1_bases"])), ("End 2 Mismatch Rate", div(c["end2_mismatches"], c["end2_bases"])), ("Expression Profiling Efficiency", div(x, passed)), ("High Quality Rate", div(good, m)),
+        ("Exonic Rate", div(x, m)), ("Intronic Rate", div(i, m)), ("Intergenic Rate", div(g, m)), ("Intragenic Rate", div(x + i, m)), ("Ambiguous Alignment Rate", div(a, m)), ("High Quality Exonic Rate", div(hx, good)), ("High Quality Intronic Rate", div(hi, good)), ("High Quality Intergenic Rate", div(hg, good)),
+        ("High Quality Intragenic Rate", div(hx + hi, good)), ("High Quality Ambiguous Alignment Rate", div(ha, good)), ("Discard Rate", div(0, m)), ("rRNA Rate", div(met["ribosomal"], m)), ("End 1 Sense Rate", div(met["end1_sense"], met["end1"])), ("End 2 Sense Rate", div(met["end2_sense"], met["end2"])), ("Avg. Splits per Read", div(c["blocks"], m) - 1),
+        ("Read Length", c["read_length"]), ("Genes Detected", detected), ("Estimated Library Complexity", library_complexity(c["unique_fragments"], c["duplicate_pairs"])),
     ]
-    # as in the reference, these are left out when there is no gene or no fragment
+    # left out when there is no gene or no fragment
     if used := biases.count():
         s = stats(biases, "bias").first()
         rows_ += [("Genes used in 3' bias", used), ("Mean 3' bias", s["mean"]), ("Median 3' bias", s["median"]), ("3' bias Std", s["std"]), ("3' bias MAD", s["mad"]), ("3' Bias, 25th Percentile", s["p25"]), ("3' Bias, 75th Percentile", s["p75"])]
     if sizes.limit(1).count():
         s = stats(sizes, "size").first()
         rows_ += [("Average Fragment Length", s["mean"]), ("Fragment Length Median", s["median"]), ("Fragment Length Std", s["std"]), ("Fragment Length MAD", s["mad"])]
+    rows_ += [("Total Reads (Raw)", c["total"]), ("Unique Mapping, Vendor QC Passed Reads (Raw)", passed), ("Mapped Reads (Raw)", m), ("Mapped Unique Reads (Raw)", c["unique"]), ("Mapped Duplicate Reads (Raw)", c["duplicates"]), ("High Quality Reads (Raw)", good), ("Exonic Reads (Raw)", x), ("Intronic Reads (Raw)", i), ("Intergenic Reads (Raw)", g)]
     table = spark.createDataFrame([(i, n, float(v)) for i, (n, v) in enumerate(rows_)], "no int, statistic string, value double")
     return table, {"genes": tpm(counts), "exons": exon_doses(pairs, unamb.join(flags.where("hq").select("read"), "read", "left_semi"), known), "fragments": sizes}

@@ -152,7 +152,7 @@ def test_sequences(spark):
     assert one(S.expand_base(F.lit("n"))) == ["G", "A", "T", "C"] and one(S.expand_base(F.lit("?"))) is None
     assert one(S.convert_bases(F.lit("aTt"), "T", "U")) == "aUu" and one(S.convert_bases(F.lit(">Tt"), "T", "U")) == ">Tt"
     assert one(S.protein_text(F.lit("ATGTAAGCC"))) == "MSTOPA" and one(S.translate_codon(F.lit("atg"))) == "M"
-    assert one(S.padded_motif(F.lit("ACGT"), F.lit(0), 2)) == "NNACG" and one(S.mark_site(F.lit("AACGG"), 2)) == "AA[C]GG"
+    assert one(S.padded_motif(F.lit("ACGT"), F.lit(0), 2)) == "NNACG" and one(S.mark_site(F.lit("AACGG"), F.lit("+"), 1, 3)) == "A[A]CGG" and one(S.mark_site(F.lit("AACGG"), F.lit("-"), 1, 3)) == "AAC[G]G"
 
 
 def test_protein_whole_text(spark, tmp_path):
@@ -172,16 +172,22 @@ def test_motifs(spark):
     chunks = tables.chunked(spark.createDataFrame([("chr1", 0, GENOME)], "chrom string, at long, seq string"), 50)
     lengths = spark.createDataFrame([("chr1", len(GENOME))], "chrom string, length long")
     r = random.Random(5)
-    sites = [(i, "chr1", str(r.choice([1, 3, 150, 329, 330, r.randint(1, 330), 400, -20])), r.choice("+-")) for i in range(60)]
+    sites = [(i, "chr1", str(r.choice([1, 3, 150, 329, 330, r.randint(1, 330), 400, 0])), r.choice("+-")) for i in range(60)]
     got = {x["id"]: x["motif"] for x in O.site_motifs(spark.createDataFrame(sites, "id int, chrom string, pos string, strand string"), chunks, lengths, "id", 10, 4, 50).collect()}
     swap = str.maketrans("ACGT", "TGCA")
     for i, _, pos, strand in sites:
         p = int(pos) - 1
         base = lambda k: GENOME[k] if 0 <= k < len(GENOME) else "N"
-        want = "".join(base(k) for k in range(p - 10, p + 5)) if strand == "+" else "".join(base(k) for k in range(p + 10, p - 5, -1)).translate(swap)
+        want = "".join(base(k) for k in range(p - 10, p + 5)) if strand == "+" else "".join(base(k) for k in range(p + 4, p - 11, -1)).translate(swap)
         assert got[i] == want
+    own = tables.chunked(spark.createDataFrame([("c", 0, "AACCCGGGGGTTTTTT")], "chrom string, at long, seq string"), 50)
+    marked = O.site_motifs(spark.createDataFrame([(1, "c", "8", "-"), (2, "c", "8", "+")], "id int, chrom string, pos string, strand string"), own, spark.createDataFrame([("c", 16)], "chrom string, length long"), "id", 4, 1, 50, wrap=True)
+    assert {x["id"]: x["motif"] for x in marked.collect()} == {1: "C[C]CCGG", 2: "CCGG[G]G"}
+    for wrong in ("x", "-20", "+5", "1.0", None):
+        with pytest.raises(ValueError):
+            O.site_motifs(spark.createDataFrame([(1, "chr1", wrong, "+")], "id int, chrom string, pos string, strand string"), chunks, lengths, "id", 1, 1, 50)
     with pytest.raises(ValueError):
-        O.site_motifs(spark.createDataFrame([(1, "chr1", "x", "+")], "id int, chrom string, pos string, strand string"), chunks, lengths, "id", 1, 1, 50)
+        O.site_motifs(spark.createDataFrame([(1, "chr1", "5", "*")], "id int, chrom string, pos string, strand string"), chunks, lengths, "id", 1, 1, 50)
 
 
 def test_logo(spark):
@@ -291,7 +297,7 @@ def test_qc(spark):
     df = spark.createDataFrame(data, "ord long, qname string, flag int, rname string, pos long, mapq int, cigar string, rnext string, pnext long, tlen long, seq string, qual string, tags map<string,string>")
     table, more = Q.metrics(df, rows, unpaired=True)
     m = {x["statistic"]: x["value"] for x in table.collect()}
-    assert m["Exonic Rate"] == pytest.approx(4 / 7) and m["Intronic Rate"] == pytest.approx(1 / 7) and m["Intergenic Rate"] == pytest.approx(1 / 7) and m["Ambiguous Rate"] == pytest.approx(1 / 7)
+    assert m["Exonic Rate"] == pytest.approx(4 / 7) and m["Intronic Rate"] == pytest.approx(1 / 7) and m["Intergenic Rate"] == pytest.approx(1 / 7) and m["Ambiguous Alignment Rate"] == pytest.approx(1 / 7)
     assert m["Unique Rate of Mapped"] == pytest.approx(6 / 7) and m["Read Length"] == 50 and m["Discard Rate"] == 0
     g = {x["gene_id"]: x for x in more["genes"].collect()}
     assert g["G1"]["reads"] == 4 and g["G1"]["tpm"] == pytest.approx(1e6) and g["G2"]["reads"] == 0
@@ -329,6 +335,8 @@ def test_qc_all_statistics(spark):
         "Average Fragment Length": 3700 / 7, "Fragment Length Median": 700, "Fragment Length Std": (sum((x - 3700 / 7) ** 2 for x in sizes) / 7) ** 0.5, "Fragment Length MAD": 0,
     }
     assert {n: m.get(n) for n in want} == pytest.approx(want)
+    assert len(m) == 49 and m["Base Mismatch"] == pytest.approx(9 / 1540) and m["End 1 Mapping Rate"] == 1 and m["Read Length"] == 100
+    assert m["Estimated Library Complexity"] == pytest.approx(Q.library_complexity(7, 2)) and m["Total Reads (Raw)"] == 18
     one = spark.createDataFrame([(0, "G", True, "-", 100, 300, 400, 310, 330), (1, "G", True, "+", 100, 300, 400, 310, 330), (2, "G", True, "+", 0, 0, 9, 0, 9)], "read long, gene_id string, full boolean, strand string, offset long, e_start long, e_end long, b_start long, b_end long")
     held = spark.createDataFrame([(0, "G"), (1, "G"), (2, "G")], "read long, gene_id string")
     got = Q.spliced_cover(one, held, held.select("read", (F.col("read") < 2).alias("hq")))
