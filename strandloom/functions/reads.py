@@ -70,9 +70,18 @@ def reversed_md(md: str | None) -> str | None:
     return "".join([*out, str(number or 0)])
 
 
-@F.pandas_udf(T.StringType())
-def reverse_md(md: pd.Series) -> pd.Series:
-    return md.map(reversed_md, na_action="ignore")
+def reverse_md(md: Column) -> Column:
+    """reversed_md as a column expression."""
+    tokens = F.reverse(F.regexp_extract_all(md, F.lit(r"\d+|\^[A-Za-z]+|[A-Za-z]"), F.lit(0)))
+    swap = lambda t: F.translate(t, "ACGTacgt", "TGCAtgca")
+    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("n"))
+
+    def step(s: Column, t: Column) -> Column:
+        turned = F.when(t.startswith("^"), F.concat(F.lit("^"), F.reverse(F.substring(t, 2, 1 << 30)))).otherwise(t)
+        digit = t.rlike("^[0-9]")
+        return F.struct(F.when(digit, s["out"]).otherwise(F.concat(s["out"], s["n"].cast("string"), swap(turned))).alias("out"), F.when(digit, s["n"] + t.try_cast("bigint")).otherwise(F.lit(0).cast("long")).alias("n"))
+
+    return F.when(md == "", md).otherwise(F.aggregate(tokens, start, step, lambda s: F.concat(s["out"], s["n"].cast("string"))))
 
 
 def score_read(cigar: str, seq: str, ref: str, plus: bool) -> tuple:

@@ -558,15 +558,34 @@ def j10(s, d):
     return N.refine(gtf_rows(s, d))[0].select("gene_id", "transcript_id", "seqname", "strand", "start", "end", "feature", "exon_number", "gene_biotype", "gene_name", "tag")
 
 
-@query("j09_prepare")
+@query(
+    "j09_prepare",
+    BASE + r""", bad as (select gene_id, transcript_id from fr where transcript_id is not null group by 1, 2 having count(distinct nullif(seqname, '')) > 1 or count(distinct nullif(strand, '')) > 1 or count(distinct nullif(gene_name, '')) > 1),
+    u as (select * from fr where transcript_id is not null and gene_id is not null and (gene_id, transcript_id) not in (select (gene_id, transcript_id) from bad where gene_id is not null)),
+    sp as (select gene_id, transcript_id, string_agg(x, ',' order by k, x) spans from (select distinct gene_id, transcript_id, case when strand = '-' then -start else start end k, cast(start as varchar) || '-' || cast("end" as varchar) x from u where feature = 'exon' and start is not null and "end" is not null) group by 1, 2),
+    t as (select gene_id, transcript_id, first(seqname order by ord) chrom, first(strand order by ord) strand, first(gene_name order by ord) gene_name, last(tag order by ord) tag, min(ord) ord, coalesce(sum(case when feature = 'exon' then "end" - start + 1 end), 0) len, min(case when feature = 'start_codon' then start end) start_codon, min(case when feature = 'stop_codon' then start end) stop_codon,
+      min(case when feature = 'exon' then start end) transcript_start, max(case when feature = 'exon' then "end" end) transcript_end from u group by 1, 2),
+    r as (select t.*, spans, case when tag in ('MANE_Select', 'Ensembl_canonical', 'basic') then 0 when regexp_extract(t.transcript_id, '\.(\d+)$', 1) <> '' then 2 when regexp_extract(t.transcript_id, '-(\d+)$', 1) <> '' then 3 else 4 end a,
+      case tag when 'MANE_Select' then 0 when 'Ensembl_canonical' then 1 when 'basic' then 2 else coalesce(try_cast(nullif(regexp_extract(t.transcript_id, '[.-](\d+)$', 1), '') as bigint), case when len >= 100000 then 100001 else 100100 - len end) end b from t join sp on sp.gene_id = t.gene_id and sp.transcript_id = t.transcript_id)
+    select gene_id, transcript_id, chrom, strand, spans, start_codon, stop_codon, gene_name, transcript_start, transcript_end from (select *, row_number() over (partition by gene_id order by a, b, ord) n from r) where n = 1""",
+)
 def j09(s, d):
     return N.prepare(gtf_rows(s, d))
 
 
-@query("j01_exon_reference")
+@query(
+    "j01_exon_reference",
+    BASE + """, p as (select seqname chrom, feature, start - 1 s, "end" e, strand, v[list_position(k, 'gene_id')] gene_id, v[list_position(k, 'transcript_id')] transcript_id, v[list_position(k, 'tag')] tag, v[list_position(k, 'transcript_support_level')] tsl from fa where feature in ('exon', 'start_codon', 'stop_codon')),
+    x as (select *, cast(case when tag = 'Ensembl_canonical' then 0 when upper(split_part(tsl, ' ', 1)) in ('NA', 'NAN') then 6 else coalesce(try_cast(split_part(tsl, ' ', 1) as bigint), 10) end as bigint) lv, cast(sum(e - s) over w as bigint) end_offset, cast(sum(e - s) over (partition by gene_id, transcript_id) as bigint) len
+      from p where feature = 'exon' window w as (partition by gene_id, transcript_id order by case when strand = '-' then -s else s end nulls first, e nulls first, chrom nulls first, strand nulls first rows unbounded preceding)),
+    y as (select *, end_offset - (e - s) start_offset from x),
+    c as (select chrom, gene_id, transcript_id, feature, strand, case when (feature = 'start_codon') = (strand <> '-') then min(case when strand = '-' then e - 1 else s end) else max(case when strand = '-' then e - 1 else s end) end b from p where feature <> 'exon' group by 1, 2, 3, 4, 5),
+    o as (select c.transcript_id, min(case when feature = 'start_codon' then q end) a, min(case when feature = 'stop_codon' then q end) z from (select c.*, case when y.strand = '-' then y.e - b - 1 else b - y.s end + start_offset q from c join y on y.chrom = c.chrom and y.transcript_id = c.transcript_id and y.s <= b and b < y.e) c group by 1)
+    select gene_id, y.transcript_id, chrom, s e_start, e e_end, start_offset, end_offset, len transcript_length, lv transcript_level, a start_codon_pos, z stop_codon_pos from y left join o on o.transcript_id = y.transcript_id""",
+)
 def j01(s, d):
     f = table(s, d, "feature")
-    return E.exon_reference(f).select("gene_id", "transcript_id", "chrom", "e_start", "e_end", "start_offset", "end_offset", "transcript_length", "transcript_level", "start_codon_pos", "stop_codon_pos")
+    return E.exon_reference(f).select("gene_id", "transcript_id", "chrom", "e_start", "e_end", "start_offset", "end_offset", "transcript_length", F.col("transcript_level").cast("long").alias("transcript_level"), "start_codon_pos", "stop_codon_pos")
 
 
 @query("d42_table_ranks", BASE + "select gene_id, count(distinct transcript_id) transcripts, count(*) exons, min(e_start) lo, max(e_end) hi from ex group by 1")
@@ -651,21 +670,38 @@ def h15(s, d):
     return A.annotate(sites(s, d).withColumn("ref", F.lit("N")).withColumn("alt", F.lit("N")), exons(s, d), every=True).where("gene_id is not null").select("site_id", "gene_id", "transcript_id", "distance2splice")
 
 
-@query(
-    "j06_annotate_top",
-    HITS + """, k as (select *, case region when 'Intronic' then 1 when 'NoncodingTranscript' then 2 when 'FivePrimeUTR' then 4 when 'ThreePrimeUTR' then 5 when 'CDS' then 8 end w from reg), b as (select *, row_number() over (partition by site_id order by w desc, lo, hi, gene_id, transcript_id) n from k)
-    select si.site_id, gene_id, transcript_id, coalesce(region, 'Intergenic') region, case when transcript_pos is not null then transcript_pos + coalesce(sc, 0) end gene_pos, region mut_type from si left join b on b.site_id = si.site_id and n = 1""",
-)
-def j06(s, d):
-    return A.annotate(sites(s, d).withColumn("ref", F.lit("N")).withColumn("alt", F.lit("N")), exons(s, d)).select("site_id", "gene_id", "transcript_id", "region", "gene_pos", "mut_type")
-
-
 def amino_sql(codon: str) -> str:
     """The amino acid sign of a codon of T, C, A and G in SQL."""
     at = [f"(strpos('TCAG', substr({codon}, {i}, 1)) - 1) * {n}" for i, n in ((1, 16), (2, 4), (3, 1))]
     return f"substr('{S.CODE}', cast({' + '.join(at)} + 1 as bigint), 1)"
 
 
+#: Spliced sequences: letters from a hash of the transcript's id, as long as the transcript.
+SPLICED = "substr(repeat(translate(md5(transcript_id), '0123456789abcdef', 'ACGTTGCACATGGTAC'), cast({n} // 32 + 1 as {t})), 1, cast({n} as {t}))"
+CODED = f"""case when regexp_full_match({{c}}, '[TCAG][TCAG][TCAG]') then case when {amino_sql('{c}')} = '*' then 'STOP' else {amino_sql('{c}')} end else 'X' end"""
+
+
+@query(
+    "j06_annotate_top",
+    HITS + f""", sq as (select gene_id, transcript_id, {SPLICED.format(n="max(transcript_length)", t="bigint")} q from ex group by 1, 2),
+    hs as (select reg.*, sq.q, case when st is null then length(q) - reg.sc else st + 3 - reg.sc end cl, substr('ACGT', cast(reg.site_id % 4 + 1 as bigint), 1) rf, substr('ACGT', cast(reg.site_id // 4 % 4 + 1 as bigint), 1) al from reg join sq on sq.gene_id = reg.gene_id and sq.transcript_id = reg.transcript_id join (select distinct gene_id g, transcript_id t, ts s2, st from hit) u on u.g = reg.gene_id and u.t = reg.transcript_id and u.s2 = reg.ts),
+    cd as (select *, case when region = 'CDS' then substr(q, cast(sc + 1 as bigint), cast(cl as bigint)) end cds, case when region = 'CDS' then transcript_pos - sc end cp from hs),
+    co as (select *, substr(cds, cast(cp // 3 * 3 + 1 as bigint), 3) codon, substr(substr(cds, cast(cp // 3 * 3 + 1 as bigint), 3), 1, cast(cp % 3 as bigint)) || al || substr(substr(cds, cast(cp // 3 * 3 + 1 as bigint), 3), cast(cp % 3 + 2 as bigint)) changed from cd),
+    ty as (select *, case when region <> 'CDS' or codon = '' then region when length(codon) < 3 then 'CDS' when {amino_sql("codon")} = {amino_sql("changed")} then 'Silent' when {amino_sql("changed")} = '*' then 'PrematureStop' else 'Substitution' end kind from co),
+    k as (select *, list_position(['Intergenic', 'Intronic', 'NoncodingTranscript', 'IncompleteTranscript', 'FivePrimeUTR', 'ThreePrimeUTR', 'IntronicSpliceSite', 'Silent', 'CDS', 'Substitution', 'ComplexSubstitution', 'InFrameIndel', 'FrameShift', 'PrematureStop', 'SpliceSite'], kind) w from ty),
+    b as (select *, row_number() over (partition by site_id order by w desc, lo, hi, gene_id, transcript_id) n from k)
+    select si.site_id, gene_id, transcript_id, transcript_pos, coalesce(region, 'Intergenic') region, case when transcript_pos is not null then transcript_pos + coalesce(sc, 0) end gene_pos, ts transcript_strand, kind mut_type, case when transcript_pos is not null then substr(repeat('N', 10) || q || repeat('N', 10), cast(transcript_pos + 1 as bigint), 21) end transcript_motif,
+      cp coding_pos, codon codon_ref, cp // 3 + 1 aa_pos, case when cds is not null then substr(array_to_string(list_transform(range(0, length(cds) // 3), lambda i: {CODED.format(c="substr(cds, cast(i * 3 + 1 as bigint), 3)")}), ''), cast(cp // 3 + 1 as bigint), 1) end aa_ref from si left join b on b.site_id = si.site_id and n = 1""",
+)
+def j06(s, d):
+    """Real alleles on transcripts with sequences: every column but the splice distance (h15)."""
+    e = exons(s, d)
+    letters = lambda k: F.lit("ACGT").substr((k % 4 + 1).cast("int"), F.lit(1))
+    v = sites(s, d).withColumn("ref", letters(F.col("site_id"))).withColumn("alt", letters(F.floor(F.col("site_id") / 4)))
+    seqs = e.groupBy("gene_id", "transcript_id").agg(F.max("transcript_length").alias("n")).select("gene_id", "transcript_id", F.expr(SPLICED.format(n="n", t="int").replace("//", "div").replace("md5(transcript_id)", "md5(cast(transcript_id as binary))")).alias("spliced"))
+    return A.annotate(v, e, seqs).select("site_id", *[c for c in A.COLUMNS if c != "distance2splice"])
+
+
 CODON_SQL = f"""select annotation_id, case when regexp_full_match(u, '[TCAG][TCAG][TCAG]') then case when {{a}} = '*' then 'STOP' else {{a}} end end aa from (select annotation_id, translate(upper(c), 'U', 'T') u from ({ANN}))"""
 
 
@@ -743,7 +779,7 @@ def h51(s, d):
 # ---- operators that SQL can't tell ------------------------------------------------------------------
 
 
-@query("h06_reverse_md")
+@query("h06_reverse_md", f"select annotation_id, cast(annotation_id % 7 as varchar) || '^' || reverse(translate(substr(m, 5, 2), 'ACGTacgt', 'TGCAtgca')) || '5' || translate(substr(m, 3, 1), 'ACGTacgt', 'TGCAtgca') || cast(annotation_id % 40 as varchar) md from ({ANN}) where length(m) = 21")
 def h06(s, d):
     md = F.concat((F.col("annotation_id") % 40).cast("string"), F.substring("m", 3, 1), F.lit("5^"), F.substring("m", 5, 2), (F.col("annotation_id") % 7).cast("string"))
     return ann(s, d).where("length(m) = 21").select("annotation_id", R.reverse_md(md).alias("md"))
@@ -787,13 +823,24 @@ def d26(s, d):
     return s.createDataFrame([(Q.library_complexity(n["u"], n["n"] - n["u"]),)], "molecules bigint")
 
 
-@query("j02_metagene")
+@query(
+    "j02_metagene",
+    BASE + """, t as (select distinct transcript_id, transcript_length l, start_codon_pos a, stop_codon_pos b from ma where transcript_id is not null and transcript_length is not null and start_codon_pos is not null and stop_codon_pos is not null), m as (select median(a) x, median(b + 3 - a) y, median(l - b - 3) z from t), s as (select x / (x + y + z) s0, y / (x + y + z) s1, z / (x + y + z) s2 from m),
+    g as (select 0.0::double a, s0 z from s union all select s0, least(1.0, s0 + s1) from s union all select least(1.0, s0 + s1), 1.0 from s), n as (select a, z, greatest(1, round_even((z - a) * 60, 0)) n from g where z > a), e as (select a + (z - a) * i / n e from n, range(200) r(i) where i < n union all select 1.0),
+    b as (select cast(row_number() over (order by e) - 1 as int) bin, e, lead(e) over (order by e) f from (select distinct e from e)),
+    x as (select case when feature_type = '5UTR' then transcript_start / greatest(start_codon_pos, 1) * s0 when feature_type = 'CDS' then s0 + (transcript_start - start_codon_pos) / greatest(stop_codon_pos + 3 - start_codon_pos, 1) * s1 else s0 + s1 + (transcript_start - stop_codon_pos - 3) / greatest(transcript_length - stop_codon_pos - 3, 1) * s2 end x from mr, s where feature_type <> 'None')
+    select bin, round((e + f) / 2, 6) feature_midpoint, cast((select count(*) from x where x >= e and (x < f or x = 1 and f = 1)) as double) count, case when (e + f) / 2 < s0 then '5UTR' when (e + f) / 2 > s0 + s1 then '3UTR' else 'CDS' end feature_type from b, s where f is not null""",
+)
 def j02(s, d):
     p = M.metagene(spans(s, d).withColumnRenamed("site_id", "record_id"), exons(s, d), 60)
     return p.select("bin", F.round("feature_midpoint", 6).alias("feature_midpoint"), "count", "feature_type")
 
 
-@query("j03_metagene_point")
+@query(
+    "j03_metagene_point",
+    BASE + """, r as (select transcript_id, min(start_codon_pos) p from bx group by 1), h as (select least((transcript_start - p + 200) // 20, 49) b, count(*) n from ma join r on r.transcript_id = ma.transcript_id where p is not null and transcript_start - p between -200 and 800 group by 1)
+    select cast(t.b as int) bin, 20.0::double * t.b - 190 distance_bp, cast(coalesce(n, 0) as double) count from range(50) t(b) left join h on h.b = t.b""",
+)
 def j03(s, d):
     p, _ = M.metagene_point(spans(s, d).withColumnRenamed("site_id", "record_id"), exons(s, d), "start_codon", 200, 800, 50)
     return p.select("bin", F.round("distance_bp", 6).alias("distance_bp"), "count")
@@ -962,13 +1009,22 @@ def b02(s, d):
     return A.spliced(o, tables.fetch(chunks, o, "r", "e_start", "e_end", 256)).select("transcript_id", "spliced")
 
 
-@query("j08_effects")
+@query(
+    "j08_effects",
+    ORACLES["h15_splice_distance"].rsplit("select r.site_id", 1)[0] + """, y as (select r.*, z.x, case when region = 'CDS' then 'IncompleteTranscript' else region end kind from reg r left join z on z.site_id = r.site_id and z.gene_id = r.gene_id and z.transcript_id = r.transcript_id and z.ts = r.ts and n = 1 where transcript_pos is not null),
+    b as (select *, row_number() over (partition by site_id order by case kind when 'ThreePrimeUTR' then 0 when 'FivePrimeUTR' then 1 when 'IncompleteTranscript' then 2 else 3 end, lo, hi, gene_id, transcript_id) k from y)
+    select site_id, kind mut_type, gene_id gene_name, transcript_id transcript_name, transcript_pos, x distance2splice from b where k = 1""",
+)
 def j08(s, d):
     v = sites(s, d).withColumn("ref", F.lit("A")).withColumn("alt", F.lit("G"))
     return A.as_effects(A.annotate(v, exons(s, d), exon_only=True)).select("site_id", "mut_type", "gene_name", "transcript_name", "transcript_pos", "distance2splice")
 
 
-@query("j05_best_features")
+@query(
+    "j05_best_features",
+    BASE + """, f as (select ord, seqname, strand, start - 1 s, "end" e, transcript_id, feature from fr where feature in ('exon', 'CDS') and start <= "end"), h as (select site_id, transcript_id transcript, feature "type", case when f.strand = '-' then e - (pos - 0.5::double) else pos - 0.5::double - s end / (e - s) relative, row_number() over (partition by site_id order by ord) n from si join f on si.chrom = f.seqname and s < pos and pos <= e)
+    select site_id, transcript, "type", cast(1 as bigint) overlap, round(relative, 6) relative from h where n = 1""",
+)
 def j05(s, d):
     f = gtf_rows(s, d).where("feature in ('exon', 'CDS') and start <= end").select(F.col("seqname").alias("chrom"), F.col("strand").alias("f_strand"), (F.col("start") - 1).alias("f_start"), F.col("end").alias("f_end"), F.col("ord").alias("feature_idx"), F.col("transcript_id").alias("transcript"), F.col("feature").alias("type"))
     return M.annotate_with_features(spans(s, d), f, "site_id").select("site_id", "transcript", "type", "overlap", F.round("relative", 6).alias("relative"))

@@ -156,14 +156,12 @@ def prepare(rows: DataFrame, support: str | None = None) -> DataFrame:
 
     Transcripts whose rows disagree on sequence, strand or gene name are left out; ties go to the first row.
     """
-    e = rows.where(F.col("feature") == "exon")
     bad = conflicting_transcripts(rows.where("transcript_id is not null"), ["seqname", "strand", "gene_name"])
     use = rows.where("transcript_id is not null and gene_id is not null").join(bad, ["gene_id", "transcript_id"], "left_anti")
     sup = F.col(support) if support else F.lit(None).cast("string")
     is_exon = F.col("feature") == "exon"
     minus = F.col("strand") == "-"
     span = F.struct(F.when(minus, -F.col("start")).otherwise(F.col("start")).alias("k"), F.concat(F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string")).alias("s"))
-    del e
     tx = use.groupBy("gene_id", "transcript_id").agg(
         F.min_by("seqname", "ord").alias("chrom"), F.min_by("strand", "ord").alias("strand"), F.min_by("gene_name", "ord").alias("gene_name"), F.max_by("tag", "ord").alias("tag"), F.max_by(sup, "ord").alias("support"), F.min("ord").alias("ord"),
         F.array_join(F.transform(F.array_sort(F.collect_set(F.when(is_exon, span))), lambda x: x["s"]), ",").alias("spans"), F.coalesce(F.sum(F.when(is_exon, F.col("end") - F.col("start") + 1)), F.lit(0)).alias("length"),
