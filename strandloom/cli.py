@@ -75,23 +75,23 @@ def annotate(spark, a):
 
 
 def liftover(spark, a):
-    exons = tables.annotation_exons(tables.read_table(spark, a.annotation, True))
+    exons = tables.annotation_exons(tables.with_record_id(tables.read_table(spark, a.annotation, True), "ord"))
     named = exons.withColumn("start_offset", F.col("offset")).withColumn("end_offset", F.col("offset") + F.col("e_end") - F.col("e_start")).withColumn("transcript_length", F.lit(0)).withColumn("start_codon_pos", F.lit(None).cast("long")).withColumn("stop_codon_pos", F.lit(None).cast("long"))
-    tx = A.transcripts(named).withColumn("ord", F.struct("gene_id", "transcript_id"))
+    tx = A.transcripts(named).join(exons.groupBy("gene_id", "transcript_id").agg(F.min("ord").alias("ord")), ["gene_id", "transcript_id"])
     if a.reads:
         r = reads.read_bam(spark, a.input) if a.input.endswith(".bam") else reads.read_sam(spark, a.input)
         if a.direction == "g2t":
             blocks = Q.read_blocks(r.withColumn("read", F.col("ord"))).select("read", "chrom", "b_start", "b_end")
-            picked = L.pick_transcript(blocks, exons.withColumn("ord", F.xxhash64("transcript_id"))).withColumnRenamed("read", "ord")
+            picked = L.pick_transcript(blocks, exons).withColumnRenamed("read", "ord")
             r = r.join(picked, "ord")
-        out = L.lift_reads(r, tx.drop("ord"), "genome" if a.direction == "t2g" else "transcript")
+        out = L.lift_reads(r, tx if a.direction == "t2g" else tx.drop("ord"), "genome" if a.direction == "t2g" else "transcript")
         size = tables.read_faidx(spark, a.faidx) if a.faidx else tx.select(F.col("transcript_id").alias("chrom"), F.aggregate("exons", F.lit(0).cast("long"), lambda s, e: s + e["g_end"] - e["g_start"]).alias("length"))
         return reads.write_sam(out.drop("demoted"), size, a.output, a.sort)
     raw = tables.with_record_id(tables.read_table(spark, a.input, True), "record_id")
     if a.direction == "t2g":
         out = L.table_to_genome(raw.withColumnsRenamed({a.gene: "gene_id", a.position: "tx_pos"}), tx, "record_id")
     else:
-        out = L.table_to_transcript(raw.withColumnsRenamed({a.chrom: "chrom", a.position: "pos"}), exons.withColumn("ord", F.struct("gene_id", "transcript_id")), "record_id")
+        out = L.table_to_transcript(raw.withColumnsRenamed({a.chrom: "chrom", a.position: "pos"}), exons, "record_id")
     sinks.write_table(out.orderBy("record_id").drop("record_id"), a.output)
 
 

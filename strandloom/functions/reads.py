@@ -70,8 +70,9 @@ def reversed_md(md: str | None) -> str | None:
     return "".join([*out, str(number or 0)])
 
 
-def reverse_md(md: Column) -> Column:
+def reverse_md(md: Column | str) -> Column:
     """reversed_md as a column expression."""
+    md = F.col(md) if isinstance(md, str) else md
     tokens = F.reverse(F.regexp_extract_all(md, F.lit(r"\d+|\^[A-Za-z]+|[A-Za-z]"), F.lit(0)))
     swap = lambda t: F.translate(t, "ACGTacgt", "TGCAtgca")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,10 +18,18 @@ DROPPED_TO_GENOME = ("SA", "XA")
 DROPPED_TO_TRANSCRIPT = ("NM", "MD", "AS", "XS", "YS", "XA", "SA", "XC")
 
 
+# The decimal digits of other scripts, as numbers are read.
+DIGITS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹०१२३४५६७८९０１２３４５６７８９"
+NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+
+
 def position(c: Column) -> Column:
-    """A position text as a number; blank, non-numeric and non-finite ones give -1, decimals are cut."""
-    d = c.try_cast("double")
-    return F.coalesce(F.when(d.isNull() | F.isnan(d) | (F.abs(d) == float("inf")), -1).otherwise(d.try_cast("bigint")), F.lit(-1))
+    """A position text as a number, digits of any script and _ between digits allowed; blank, non-numeric and non-finite ones
+    and those beyond 64 bits give -1, decimals are cut."""
+    ascii_ = F.translate(F.btrim(c, F.lit(" \t\r\n\f\x0b\u00a0\u3000")), DIGITS, "0123456789" * (len(DIGITS) // 10))
+    plain = F.regexp_replace(ascii_, "(?<=[0-9])_(?=[0-9])", "")
+    d = F.when(plain.rlike(NUMBER), plain.try_cast("double"))
+    return F.coalesce(F.when(F.abs(d) < float(1 << 63), d.try_cast("bigint")), F.lit(-1))
 
 
 def first_transcripts(tx: DataFrame) -> DataFrame:
@@ -94,11 +103,33 @@ def flipped(flag: int) -> int:
     return flag ^ 48 if flag & 1 else flag ^ 16
 
 
-def _at(exons: list, tpos: int) -> tuple[int, int] | None:
-    """(exon number, genome position) on the exons in genome order with running lengths."""
-    for i, (start, end, before) in enumerate(exons):
-        if before <= tpos < before + end - start:
-            return i, start + tpos - before
+def running(exons: list[tuple[int, int]]) -> tuple[list[tuple[int, int, int]], int]:
+    """The exons in genome order with the bases before each, and the bases of all."""
+    flat, length = [], 0
+    for s, e in sorted(exons):
+        flat.append((s, e, length))
+        length += e - s
+    return flat, length
+
+
+def _at(flat: list, tpos: int) -> tuple[int, int] | None:
+    """(exon number, genome position) of a position on the exons in genome order."""
+    i = bisect_right(flat, tpos, key=lambda x: x[2]) - 1
+    while i >= 0 and flat[i][1] <= flat[i][0]:
+        i -= 1
+    if i < 0 or tpos - flat[i][2] >= flat[i][1] - flat[i][0]:
+        return None
+    return i, flat[i][0] + tpos - flat[i][2]
+
+
+def mate_on_transcript(pos: int, size: int, exons: list[tuple[int, int]], strand: str) -> int | None:
+    """The mate's position on the transcript, None when it isn't in an exon. On a minus transcript its end is taken to lie
+    as many bases off as the read is long, as a read doesn't tell its mate's length."""
+    flat, length = running(exons)
+    for s, e, before in flat:
+        if s <= pos < e:
+            t = before + pos - s
+            return max(length - 1 - t - max(size, 1) + 1, 0) if strand == "-" else t
     return None
 
 
@@ -108,10 +139,7 @@ def to_genome(read: dict, exons: list[tuple[int, int]], strand: str) -> dict | N
     On a minus transcript the read is turned round. Reference-consuming operations are cut at exon ends and
     an N bridges each intron; what would go past the last exon is left out.
     """
-    flat, length = [], 0
-    for s, e in sorted(exons):
-        flat.append((s, e, length))
-        length += e - s
+    flat, length = running(exons)
     ops = parse_cigar(read["cigar"])
     end = read["pos"] + sum(n for op, n in ops if op in "MDN=XP")
     if not ops or read["pos"] < 0 or end > length:
@@ -146,55 +174,53 @@ def to_genome(read: dict, exons: list[tuple[int, int]], strand: str) -> dict | N
 def to_transcript(read: dict, exons: list[tuple[int, int]], strand: str) -> dict | None:
     """A read on the genome, on a transcript; None when it doesn't fit.
 
-    Each base becomes a transcript position, clipped (outside the exons, also within the read) or inserted;
+    Stretches become stretches of the transcript, clipped (outside the exons, also within the read) or inserted;
     they are put together from 5' to 3', an N over left-out exon bases. A read with deletions must lie in
     exons with every matched and deleted base and may have no insertion.
     """
-    flat, length = [], 0
-    for s, e in sorted(exons):
-        flat.append((s, e, length))
-        length += e - s
+    flat, length = running(exons)
     minus = strand == "-"
-
-    def where(g: int) -> int | None:
-        for s, e, before in flat:
-            if s <= g < e:
-                return length - 1 - (before + g - s) if minus else before + g - s
-        return None
-
     ops = parse_cigar(read["cigar"])
     deleted = any(op == "D" for op, _ in ops)
-    g, events = read["pos"], []
+    g, runs = read["pos"], []  # (operation, bases, first transcript position or None)
     for op, n in ops:
         if op in "M=XD":
-            for k in range(n):
-                t = where(g + k)
-                if deleted and t is None:
+            i, at = max(0, bisect_right(flat, g, key=lambda x: x[0]) - 1), g
+            while at < g + n:
+                while i < len(flat) and flat[i][1] <= at:
+                    i += 1
+                s, e, before = flat[i] if i < len(flat) else (g + n, g + n, 0)
+                stop = min(g + n, e if s <= at else s)
+                if s <= at:
+                    t = before + at - s
+                    runs.append(("D" if op == "D" else "M", stop - at, length - t - (stop - at) if minus else t))
+                elif deleted:
                     return None
-                events.append(("D" if op == "D" else "M", t) if t is not None else ("S", None))
+                else:
+                    runs.append(("S", stop - at, None))
+                at = stop
             g += n
         elif op == "N":
             g += n
         elif op in "IS":
             if deleted and op == "I":
                 return None
-            events += [(op, None)] * n
+            runs.append((op, n, None))
         elif deleted and op != "P":
             return None
     if minus:
-        events.reverse()
+        runs.reverse()
     made, last = [], None
-    for op, t in events:
+    for op, n, t in runs:
         if t is not None:
             if last is not None:
                 if t <= last:
                     return None
-                if t > last + 1:
-                    made.append(("N", t - last - 1))
-            last = t
-        made.append((op, 1))
-    placed = [t for _, t in events if t is not None]
-    if not placed or sum(n for op, n in made if op in "MIS=X") != len(read["seq"]) or placed[-1] + 1 > length:
+                made.append(("N", t - last - 1))
+            last = t + n - 1
+        made.append((op, n))
+    placed = [t for _, _, t in runs if t is not None]
+    if not placed or sum(n for op, n in made if op in "MIS=X") != len(read["seq"]) or last + 1 > length:
         return None
     out = dict(read) | {"pos": placed[0], "cigar": format_cigar(made), "md": None}
     if minus:
@@ -217,12 +243,16 @@ def lift_reads(reads: DataFrame, tx: DataFrame, to: str = "genome") -> DataFrame
 
     To the genome a read finds its transcript by reference name; one that doesn't fit stays and is marked
     demoted (its flag is kept). To transcripts `tx` must be joined already as transcript_id; one that doesn't
-    fit is dropped. The order of the reads is in `ord`.
+    fit is dropped, and a mate on the same sequence is placed on the read's transcript, any other left out. The order
+    of the reads is in `ord`.
     """
     if to == "genome":
-        keyed = keyed_transcripts(tx).select(F.col("key").alias("rname"), F.col("chrom").alias("t_chrom"), F.col("strand").alias("t_strand"), F.transform("exons", lambda e: F.struct(e["g_start"].alias("s"), e["g_end"].alias("e"))).alias("t_exons"))
-        joined = keyed_left_join(reads, keyed.dropDuplicates(["rname"]), "rname", ["ord"])
-        mates = keyed.select(F.col("rname").alias("_mate"), F.col("t_chrom").alias("m_chrom"), F.col("t_strand").alias("m_strand"), F.col("t_exons").alias("m_exons")).dropDuplicates(["_mate"])
+        # of several transcripts of a name the first: by `ord` where tx has it, then by gene, sequence and strand
+        first = [c for c in ("ord", "gene_id", "chrom", "strand") if c in tx.columns]
+        spans = F.transform("exons", lambda e: F.struct(e["g_start"].alias("s"), e["g_end"].alias("e")))
+        keyed = keyed_transcripts(tx).groupBy(F.col("key").alias("rname")).agg(F.min_by(F.struct(F.col("chrom").alias("t_chrom"), F.col("strand").alias("t_strand"), spans.alias("t_exons")), F.struct(*first)).alias("t")).select("rname", "t.*")
+        joined = keyed_left_join(reads, keyed, "rname", ["ord"])
+        mates = keyed.select(F.col("rname").alias("_mate"), F.col("t_chrom").alias("m_chrom"), F.col("t_strand").alias("m_strand"), F.col("t_exons").alias("m_exons"))
         joined = keyed_left_join(joined.withColumn("_mate", F.when(F.col("rnext") == "=", F.col("rname")).otherwise(F.col("rnext"))), mates, "_mate", ["ord"]).drop("_mate")
     else:
         joined = reads.join(tx.select("transcript_id", F.col("strand").alias("t_strand"), F.transform("exons", lambda e: F.struct(e["g_start"].alias("s"), e["g_end"].alias("e"))).alias("t_exons")), "transcript_id")
@@ -243,11 +273,12 @@ def lift_reads(reads: DataFrame, tx: DataFrame, to: str = "genome") -> DataFrame
                     continue
                 out = {**{k: r[k] for k in names if k in r}, **{k: got[k] for k in ("flag", "pos", "cigar", "seq", "qual")}, "tags": _tags(tags, drop, got["md"]), "demoted": False}
                 out["rname"] = r["t_chrom"] if to == "genome" else r["transcript_id"]
+                if to != "genome":
+                    same = r["flag"] & 1 and r["rnext"] in ("=", r["rname"]) and r["pnext"] is not None and r["pnext"] >= 0
+                    mate = mate_on_transcript(r["pnext"], len(r["seq"] or ""), exons, r["t_strand"]) if same else None
+                    out |= {"rnext": "*", "pnext": -1} if mate is None else {"rnext": "=", "pnext": mate}
                 if to == "genome" and r["flag"] & 1 and r.get("m_exons") is not None and r["pnext"] is not None:
-                    flat, length = [], 0
-                    for e in sorted((e["s"], e["e"]) for e in r["m_exons"]):
-                        flat.append((*e, length))
-                        length += e[1] - e[0]
+                    flat, length = running([(e["s"], e["e"]) for e in r["m_exons"]])
                     p = r["pnext"]
                     if r["m_strand"] == "-":
                         size = sum(n for op, n in parse_cigar(r["cigar"]) if op in "MDN=X")

@@ -770,10 +770,15 @@ def h35(s, d):
     return g.select("gene_id", "gene_name", b.alias("biotype"), G.family(b, F.col("gene_name")).alias("family"))
 
 
-@query("h51_positions", "select line_no, coalesce(case when isfinite(try_cast(f[2] as double)) then try_cast(trunc(try_cast(f[2] as double)) as bigint) end, -1) pos from (select line_no, string_split(line, chr(9)) f from site_lines) where len(f) > 1 and regexp_full_match(f[2], '[0-9.eE+-]*') and not contains(f[2], '٣')")
+@query(
+    "h51_positions",
+    f"""with a as (select line_no, string_split(line, chr(9)) f from site_lines), b as (select line_no, translate(trim(f[2], e' \\t\\r\\n\\f\\x0b\u00a0\u3000'), '{L.DIGITS}', '{"0123456789" * (len(L.DIGITS) // 10)}') p from a where len(f) > 1), c as (select line_no, regexp_replace(regexp_replace(p, '([0-9])_([0-9])', '\\1\\2', 'g'), '([0-9])_([0-9])', '\\1\\2', 'g') p from b)
+    select line_no, coalesce(case when regexp_full_match(p, '{L.NUMBER[1:-1]}') and abs(try_cast(p as double)) < 9223372036854775808.0 then try_cast(trunc(try_cast(p as double)) as bigint) end, -1) pos from c""",
+)
 def h51(s, d):
+    """The second field of every line that has one, whatever stands in it."""
     f = F.split("line", "\t", -1)
-    return table(s, d, "site_lines").withColumn("f", f).where((F.size("f") > 1) & F.get("f", F.lit(1)).rlike("^[0-9.eE+-]*\\z")).select("line_no", L.position(F.get("f", F.lit(1))).alias("pos"))
+    return table(s, d, "site_lines").withColumn("f", f).where(F.size("f") > 1).select("line_no", L.position(F.get("f", F.lit(1))).alias("pos"))
 
 
 # ---- operators that SQL can't tell ------------------------------------------------------------------

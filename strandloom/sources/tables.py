@@ -68,15 +68,16 @@ def span_list(spans: Column) -> Column:
 
 def annotation_exons(table: DataFrame) -> DataFrame:
     """(gene_id, transcript_id, chrom, strand, e_start, e_end, offset): the exons of an annotation table with their
-    5' offset in the listed order of spans. transcript_id defaults to gene_id; rows without a span list are skipped.
+    5' offset in the listed order of spans. transcript_id defaults to gene_id; rows without a span list are skipped; `ord`, the table's order, stays.
     """
     rows = table.where("gene_id is not null and spans is not null")
     tx = F.coalesce("transcript_id", "gene_id") if "transcript_id" in table.columns else F.col("gene_id")
     size = lambda e: e["e_end"] - e["e_start"]
-    rows = rows.select("gene_id", tx.alias("transcript_id"), "chrom", "strand", span_list(F.col("spans")).alias("_x"))
+    order = [c for c in ("ord",) if c in table.columns]
+    rows = rows.select("gene_id", tx.alias("transcript_id"), "chrom", "strand", span_list(F.col("spans")).alias("_x"), *order)
     rows = rows.select("*", F.posexplode("_x").alias("_i", "_e")).where("_e.e_start < _e.e_end")
     before = F.aggregate(F.slice("_x", F.lit(1), F.col("_i")), F.lit(0).cast("long"), lambda a, e: a + size(e))
-    return rows.select("gene_id", "transcript_id", "chrom", "strand", F.col("_e.e_start").alias("e_start"), F.col("_e.e_end").alias("e_end"), before.alias("offset"), F.col("_i").alias("exon_no"))
+    return rows.select("gene_id", "transcript_id", "chrom", "strand", F.col("_e.e_start").alias("e_start"), F.col("_e.e_end").alias("e_end"), before.alias("offset"), F.col("_i").alias("exon_no"), *order)
 
 
 def read_faidx(spark: SparkSession, path: str) -> DataFrame:

@@ -249,6 +249,69 @@ def test_lift_frame(spark, exons):
     assert lines[0].split("\t")[:6] == sam[1].split("\t")[:6]
 
 
+def per_base(read, exons, strand):
+    """to_transcript base by base."""
+    at, n = {}, 0
+    for s, e in sorted(exons):
+        for g in range(s, e):
+            at[g], n = n, n + 1
+    ops = L.parse_cigar(read["cigar"])
+    deleted = any(op == "D" for op, _ in ops)
+    g, events = read["pos"], []
+    for op, k in ops:
+        if op in "M=XD":
+            for x in range(g, g + k):
+                t = at.get(x)
+                if t is None and deleted:
+                    return None
+                events.append(("S", None) if t is None else ("D" if op == "D" else "M", n - 1 - t if strand == "-" else t))
+            g += k
+        elif op == "N":
+            g += k
+        elif deleted and op == "I":
+            return None
+        else:
+            events += [(op, None)] * k
+    events = events[::-1] if strand == "-" else events
+    made, last = [], None
+    for op, t in events:
+        if t is not None:
+            if last is not None:
+                if t <= last:
+                    return None
+                made.append(("N", t - last - 1))
+            last = t
+        made.append((op, 1))
+    placed = [t for _, t in events if t is not None]
+    if not placed or sum(k for op, k in made if op in "MIS=X") != len(read["seq"]):
+        return None
+    return placed[0], L.format_cigar(made)
+
+
+def test_to_transcript_brute():
+    r = random.Random(21)
+    done = 0
+    for _ in range(4000):
+        cuts = sorted(r.sample(range(100), 2 * r.randint(1, 4)))
+        exons, strand = list(zip(cuts[::2], cuts[1::2])), r.choice("+-")
+        cigar = "".join(f"{r.randint(1, 12)}{op}" for op in r.choice(["M", "MNM", "SMS", "MIM", "MDM", "MNMNM", "M=XM", "MNMDM"]))
+        x = read(r.randint(0, 95), cigar, "A" * sum(n for op, n in L.parse_cigar(cigar) if op in "MIS=X"))
+        got = L.to_transcript(x, exons, strand)
+        assert (got and (got["pos"], got["cigar"])) == per_base(x, exons, strand), (x, exons, strand)
+        done += got is not None
+    assert done > 500
+
+
+def test_mates_on_transcripts(spark, exons):
+    assert L.mate_on_transcript(55, 5, [(10, 30), (50, 70)], "+") == 25 and L.mate_on_transcript(40, 5, [(10, 30), (50, 70)], "+") is None
+    assert L.mate_on_transcript(130, 5, [(120, 150)], "-") == 15 and L.mate_on_transcript(149, 5, [(120, 150)], "-") == 0
+    tx = A.transcripts(exons)
+    sam = ["a\t99\tchr1\t13\t60\t5M\t=\t56\t48\tACGTA\tIIIII", "b\t99\tchr1\t13\t60\t5M\t=\t41\t33\tACGTA\tIIIII", "c\t99\tchr1\t13\t60\t5M\tchr2\t56\t0\tACGTA\tIIIII", "d\t0\tchr1\t13\t60\t5M\t*\t0\t0\tACGTA\tIIIII"]
+    parsed = reads.parse_sam(spark.createDataFrame(list(enumerate(sam)), "ord long, value string")).withColumn("transcript_id", F.lit("t1"))
+    got = {r["qname"]: (r["rname"], r["pos"], r["rnext"], r["pnext"]) for r in L.lift_reads(parsed, tx, "transcript").collect()}
+    assert got == {"a": ("t1", 2, "=", 25), "b": ("t1", 2, "*", -1), "c": ("t1", 2, "*", -1), "d": ("t1", 2, "*", -1)}
+
+
 def test_bam(spark, tmp_path):
     name, seq = b"r1\0", "ACGTN"
     packed = bytes((("=ACMGRSVTWYHKDBN".index(a) << 4) | "=ACMGRSVTWYHKDBN".index(b)) for a, b in zip("ACG", "CGT"))
