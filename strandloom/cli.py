@@ -128,7 +128,7 @@ def coordinate(spark, a):
 def refine(spark, a):
     final, lost = N.refine(refine_rows(spark, a.input))
     attrs = gtf.format_attributes([(k, F.col(k)) for k in ("gene_id", "transcript_id", "gene_name", "gene_biotype", "exon_number", "tag")])
-    gtf.write_gtf(final.withColumn("source", F.lit("refined")).withColumn("score", F.lit(".")).withColumn("frame", F.lit(".")).withColumn("attributes", attrs), a.output)
+    gtf.write_gtf(final.withColumn("source", F.lit("refined")).withColumn("score", F.lit(".")).withColumn("frame", F.lit(".")).withColumn("attributes", attrs), a.output, comments=gtf.read_comments(spark, a.input))
     if a.skipped:
         sinks.write_table(lost.orderBy("gene_id", "start"), a.skipped)
 

@@ -8,7 +8,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.sources.tables import numbered_rows, with_place, with_record_id
+
 COLUMNS = ("seqname", "source", "feature", "start", "end", "score", "strand", "frame", "attributes")
+# What a key and its value look like in the two formats.
 GTF_PAIR = r'(\w+)\s+"(.*?)"(?:;|$)'
 GFF_PAIR = r"(\w+)=([^;]*)"
 
@@ -57,21 +60,34 @@ def parse_lines(lines: DataFrame, line: str = "value", gff: bool = False) -> Dat
     return rows.where(F.col("start").isNotNull() & F.col("end").isNotNull()).withColumn("attrs", attribute_map(F.col("attributes"), gff)).drop("_f")
 
 
-def read_gtf(spark: SparkSession, path: str, gff: bool | None = None, names: DataFrame | None = None, search: str | None = None) -> DataFrame:
-    """The rows of a file with `_ord`, their place in it. Lines from `##FASTA` on are left out.
+def read_gtf(spark: SparkSession, path: str, gff: bool | None = None, names: DataFrame | None = None, search: str | None = None, strict: bool = False) -> DataFrame:
+    """The rows of a file, a folder or a pattern, with `_ord`, their place in it (files by name). In each file, lines from `##FASTA` on are left out.
 
     names (old, new) renames sequences - a name that isn't there stays; search keeps those whose new name
-    matches. A file is read whole by Spark's text source; the place is the text offset order within the file.
+    matches. strict ends with an error where a line that is no comment doesn't parse.
     """
-    text = spark.read.text(path).withColumn("_ord", F.monotonically_increasing_id())
-    stop = text.where(F.col("value").startswith("##FASTA")).agg(F.min("_ord")).first()[0]
-    kept = text if stop is None else text.where(F.col("_ord") < stop)
-    rows = parse_lines(kept, gff=is_gff(path) if gff is None else gff).drop("value")
+    text = numbered_rows(with_place(spark.read.text(path)), "_ord").drop("_block", "_row")
+    stops = text.where(F.col("value").startswith("##FASTA")).groupBy("_file").agg(F.min("_ord").alias("_stop"))
+    kept = text.join(stops, "_file", "left").where("_stop is null or _ord < _stop").drop("_file", "_stop")
+    rows = parse_lines(kept, gff=is_gff(path) if gff is None else gff)
+    if strict:
+        data = kept.where((F.trim("value") != "") & ~F.col("value").startswith("#"))
+        if lost := data.join(rows.select("_ord"), "_ord", "left_anti").limit(1).collect():
+            raise ValueError(f"{path}: line {lost[0]['_ord'] + 1} doesn't parse: {lost[0]['value'][:80]!r}")
+    rows = rows.drop("value")
     if names is not None:
         rows = rows.join(names.select(F.col("old").alias("seqname"), "new"), "seqname", "left").withColumn("seqname", F.coalesce("new", "seqname")).drop("new")
     return rows.where(F.col("seqname").rlike(search)) if search else rows
 
 
+def read_comments(spark: SparkSession, path: str) -> list[str]:
+    """The comment lines before the first row of a file, in order: a header, so that they fit the driver."""
+    text = with_record_id(spark.read.text(path), "_ord").where(F.trim("value") != "")
+    first = text.where(~F.col("value").startswith("#")).agg(F.min("_ord")).first()[0]
+    head = text.where(F.col("value").startswith("#"))
+    return [r["value"] for r in (head if first is None else head.where(F.col("_ord") < first)).orderBy("_ord").collect()]
+
+
 def format_attributes(items: Sequence[tuple[str, Column]]) -> Column:
     """`key "value";` for each non-null value, in the given order."""
     return F.array_join(F.filter(F.array(*[F.when(v.isNotNull(), F.concat(F.lit(f'{k} "'), v.cast("string"), F.lit('";'))) for k, v in items]), lambda x: x.isNotNull()), " ")

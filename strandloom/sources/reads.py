@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.sources.tables import with_record_id
+
 SAM = ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual")
 SCHEMA = "qname string, flag int, rname string, pos bigint, mapq int, cigar string, rnext string, pnext bigint, tlen bigint, seq string, qual string, tags map<string,string>, ord bigint"
 
@@ -20,22 +22,34 @@ def parse_sam(lines: DataFrame, line: str = "value", order: str = "ord") -> Data
     rows = lines.where(~F.col(line).startswith("@") & (F.col(line) != "")).withColumn("_f", f).where(F.size("_f") >= 11)
     kinds = {"flag": "int", "pos": "bigint", "mapq": "int", "pnext": "bigint", "tlen": "bigint"}
     cols = [F.get("_f", F.lit(i)).try_cast(kinds.get(c, "string")).alias(c) for i, c in enumerate(SAM)]
-    tags = F.transform(F.slice("_f", 12, 1000), lambda t: F.struct(F.substring(t, 1, 2).alias("k"), t.substr(F.lit(4), F.length(t)).alias("v")))
+    tags = F.transform(F.slice("_f", F.lit(12), F.greatest(F.size("_f"), F.lit(1))), lambda t: F.struct(F.substring(t, 1, 2).alias("k"), t.substr(F.lit(4), F.length(t)).alias("v")))
     unique = F.map_from_entries(F.filter(tags, lambda t: F.length(t["k"]) == 2))
     got = rows.select(*cols, unique.alias("tags"), order)
     return got.withColumn("pos", F.col("pos") - 1).withColumn("pnext", F.col("pnext") - 1)
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    return parse_sam(spark.read.text(path).withColumn("ord", F.monotonically_increasing_id()))
+    return parse_sam(with_record_id(spark.read.text(path), "ord"))
 
 
 def _inflate(data: bytes) -> Iterator[bytes]:
-    """The contents of the gzip members of a BGZF file, one after another."""
-    while data:
-        d = zlib.decompressobj(31)
-        yield d.decompress(data)
-        data = d.unused_data
+    """The contents of a BGZF file's blocks, one after another; each tells its size, so nothing is copied or read twice."""
+    view, at = memoryview(data), 0
+    while at + 18 <= len(view):
+        extra, size = struct.unpack_from("<H", view, at + 10)[0] if view[at + 3] & 4 else 0, None
+        p = at + 12
+        while p < at + 12 + extra:
+            tag, n = bytes(view[p : p + 2]), struct.unpack_from("<H", view, p + 2)[0]
+            if tag == b"BC":
+                size = struct.unpack_from("<H", view, p + 4)[0] + 1
+            p += 4 + n
+        if size is None:  # a plain gzip member
+            d = zlib.decompressobj(31)
+            yield d.decompress(view[at:])
+            size = len(view) - at - len(d.unused_data)
+        else:
+            yield zlib.decompress(view[at : at + size], 31)
+        at += size
 
 
 _BASES, _OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"

@@ -6,6 +6,7 @@ import os
 from collections.abc import Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,12 +24,30 @@ def read_table(spark: SparkSession, path: str, header: bool = False, sep: str =
     return df if header else df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
+def with_place(df: DataFrame) -> DataFrame:
+    """Adds `_file`, `_block` and `_row`: the file a row comes from, the start of the split in it, and a number that grows
+    within the split. Spark hands out splits by size over all files, so partitions tell no order.
+
+    A frame that doesn't come straight from files has one file, and its partitions for blocks.
+    """
+    try:
+        placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    except AnalysisException:
+        placed = df.select("*", F.lit("").alias("_file"), F.spark_partition_id().cast("long").alias("_block"))
+    return placed.withColumn("_row", F.monotonically_increasing_id())
+
+
 def with_record_id(df: DataFrame, name: str = "record_id") -> DataFrame:
-    """Dense row numbers from 0 in input order: partition counts first, then an offset per partition."""
-    marked = df.withColumn("_part", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id())
-    counts = marked.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_mono").alias("_first"))
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_first", "_before")
-    return marked.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_mono") - F.col("_first") + F.col("_before")).drop("_part", "_mono", "_first", "_before")
+    """Dense row numbers from 0 in input order, files by name: splits are counted, and each gets an offset."""
+    return numbered_rows(with_place(df), name).drop("_file", "_block", "_row")
+
+
+def numbered_rows(placed: DataFrame, name: str) -> DataFrame:
+    """As with_record_id, for a frame of with_place."""
+    counts = placed.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)  # one row per split
+    offsets = counts.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(offsets, ["_file", "_block"]).withColumn(name, F.col("_row") - F.col("_first") + F.col("_before")).drop("_first", "_before")
 
 
 def sites(df: DataFrame, columns: Sequence[int]) -> DataFrame:
@@ -103,24 +122,26 @@ def read_fasta(spark: SparkSession, path: str, chunk: int = 65536) -> DataFrame:
 
     The lines are split over tasks; a running length over the lines of a record places each of them.
     """
-    text = spark.read.text(path).withColumn("_part", F.spark_partition_id()).withColumn("_no", F.monotonically_increasing_id())
+    text = with_place(spark.read.text(path))
     lines = text.where(F.trim("value") != "").withColumn("_head", F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>(\S+)", 1)))
-    named = fill_down(lines, "_head", "_no").withColumnRenamed("_filled", "chrom").where("_head is null and chrom is not null")
+    named = fill_down(lines, "_head", "_row").withColumnRenamed("_filled", "chrom").where("_head is null and chrom is not null")
     size = F.length("value")
-    local = F.sum(size).over(Window.partitionBy("_part", "chrom").orderBy("_no").rowsBetween(Window.unboundedPreceding, 0)) - size
-    sums = named.groupBy(F.col("_part").alias("_p"), F.col("chrom").alias("_c")).agg(F.sum(size).alias("_n"))
-    before = sums.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("_c").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    placed = named.withColumn("_local", local).join(before, (F.col("_part") == F.col("_p")) & (F.col("chrom") == F.col("_c")))
+    split = ["_file", "_block", "chrom"]
+    local = F.sum(size).over(Window.partitionBy(*split).orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)) - size
+    sums = named.groupBy(*split).agg(F.sum(size).alias("_n"))
+    before = sums.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("chrom").orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    placed = named.withColumn("_local", local).join(before, split)
     return chunked(placed.select("chrom", (F.col("_local") + F.col("_before")).alias("at"), F.col("value").alias("seq")), chunk)
 
 
 def fill_down(df: DataFrame, column: str, order: str) -> DataFrame:
-    """Adds `_filled`: the last non-null value of `column` up to each row. `df` has `_part`, the input partition, whose
-    rows are consecutive in `order`; only one value per partition is carried over to the next ones."""
-    tails = df.groupBy("_part").agg(F.max_by(column, F.when(F.col(column).isNotNull(), F.col(order))).alias("_tail"))
-    carry = tails.select("_part", F.last("_tail", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
-    local = F.last(column, ignorenulls=True).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("_local", local).join(carry, "_part", "left").withColumn("_filled", F.coalesce("_local", "_carry")).drop("_local", "_carry")
+    """Adds `_filled`: the last non-null value of `column` up to each row of the same file. `df` has `_file` and `_block`, whose
+    rows are consecutive in `order`; only one value per block is carried over to the next ones."""
+    block = ["_file", "_block"]
+    tails = df.groupBy(*block).agg(F.max_by(column, F.when(F.col(column).isNotNull(), F.col(order))).alias("_tail"))
+    carry = tails.select(*block, F.last("_tail", ignorenulls=True).over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    local = F.last(column, ignorenulls=True).over(Window.partitionBy(*block).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("_local", local).join(carry, block, "left").withColumn("_filled", F.coalesce("_local", "_carry")).drop("_local", "_carry")
 
 
 def chunked(parts: DataFrame, chunk: int) -> DataFrame:
@@ -150,7 +171,7 @@ def rename_fasta(lines: DataFrame, names: DataFrame | None = None, search: str |
         head = head.join(names.withColumnRenamed("old", "_old"), "_old", "left").withColumn("_new", F.coalesce("new", "_old")).drop("new")
     else:
         head = head.withColumn("_new", F.col("_old"))
-    ranged = cut(head.repartitionByRange("no").withColumn("_part", F.spark_partition_id()))
+    ranged = cut(head.repartitionByRange("no").withColumn("_file", F.lit("")).withColumn("_block", F.spark_partition_id()))
     at = fill_down(ranged, "_new", "no").withColumnRenamed("_filled", "chrom")
     at = at.where(F.col("chrom").rlike(search)) if search else at
     return at.select("no", F.when(F.col("_old").isNotNull(), F.concat(F.lit(">"), "_new")).otherwise(F.col("value")).alias("value"), "chrom")

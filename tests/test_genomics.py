@@ -312,6 +312,18 @@ def test_mates_on_transcripts(spark, exons):
     assert got == {"a": ("t1", 2, "=", 25), "b": ("t1", 2, "*", -1), "c": ("t1", 2, "*", -1), "d": ("t1", 2, "*", -1)}
 
 
+def test_inflate_many_blocks():
+    """A BGZF file of many blocks, each with its size in the header."""
+    r = random.Random(6)
+    parts = [r.randbytes(r.randint(0, 3000)) for _ in range(400)]
+    data = b""
+    for x in parts:
+        c = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = c.compress(x) + c.flush()
+        data += struct.pack("<BBBBIBBHBBHH", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(x), len(x))
+    assert b"".join(reads._inflate(data)) == b"".join(parts) and b"".join(reads._inflate(data + gzip.compress(b"end"))) == b"".join(parts) + b"end"
+
+
 def test_bam(spark, tmp_path):
     name, seq = b"r1\0", "ACGTN"
     packed = bytes((("=ACMGRSVTWYHKDBN".index(a) << 4) | "=ACMGRSVTWYHKDBN".index(b)) for a, b in zip("ACG", "CGT"))
@@ -491,6 +503,39 @@ def test_sources(spark, rows, tmp_path):
     assert [r[0] for r in spark.createDataFrame([(1e6,), (0.1234567,), (None,)], "x double").select(tables.six_digits("x")).collect()] == ["1e+06", "0.123457", "nan"]
 
 
+def test_folders_keep_the_order_of_files(spark, tmp_path):
+    """Files of unequal size, split into many parts: rows stay in their file's order and contig."""
+    r = random.Random(31)
+    folder = tmp_path / "fa"
+    folder.mkdir()
+    want = {}
+    for name, n in (("A", 7200), ("B", 4800), ("C", 300)):
+        want[name] = "".join(r.choices("ACGT", k=n))
+        (folder / f"{name}.fa").write_text(f">{name} x\n" + "\n".join(want[name][i : i + 60] for i in range(0, n, 60)) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        chunks = tables.read_fasta(spark, str(folder), 1000).orderBy("chrom", "chunk").collect()
+        assert {k: "".join(c["seq"] for c in chunks if c["chrom"] == k) for k in want} == want
+        gff = tmp_path / "gff"
+        gff.mkdir()
+        for name, n in (("a", 150), ("b", 90)):
+            rows = [f"{name}\ts\tgene\t{i + 1}\t{i + 9}\t.\t+\t.\tID={name}{i}" for i in range(n)]
+            (gff / f"{name}.gff3").write_text("\n".join(["##gff-version 3", *rows, *(["##FASTA", ">x", "ACGT"] if name == "a" else [])]) + "\n")
+        got = gtf.read_gtf(spark, str(gff), gff=True).orderBy("_ord").select("seqname", "start").collect()
+        assert [tuple(x) for x in got] == [("a", i + 1) for i in range(150)] + [("b", i + 1) for i in range(90)]
+        ids = tables.with_record_id(spark.read.text(str(gff / "b.gff3")), "no").orderBy("no").collect()
+        assert [x["no"] for x in ids] == list(range(91)) and ids[1]["value"].startswith("b\ts\tgene\t1\t")
+        assert gtf.read_comments(spark, str(gff / "a.gff3")) == ["##gff-version 3"]
+        (gff / "c.gff3").write_text("x\ty\n")
+        with pytest.raises(ValueError):
+            gtf.read_gtf(spark, str(gff / "c.gff3"), strict=True)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    many = spark.createDataFrame([(0, "q\t0\tc\t1\t60\t1M\t*\t0\t0\tA\tI" + "".join(f"\t{a}{b}:i:{i}" for i, (a, b) in enumerate((a, b) for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")))], "ord long, value string")
+    assert len(reads.parse_sam(many).first()["tags"]) == 1352
+
+
 def test_reference_io(spark, exons, tmp_path):
     E.write_reference(exons.withColumnsRenamed({"chrom": "chromosome", "e_start": "start", "e_end": "end", "start_offset": "start_exon", "end_offset": "end_exon"}).withColumn("start_offset", F.col("start_exon")).withColumn("end_offset", F.col("end_exon")), str(tmp_path / "mini.parquet"))
     refs = tables.References(str(tmp_path))
