@@ -16,6 +16,7 @@ from strandloom.plans import motifs as O
 from strandloom.plans import qc as Q
 from strandloom.plans import reference as E
 from strandloom.plans import refine as N
+from strandloom.runtime import cut
 from strandloom.sources import gtf, reads, sinks, tables
 
 
@@ -32,8 +33,12 @@ def reference(spark: SparkSession, path: str, folder: str | None) -> DataFrame:
     return sinks.cached(spark, path, folder, build) if folder else build()
 
 
-def refine_rows(spark: SparkSession, path: str) -> DataFrame:
-    got = gtf.with_values(gtf.read_gtf(spark, path), "attributes", ("gene_id", "transcript_id", "gene_name", "gene_biotype"))
+def refine_rows(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    # the first value of a key; in GFF files keys and values are joined by =
+    got = gtf.read_gtf(spark, path, strict=strict)
+    pick = lambda k: F.get(F.filter(gtf.pairs(F.col("attributes"), gtf.is_gff(path)), lambda x: x["key"] == k), F.lit(0))["value"]
+    got = got.withColumns({c: pick(k) for c, k in {"gene_id": "gene_id", "transcript_id": "transcript_id", "gene_name": "gene_name", "gene_biotype": "gene_biotype", "transcript_biotype": "transcript_biotype", "parent": "Parent", "identifier": "ID", "_gene": "gene"}.items()})
+    got = N.with_identity(got).withColumn("gene_name", F.coalesce("gene_name", "_gene")).drop("_gene")
     return got.withColumn("tag", F.try_element_at("attrs", F.lit("tag"))).withColumn("support", F.try_element_at("attrs", F.lit("transcript_support_level"))).withColumnRenamed("_ord", "ord")
 
 
@@ -64,7 +69,7 @@ def annotate(spark, a):
     v = variants(spark, a)
     if a.table:
         hits = A.annotate_table(v, tables.annotation_exons(tables.read_table(spark, a.table, True)), True)
-        return sinks.write_table(A.collapse(hits, a.count) if a.collapse else hits, a.output)
+        return sinks.write_table(A.collapse(hits, a.count) if a.collapse else A.unified(hits), a.output)
     e = reference(spark, a.reference, a.cache)
     seqs = None
     if a.fasta:
@@ -134,7 +139,10 @@ def refine(spark, a):
 
 
 def prepare(spark, a):
-    sinks.write_table(N.prepare(refine_rows(spark, a.input), "support").orderBy("gene_id"), a.output)
+    top = N.prepare(refine_rows(spark, a.input, a.strict), "support", a.biotype).orderBy("gene_id")
+    left_out = [c for on, cs in ((a.codons, ("start_codon", "stop_codon")), (a.names, ("gene_name",)), (a.kinds, ("transcript_biotype",)), (a.positions, ("transcript_start", "transcript_end"))) for c in cs if not on]
+    top = top.withColumn("gene_id", N.sanitized(F.col("gene_id"))) if a.sanitize else top
+    sinks.write_table(top.drop(*left_out), a.output)
 
 
 def export(spark, a):
@@ -155,8 +163,17 @@ def listing(spark, a):
 
 def group(spark, a):
     raw = tables.read_table(spark, a.input, True)
-    b = G.misc_biotype(F.col("gene_biotype"), F.col("gene_name"))
-    clusters = G.cluster_families(raw.select(G.family(b, F.col("gene_name")).alias("family"), "gene_id", F.upper("seq").alias("seq")).where(F.length("seq") <= a.length), a.threshold)
+    kinds = a.biotypes.split(",") if a.biotypes else list(G.KINDS)
+    product = F.col("product") if "product" in raw.columns else None
+    rows = raw.where(F.col("gene_biotype").isin(*kinds) & (F.col("gene_name") != "")).where(F.col("gene_name").rlike(a.search) if a.search else F.lit(True))
+    kind = G.misc_biotype(F.col("gene_biotype"), F.col("gene_name"))
+    rows = rows.select("gene_id", G.family(kind, F.col("gene_name"), product).alias("family"), G.settled_biotype(F.col("gene_biotype"), F.col("gene_name")).alias("kind"), F.upper("seq").alias("seq")).where(F.length("seq") <= a.length)
+    # unnamed genes go to the family of a named one that holds them or that they hold
+    items = cut(rows.withColumn("id", F.xxhash64("gene_id", "family", "kind")))
+    placed = G.contained_in(items.select("id", "kind", F.col("family").alias("name"), F.col("gene_id").alias("ord"), "seq", F.col("family").isin(*G.PLACEHOLDERS.values()).alias("placeholder")), "kind")
+    target = placed.join(items.select(F.col("id").alias("target"), F.col("family").alias("_to")), "target").select("id", "_to")
+    named = items.join(target, "id", "left").select(F.coalesce("_to", "family").alias("family"), "gene_id", "seq")
+    clusters = G.cluster_families(named, a.threshold)
     sinks.write_table(clusters.orderBy("family", "cluster_id", "gene_id"), a.output)
     if a.fasta:
         G.fasta_lines(G.admitted(clusters), F.concat_ws("_", "family", "cluster_id"), F.col("consensus")).write.mode("overwrite").text(a.fasta)
@@ -193,8 +210,8 @@ def parser() -> argparse.ArgumentParser:
     add("qc", qc, ref, ("--unpaired", flag), ("--stranded", text), ("--detection", num(5)))
     add("coordinate", coordinate, ("--style", {"choices": ["U2E", "E2U"]}), ("--mapping", text), cols="1")
     add("refine", refine, ("--skipped", text))
-    add("prepare", prepare)
-    add("group", group, ("--length", num(300)), ("--threshold", {"type": float, "default": 0.1}), ("--fasta", text))
+    add("prepare", prepare, ("--biotype", text), ("--strict", flag), ("--sanitize", flag), *((f"--{c}", {"action": argparse.BooleanOptionalAction, "default": True}) for c in ("codons", "names", "kinds", "positions")))
+    add("group", group, ("--biotypes", text), ("--search", text), ("--length", num(300)), ("--threshold", {"type": float, "default": 0.1}), ("--fasta", text))
     add("reference-build", build)
     add("reference-export", export, ("--gtf", flag))
     add("reference-list", listing)

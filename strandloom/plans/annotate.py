@@ -170,6 +170,11 @@ def annotate_table(sites: DataFrame, exons: DataFrame, keep_na: bool = True) ->
     return hit.select(*sites.columns, F.coalesce("gene_id", F.lit(".")).alias("gene_id"), F.coalesce("transcript_id", F.lit(".")).alias("transcript_id"), F.coalesce(t.cast("string"), F.lit(".")).alias("transcript_pos"))
 
 
+def unified(hits: DataFrame) -> DataFrame:
+    """Hits on an annotation table in the columns of annotate(): what a table can't tell is empty."""
+    return hits.select(*[c for c in hits.columns if c not in COLUMNS], *[F.col(c) if c in hits.columns else F.lit("").alias(c) for c in COLUMNS])
+
+
 def collapse(hits: DataFrame, add_count: bool = False) -> DataFrame:
     """One row per site: its hits joined by commas, ordered by gene, transcript and position, perhaps with their number (0 for a miss)."""
     item = F.array_sort(F.collect_list(F.struct("gene_id", "transcript_id", "transcript_pos")))

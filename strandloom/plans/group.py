@@ -52,18 +52,48 @@ def misc_biotype(biotype: Column, name: Column) -> Column:
     return F.when(biotype == "misc_RNA", kind).otherwise(biotype)
 
 
-def family(biotype: Column, name: Column) -> Column:
-    """The gene family's name: numbered copies of small RNAs fall together, unknown ones become a placeholder (Ux, RNYx, SNORx, MIRx)."""
+# The kinds of small RNAs that are grouped, the placeholders of unnamed ones, and what products call them.
+KINDS = ("tRNA", "rRNA", "Mt_rRNA", "Mt_tRNA", "ribozyme", "vault_RNA", "Y_RNA", "miRNA", "scaRNA", "snoRNA", "snRNA", "scRNA", "ncRNA", "misc_RNA", "vault_RNA_pseudogene", "pseudogene")
+PLACEHOLDERS = {"snoRNA": "SNORx", "miRNA": "MIRx", "snRNA": "Ux", "Y_RNA": "RNYx"}
+NUCLEAR, NUCLEOLAR, CAJAL = ("small nuclear RNA", "spliceosomal RNA"), ("small nucleolar RNA", "small nucleolar"), ("small Cajal body-specific RNA",)
+
+
+def settled_biotype(biotype: Column, name: Column) -> Column:
+    """The kind under which a gene is grouped: a misc_RNA by its name, and Mir3535 with the small nucleolar RNAs."""
+    kind = misc_biotype(biotype, name)
+    return F.when((kind == "miRNA") & (F.get(F.split(snrna_name(name), "-"), F.lit(0)) == "Mir3535"), "snoRNA").otherwise(kind)
+
+
+def named_by(product: Column, phrases: tuple[str, ...]) -> Column:
+    """The first word of a product text without the phrases; null when none of them is in it."""
+    told, rest = F.lit(False), product
+    for p in phrases:
+        told, rest = told | product.contains(p), F.replace(rest, F.lit(p), F.lit(""))
+    return F.when(told, F.get(F.split(F.trim(rest), r"\s+"), F.lit(0)))
+
+
+def family(biotype: Column, name: Column, product: Column | None = None) -> Column:
+    """The gene family's name: numbered copies of small RNAs fall together, unknown ones are named by their product or become a placeholder (Ux, RNYx, SNORx, MIRx)."""
+    product = F.coalesce(product, F.lit("")) if product is not None else F.lit("")
     first = snrna_name(name)
     up = F.upper(first)
     head = F.get(F.split(first, "-"), F.lit(0))
     trna = F.when(first.contains("_tRNA-"), F.concat(F.lit("tRNA-"), F.regexp_extract(first, r"_tRNA-(.*)$", 1))).when((biotype == "tRNA") & ~first.startswith("tRNA"), F.concat(F.lit("tRNA-"), F.when(first == "", "unknown").otherwise(first))).otherwise(first)
     other = F.when(trna.startswith("tRNA-"), F.regexp_replace(trna, "[0-9-]+$", "")).otherwise(trna)
+    nuclear, nucleolar, cajal = named_by(product, NUCLEAR), named_by(product, NUCLEOLAR), named_by(product, CAJAL)
+    renamed = snorna_name(nucleolar)
+    by_product = (
+        F.when(first.startswith("Gm") | first.startswith("AF") | first.startswith("DQ"), F.replace(F.replace(nucleolar, F.lit("SNORD"), F.lit("Snord")), F.lit("SNORA"), F.lit("Snora")))
+        .when(F.upper(nucleolar).startswith("SNOR"), nucleolar)
+        .when(renamed.startswith("SNOR"), renamed)
+        .otherwise("SNORx")
+    )
     return (
-        F.when(biotype == "snRNA", F.when(up.startswith("7SK"), "7SK").when(up.startswith("SNAR-"), F.regexp_replace(first, "[0-9-]+$", "")).when(up.startswith("U"), first).otherwise("Ux"))
+        F.when(biotype == "snRNA", F.when(up.startswith("7SK"), "7SK").when(up.startswith("SNAR-"), F.regexp_replace(first, "[0-9-]+$", "")).when(up.startswith("U"), first).when(nuclear.isNotNull(), snrna_name(nuclear)).otherwise("Ux"))
         .when(biotype == "Y_RNA", F.when(up == "Y_RNA", "RNYx").otherwise(first))
-        .when(biotype == "snoRNA", F.when(up.startswith("SNOR"), head).when(up.startswith("U") | up.startswith("RNU"), snorna_name(first)).otherwise("SNORx"))
-        .when(biotype == "miRNA", F.when(up.startswith("MIR"), head).when(up.contains("LET") | up.contains("MIR"), first).otherwise("MIRx"))
+        .when(biotype == "snoRNA", F.when(up.startswith("SNOR"), head).when(up.startswith("U") | up.startswith("RNU"), snorna_name(first)).when(nucleolar.isNotNull(), by_product).otherwise("SNORx"))
+        .when((biotype == "scaRNA") & cajal.isNotNull() & ~up.startswith("SCARNA"), F.concat(F.lit("SCARNA"), cajal))
+        .when(biotype == "miRNA", F.when(head == "Mir3535", "SNORx").when(up.startswith("MIR"), head).when(up.contains("LET") | up.contains("MIR"), first).otherwise("MIRx"))
         .otherwise(other)
     )
 

@@ -177,6 +177,11 @@ def c06(s, d):
     return A.annotate_table(sites(s, d), exported(s, d)).select("site_id", "gene_id", "transcript_id", "transcript_pos")
 
 
+@query("b11_unified_table", TABLE + "select site_id, chrom, pos, strand, gene_id, transcript_id, transcript_pos, " + ", ".join(f"'' {c}" for c in A.COLUMNS[3:]) + " from (select h.*, si.chrom, si.pos, si.strand from hits h join si on si.site_id = h.site_id)")
+def b11(s, d):
+    return A.unified(A.annotate_table(sites(s, d), exported(s, d)))
+
+
 @query("b10_collapsed_hits", TABLE + "select site_id, string_agg(gene_id, ',' order by gene_id, transcript_id, transcript_pos) gene_id, string_agg(transcript_id, ',' order by gene_id, transcript_id, transcript_pos) transcript_id, string_agg(transcript_pos, ',' order by gene_id, transcript_id, transcript_pos) transcript_pos, cast(sum(case when gene_id <> '.' then 1 else 0 end) as int) hits from hits group by site_id")
 def b10(s, d):
     return A.collapse(A.annotate_table(sites(s, d), exported(s, d)), True)
@@ -553,7 +558,39 @@ def h47(s, d):
     return N.bounding_rows(pruned(s, d), "gene").select("gene_id", "start", "end")
 
 
-@query("j10_refine")
+def merged_sql(name: str, feature: str) -> str:
+    return f"""{name} as (select gene_id, transcript_id, seqname, strand, min(s) + 1 start, max(e) "end" from (select *, sum(case when s > b then 1 else 0 end) over (partition by gene_id, transcript_id, seqname, strand order by s, e rows unbounded preceding) n from
+    (select *, max(e) over (partition by gene_id, transcript_id, seqname, strand order by s, e rows between unbounded preceding and 1 preceding) b from (select distinct gene_id, transcript_id, seqname, strand, start - 1 s, "end" e from gd where feature = '{feature}'))) group by gene_id, transcript_id, seqname, strand, n)"""
+
+
+def bounding_sql(by: str) -> str:
+    kind = "transcript" if "transcript" in by else "gene"
+    tx = "transcript_id" if kind == "transcript" else "null::varchar"
+    return f"""select gene_id, {tx} transcript_id, first(seqname order by ord) seqname, first(strand order by ord) strand, min(start) - case when bool_and(feature = 'CDS') and first(strand order by ord) = '-' then 3 else 0 end start, max("end") + case when bool_and(feature = 'CDS') and first(strand order by ord) <> '-' then 3 else 0 end "end", '{kind}' feature, null::int exon_number
+    from gd where {'transcript_id is not null and' if kind == 'transcript' else ''} ({by}) not in (select ({by}) from gd where feature = '{kind}') group by {by}"""
+
+
+@query(
+    "j10_refine",
+    BASE + """, ic as (select gene_id from pr group by 1 having count(distinct seqname) > 1 or count(distinct strand) > 1 or sum(case when feature = 'gene' then 1 else 0 end) > 1
+      union select gene_id from pr where transcript_id is not null group by gene_id, transcript_id having sum(case when feature = 'transcript' then 1 else 0 end) > 1 or min(start) < min(case when feature = 'transcript' then start end) or max("end") > max(case when feature = 'transcript' then "end" end)),
+    gd as (select * from pr where gene_id not in (select gene_id from ic)), """ + merged_sql("me", "exon") + ", " + merged_sql("mc", "CDS") + """,
+    en as (select *, cast(row_number() over (partition by gene_id, transcript_id order by case when strand = '-' then -start else start end) as int) n from (select * from me union all select * from mc where (gene_id, transcript_id) not in (select (gene_id, transcript_id) from me))),
+    cn as (select c.*, (select max(n) from en where en.gene_id = c.gene_id and en.transcript_id = c.transcript_id and en.start <= c.start and c."end" <= en."end") n, (select max(start) from en where en.gene_id = c.gene_id and en.transcript_id = c.transcript_id and en.start <= c.start and c."end" <= en."end") a, (select max("end") from en where en.gene_id = c.gene_id and en.transcript_id = c.transcript_id and en.start <= c.start and c."end" <= en."end") z from mc c),
+    ck as (select gene_id, n is not null and coalesce(abs(n - lag(n) over w) = 1, true) and (lag(start) over w is null or start = a) and (lead(start) over w is null or "end" = z) ok from cn window w as (partition by gene_id, transcript_id order by start)),
+    wr as (select gene_id from ck where not coalesce(ok, false)),
+    hc as (select * from gd where feature in ('start_codon', 'stop_codon')),
+    c2 as (select gene_id, transcript_id, seqname, strand, min(start) a, max("end") b from mc group by 1, 2, 3, 4),
+    dc as (select gene_id, transcript_id, seqname, strand, case when strand = '-' then b - 2 else a end start, case when strand = '-' then b else a + 2 end "end", 'start_codon' feature from c2 union all select gene_id, transcript_id, seqname, strand, case when strand = '-' then a - 3 else b + 1 end, case when strand = '-' then a - 1 else b + 3 end, 'stop_codon' from c2),
+    al as (select gene_id, transcript_id, seqname, strand, start, "end", feature, null::int exon_number from gd where feature in ('gene', 'transcript') union all """ + bounding_sql("gene_id") + " union all " + bounding_sql("gene_id, transcript_id") + """
+      union all select gene_id, transcript_id, seqname, strand, start, "end", 'exon', n from en union all select gene_id, transcript_id, seqname, strand, start, "end", 'CDS', n from cn union all select gene_id, transcript_id, seqname, strand, start, "end", feature, null from hc
+      union all select gene_id, transcript_id, seqname, strand, start, "end", feature, null from dc where (gene_id, transcript_id, feature) not in (select (gene_id, transcript_id, feature) from hc)),
+    nm0 as (select gene_id, count(distinct gene_biotype) nb, min(gene_biotype) b, count(distinct gene_name) nn, min(gene_name) n, max(case when feature = 'CDS' then 1 else 0 end) c, min(ord) ord from gd group by 1),
+    nm1 as (select gene_id, ord, case when nb = 1 then b when c = 1 then 'protein_coding' else 'unknown' end gene_biotype, case when nn = 1 then n else gene_id end gene_name from nm0),
+    nm as (select gene_id, gene_biotype, case when row_number() over (partition by gene_name order by ord) > 1 then gene_name || '_' || gene_id else gene_name end gene_name from nm1),
+    ct as (select gene_id, transcript_id from (select *, row_number() over (partition by gene_id order by c desc, l desc, o) k from (select gene_id, transcript_id, max(case when feature = 'CDS' then 1 else 0 end) c, coalesce(sum(case when feature = 'exon' then "end" - start + 1 end), 0) l, min(ord) o from gd where transcript_id is not null group by 1, 2)) where k = 1)
+    select al.gene_id, al.transcript_id, seqname, strand, start, "end", feature, exon_number, gene_biotype, gene_name, case when ct.transcript_id is not null then 'Ensembl_canonical' end tag from al join nm on nm.gene_id = al.gene_id left join ct on ct.gene_id = al.gene_id and ct.transcript_id = al.transcript_id where al.gene_id not in (select gene_id from wr)""",
+)
 def j10(s, d):
     return N.refine(gtf_rows(s, d))[0].select("gene_id", "transcript_id", "seqname", "strand", "start", "end", "feature", "exon_number", "gene_biotype", "gene_name", "tag")
 
@@ -763,7 +800,23 @@ def h34(s, d):
     return table(s, d, "documents").select("doc_id", N.sanitized(F.col("author")).alias("name"))
 
 
-@query("h35_rename")
+def snrna_sql(n: str) -> str:
+    out = n
+    for pattern, new in G.SNRNA:
+        out = f"regexp_replace({out}, '{pattern}', '{new.replace('$', chr(92))}', 'g')"
+    return f"case when starts_with({n}, 'snRNA:') then split_part({n}, ':', 2) else {out} end"
+
+
+@query(
+    "h35_rename",
+    f"""with g as (select distinct gene_id, gene_biotype b0, gene_name n from gene where gene_id is not null and gene_biotype is not null and gene_name is not null),
+    k as (select *, case when b0 <> 'misc_RNA' then b0 when starts_with(n, 'VTRNA') and contains(n, 'P') then 'Vault_RNA_pseudogene' when starts_with(n, 'RN7SL') and ends_with(n, 'P') then 'scRNA' when starts_with(n, 'RN7SKP') then 'snRNA' when starts_with(n, 'RNY') and contains(n, 'P') then 'Y_RNA_pseudogene'
+      when starts_with(n, 'RN7SL') or n in ('Metazoa_SRP', '7SL') then 'scRNA' when starts_with(n, 'RNY') or n = 'Y_RNA' then 'Y_RNA' when n in ('RN7SK', '7SK') then 'snRNA' when n = 'Vault' then 'vault_RNA' when starts_with(n, 'SCARNA') then 'scaRNA' else b0 end b, {snrna_sql("n")} f from g),
+    t as (select *, case when contains(f, '_tRNA-') then 'tRNA-' || regexp_extract(f, '_tRNA-(.*)$', 1) when b = 'tRNA' and not starts_with(f, 'tRNA') then 'tRNA-' || case when f = '' then 'unknown' else f end else f end r, upper(f) u from k)
+    select gene_id, n gene_name, b biotype, case b when 'snRNA' then case when starts_with(u, '7SK') then '7SK' when starts_with(u, 'SNAR-') then regexp_replace(f, '[0-9-]+$', '') when starts_with(u, 'U') then f else 'Ux' end when 'Y_RNA' then case when u = 'Y_RNA' then 'RNYx' else f end
+      when 'snoRNA' then case when starts_with(u, 'SNOR') then split_part(f, '-', 1) when starts_with(u, 'U8') then 'SNORD118' when starts_with(u, 'U') then case when regexp_matches(u, '^U[0-9]') then 'SNORD' || regexp_extract(u, '^U([0-9]+)', 1) || coalesce(nullif(regexp_extract(u, '^U[0-9]+([A-Z]?)', 1), ''), 'A') else f end when starts_with(u, 'RNU') then f else 'SNORx' end
+      when 'miRNA' then case when split_part(f, '-', 1) = 'Mir3535' then 'SNORx' when starts_with(u, 'MIR') then split_part(f, '-', 1) when contains(u, 'LET') or contains(u, 'MIR') then f else 'MIRx' end else case when starts_with(r, 'tRNA-') then regexp_replace(r, '[0-9-]+$', '') else r end end family from t""",
+)
 def h35(s, d):
     g = table(s, d, "gene").select("gene_id", "gene_biotype", "gene_name").dropna().distinct()
     b = G.misc_biotype(F.col("gene_biotype"), F.col("gene_name"))
@@ -909,8 +962,7 @@ def h43(s, d):
 
 @query("h50_spliced_spans", BASE + "select gene_id, transcript_id, string_agg(cast(start_offset + 1 as varchar) || '-' || cast(end_offset as varchar), ',' order by start_offset) spans from ex group by 1, 2")
 def h50(s, d):
-    x = F.struct("start_offset", F.concat((F.col("start_offset") + 1).cast("string"), F.lit("-"), F.col("end_offset").cast("string")).alias("s"))
-    return exons(s, d).groupBy("gene_id", "transcript_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(x)), lambda v: v["s"]), ",").alias("spans"))
+    return E.spliced_spans(exons(s, d))
 
 
 @query("h52_canonical_tag", BASE + "select ord, case when tag is null or tag = '' then 'Ensembl_canonical' when tag = 'Ensembl_canonical' then tag else tag || '; Ensembl_canonical' end tag from fr")
@@ -931,10 +983,9 @@ def d11(s, d):
 
 @query("d20_sense", BASE + ", g as (select gene_id, chrom, strand, min(e_start) a, max(e_end) b from ex group by 1, 2, 3), r as (select \"read\", max(case when strand = '+' then 1 else 0 end) p, max(case when strand = '-' then 1 else 0 end) m from bl join g on bl.chrom = g.chrom and b_start < b and a < b_end group by 1) select count(case when p = 1 and m = 0 then 1 end) sense, count(case when p = 0 and m = 1 then 1 end) antisense, count(case when p = 1 and m = 1 then 1 end) both_strands from r")
 def d20(s, d):
-    g = exons(s, d).groupBy("gene_id", "chrom", "strand").agg(F.min("e_start").alias("g_start"), F.max("e_end").alias("g_end"))
-    hit = I.overlap_pairs(blocks(s, d), g, ["chrom"], ("b_start", "b_end"), ("g_start", "g_end"), ["read"])
-    r = hit.groupBy("read").agg(F.bool_or(F.col("strand") == "+").alias("p"), F.bool_or(F.col("strand") == "-").alias("m"))
-    return r.agg(F.count_if(F.expr("p and not m")).alias("sense"), F.count_if(F.expr("m and not p")).alias("antisense"), F.count_if(F.expr("p and m")).alias("both_strands"))
+    g = exons(s, d).groupBy("gene_id", "chrom", "strand").agg(F.min("e_start").alias("g_start"), F.max("e_end").alias("g_end")).withColumn("ribosomal", F.lit(False))
+    met = Q.marks(s.createDataFrame([], "read bigint, strand string, ribosomal boolean"), Q.body_pairs(blocks(s, d), g, ("strand", "ribosomal")))
+    return met.agg(F.count_if(F.expr("plus and not minus")).alias("sense"), F.count_if(F.expr("minus and not plus")).alias("antisense"), F.count_if(F.expr("plus and minus")).alias("both_strands"))
 
 
 @query("d22_genes_detected", BASE + ", c as (select gene_id from un where \"read\" % 5 <> 0 group by 1 having count(*) >= 5) select count(*) genes from c")

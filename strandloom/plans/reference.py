@@ -71,6 +71,12 @@ def export_table(exons: DataFrame) -> DataFrame:
     return exons.groupBy("gene_id", "transcript_id").agg(F.min("chrom").alias("chrom"), F.min("strand").alias("strand"), F.array_join(F.transform(F.array_sort(F.collect_list(span)), lambda x: x["s"]), ",").alias("spans"), F.max(c["start_codon"]).alias("start_codon"), F.max(c["stop_codon"]).alias("stop_codon"), (F.min("e_start") + 1).alias("transcript_start"), F.max("e_end").alias("transcript_end"))
 
 
+def spliced_spans(exons: DataFrame) -> DataFrame:
+    """(gene_id, transcript_id, spans): the exons' places in the spliced transcript, 1-based closed, from 5' to 3'."""
+    span = F.struct("start_offset", F.concat((F.col("start_offset") + 1).cast("string"), F.lit("-"), F.col("end_offset").cast("string")).alias("s"))
+    return exons.groupBy("gene_id", "transcript_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(span)), lambda x: x["s"]), ",").alias("spans"))
+
+
 def export_gtf(exons: DataFrame) -> DataFrame:
     """GTF rows of genes, transcripts, exons and codons; level 0 becomes a tag, 6 and 10 are left out, others are a support level."""
     ident = [("gene_id", F.col("gene_id")), ("transcript_id", F.col("transcript_id")), ("gene_name", F.col("gene_name")), ("gene_biotype", F.col("gene_biotype"))]

@@ -71,6 +71,14 @@ def cds_matches_exons(exons: DataFrame, cds: DataFrame) -> DataFrame:
     return each.withColumn("_ok", F.coalesce(ok, F.lit(False))).groupBy("gene_id", "transcript_id").agg(F.bool_and("_ok").alias("consistent"))
 
 
+def cds_numbers(exons: DataFrame, cds: DataFrame) -> DataFrame:
+    """The CDS rows with the number of the exon that holds them, null where none does."""
+    e = exons.select("gene_id", "transcript_id", F.col("start").alias("_a"), F.col("end").alias("_b"), F.col("exon_number").alias("_n"))
+    own = cds.columns
+    inside = (F.col("_a") <= F.col("start")) & (F.col("end") <= F.col("_b"))
+    return cds.join(e, ["gene_id", "transcript_id"], "left").groupBy(*own).agg(F.max(F.when(inside, F.col("_n"))).cast("int").alias("exon_number"))
+
+
 def derived_codons(cds: DataFrame) -> DataFrame:
     """Start and stop codon rows from the CDS's outer borders; the stop codon lies beyond the CDS."""
     g = cds.groupBy("gene_id", "transcript_id", "seqname", "strand").agg(F.min("start").alias("a"), F.max("end").alias("b"))
@@ -124,9 +132,11 @@ def refine(rows: DataFrame, listed: DataFrame | None = None) -> tuple[DataFrame,
     out = whole.unionByName(bounding_rows(good, "gene").withColumn("transcript_id", F.lit(None).cast("string")).select(*parts)).unionByName(bounding_rows(good, "transcript").select(*parts))
     out = out.withColumn("exon_number", F.lit(None).cast("int"))
     out = out.unionByName(exons.withColumn("feature", F.lit("exon")).select(*parts, "exon_number"))
-    out = out.unionByName(cds.withColumn("feature", F.lit("CDS")).select(*parts).unionByName(have.select(*parts)).unionByName(derived.select(*parts)).withColumn("exon_number", F.lit(None).cast("int")))
+    out = out.unionByName(cds_numbers(exons, cds.withColumn("feature", F.lit("CDS")).select(*parts)))
+    out = out.unionByName(have.select(*parts).unionByName(derived.select(*parts)).withColumn("exon_number", F.lit(None).cast("int")))
     kept, lost = without_genes(out, wrong)
-    names = inferred_kind(good)
+    order = good.groupBy("gene_id").agg(F.min("ord").alias("_ord"))
+    names = unique_names(inferred_kind(good).join(order, "gene_id"), "gene_name", "_ord", F.col("gene_id")).drop("_ord")
     tags = canonical_transcripts(good, listed).withColumn("tag", F.lit("Ensembl_canonical"))
     final = kept.join(names, "gene_id").join(tags, ["gene_id", "transcript_id"], "left")
     return final, rejected.select(*parts).unionByName(lost.select(*parts))
@@ -151,12 +161,36 @@ def conflicting_transcripts(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.groupBy("gene_id", "transcript_id").agg(*aggs).where(bad).select("gene_id", "transcript_id")
 
 
-def prepare(rows: DataFrame, support: str | None = None) -> DataFrame:
-    """One row per gene: the top transcript with its spans from 5' to 3', the codons' starts and the bounding box.
+def gff_transcript(identifier: Column) -> Column:
+    """The transcript in an exon's ID: what stands before the last `.exon.`, `.exon` or `-`, a leading `exon-` or `exon` dropped in the last case."""
+    cut = lambda p: F.regexp_extract(identifier, p, 1)
+    dash = F.regexp_replace(cut(r"^(.*)-"), "^exon-?", "")
+    return F.when(identifier.contains(".exon."), cut(r"^(.*)\.exon\.")).when(identifier.contains(".exon"), cut(r"^(.*)\.exon")).when(identifier.contains("-"), dash)
+
+
+def with_identity(rows: DataFrame) -> DataFrame:
+    """gene_id and transcript_id of rows that have attributes `parent` and `identifier` instead: the parent, and what the ID names."""
+    bare = F.col("gene_id").isNull() & F.col("transcript_id").isNull() & F.col("parent").isNotNull() & F.col("identifier").isNotNull()
+    tx = gff_transcript(F.col("identifier"))
+    return rows.withColumn("_bare", bare & tx.isNotNull()).withColumn("gene_id", F.when(F.col("_bare"), F.col("parent")).otherwise(F.col("gene_id"))).withColumn("transcript_id", F.when(F.col("_bare"), tx).otherwise(F.col("transcript_id"))).drop("_bare", "parent", "identifier")
+
+
+def inherited_biotype(rows: DataFrame) -> DataFrame:
+    """transcript_biotype, where it is missing or `primary_transcript`, from the gene row's gene_biotype (one that isn't empty)."""
+    genes = rows.where((F.col("feature") == "gene") & (F.col("gene_biotype") != "")).groupBy("gene_id").agg(F.max_by("gene_biotype", "ord").alias("_kind"))
+    own = F.coalesce("transcript_biotype", F.lit("primary_transcript"))
+    return rows.join(genes, "gene_id", "left").withColumn("transcript_biotype", F.when(F.col("_kind").isNotNull() & (own == "primary_transcript"), F.col("_kind")).otherwise(F.col("transcript_biotype"))).drop("_kind")
+
+
+def prepare(rows: DataFrame, support: str | None = None, biotype: str | None = None) -> DataFrame:
+    """One row per gene: the top transcript with its spans from 5' to 3', the codons' starts and the bounding box, and its
+    biotype where rows have transcript_biotype (`biotype` keeps the genes whose top transcript is of this kind).
 
-    Transcripts whose rows disagree on sequence, strand or gene name are left out; ties go to the first row.
+    Transcripts whose rows disagree on sequence, strand, gene name or biotype are left out; ties go to the first row.
     """
-    bad = conflicting_transcripts(rows.where("transcript_id is not null"), ["seqname", "strand", "gene_name"])
+    typed = "transcript_biotype" in rows.columns
+    rows = inherited_biotype(rows).where(F.col("feature").isin("exon", "start_codon", "stop_codon")) if typed else rows
+    bad = conflicting_transcripts(rows.where("transcript_id is not null"), ["seqname", "strand", "gene_name", *(["transcript_biotype"] if typed else [])])
     use = rows.where("transcript_id is not null and gene_id is not null").join(bad, ["gene_id", "transcript_id"], "left_anti")
     sup = F.col(support) if support else F.lit(None).cast("string")
     is_exon = F.col("feature") == "exon"
@@ -166,10 +200,12 @@ def prepare(rows: DataFrame, support: str | None = None) -> DataFrame:
         F.min_by("seqname", "ord").alias("chrom"), F.min_by("strand", "ord").alias("strand"), F.min_by("gene_name", "ord").alias("gene_name"), F.max_by("tag", "ord").alias("tag"), F.max_by(sup, "ord").alias("support"), F.min("ord").alias("ord"),
         F.array_join(F.transform(F.array_sort(F.collect_set(F.when(is_exon, span))), lambda x: x["s"]), ",").alias("spans"), F.coalesce(F.sum(F.when(is_exon, F.col("end") - F.col("start") + 1)), F.lit(0)).alias("length"),
         F.min(F.when(F.col("feature") == "start_codon", F.col("start"))).alias("start_codon"), F.min(F.when(F.col("feature") == "stop_codon", F.col("start"))).alias("stop_codon"), F.min(F.when(is_exon, F.col("start"))).alias("transcript_start"), F.max(F.when(is_exon, F.col("end"))).alias("transcript_end"),
+        *([F.min_by("transcript_biotype", "ord").alias("transcript_biotype")] if typed else []),
     ).where("spans <> ''")
     ranked = tx.withColumn("_r", rank_transcript(F.col("tag"), F.col("support"), F.col("transcript_id"), F.col("length")))
-    cols = ["transcript_id", "chrom", "strand", "spans", "start_codon", "stop_codon", "gene_name", "transcript_start", "transcript_end"]
-    return ranked.groupBy("gene_id").agg(F.min_by(F.struct(*cols), F.struct("_r", "ord")).alias("t")).select("gene_id", "t.*")
+    cols = ["transcript_id", "chrom", "strand", "spans", "start_codon", "stop_codon", "gene_name", "transcript_start", "transcript_end", *(["transcript_biotype"] if typed else [])]
+    top = ranked.groupBy("gene_id").agg(F.min_by(F.struct(*cols), F.struct("_r", "ord")).alias("t")).select("gene_id", "t.*")
+    return top.where(F.col("transcript_biotype") == biotype) if biotype else top
 
 
 def sanitized(name: Column) -> Column:

@@ -431,7 +431,7 @@ def test_refine(spark):
     ]
     final, lost = N.refine(frame(spark, rows))
     got = {(r["gene_id"], r["feature"], r["start"], r["end"], r["exon_number"]) for r in final.collect()}
-    assert got == {("g", "gene", 1, 300, None), ("g", "transcript", 1, 300, None), ("g", "exon", 1, 150, 1), ("g", "exon", 201, 300, 2), ("g", "CDS", 50, 150, None), ("g", "CDS", 201, 250, None), ("g", "start_codon", 50, 52, None), ("g", "stop_codon", 251, 253, None)}
+    assert got == {("g", "gene", 1, 300, None), ("g", "transcript", 1, 300, None), ("g", "exon", 1, 150, 1), ("g", "exon", 201, 300, 2), ("g", "CDS", 50, 150, 1), ("g", "CDS", 201, 250, 2), ("g", "start_codon", 50, 52, None), ("g", "stop_codon", 251, 253, None)}
     r = final.where("feature = 'exon'").first()
     assert r["gene_biotype"] == "protein_coding" and r["gene_name"] == "n" and r["tag"] == "Ensembl_canonical"
     assert {r["gene_id"] for r in lost.collect()} == {"two", "bad"}
@@ -448,6 +448,26 @@ def test_prepare(spark):
     assert got["g2"]["transcript_id"] == "t2.2" and got["g2"]["spans"] == "121-150,21-50"
 
 
+def test_prepare_kinds_and_gff_names(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert [one(N.gff_transcript(F.lit(x))) for x in ("NbL1.1.exon.1", "Csa3.1.exon1", "exon-XM_01.2-1", "a.exon.b.exon.2", "none")] == ["NbL1.1", "Csa3.1", "XM_01.2", "a.exon.b", None]
+    data = [(0, "c", "gene", 1, 90, "+", "G", None, "n", "miRNA", None, None), (1, "c", "exon", 1, 9, "+", "G", "t1", "n", None, None, "primary_transcript"), (2, "c", "exon", 1, 5, "+", "H", "t2", "m", None, None, "tRNA"), (3, "c", "exon", 11, 15, "+", "H", "t2", "m", None, None, "rRNA"), (4, "c", "exon", 1, 5, "+", "K", "t3", "m", None, None, "tRNA")]
+    rows = spark.createDataFrame(data, "ord long, seqname string, feature string, start long, end long, strand string, gene_id string, transcript_id string, gene_name string, gene_biotype string, tag string, transcript_biotype string")
+    got = {r["gene_id"]: (r["transcript_id"], r["transcript_biotype"]) for r in N.prepare(rows).collect()}
+    assert got == {"G": ("t1", "miRNA"), "K": ("t3", "tRNA")}  # the rows of t2 disagree
+    assert [r["gene_id"] for r in N.prepare(rows, biotype="tRNA").collect()] == ["K"]
+    bare = spark.createDataFrame([(None, None, "P", "P.exon.2"), ("g", "t", "P", "P.exon.2"), (None, None, "P", "x")], "gene_id string, transcript_id string, parent string, identifier string")
+    assert sorted(map(tuple, N.with_identity(bare).collect()), key=str) == sorted([("P", "P"), ("g", "t"), (None, None)], key=str)
+
+
+def test_refine_names_and_cds_numbers(spark):
+    data = [(f, a, b, "+", g, f"t{g}", "same") for g, off in (("A", 0), ("B", 1000)) for f, a, b in (("exon", off + 1, off + 30), ("exon", off + 51, off + 90), ("CDS", off + 11, off + 30), ("CDS", off + 51, off + 60))]
+    rows = spark.createDataFrame([(i, "c", f, a, b, s, g, t, n, "x", None) for i, (f, a, b, s, g, t, n) in enumerate(data)], "ord long, seqname string, feature string, start long, end long, strand string, gene_id string, transcript_id string, gene_name string, gene_biotype string, tag string")
+    out = N.refine(rows)[0].collect()
+    assert {(r["gene_id"], r["gene_name"]) for r in out} == {("A", "same"), ("B", "same_B")}
+    assert sorted((r["gene_id"], r["start"], r["exon_number"]) for r in out if r["feature"] == "CDS") == [("A", 11, 1), ("A", 51, 2), ("B", 1011, 1), ("B", 1051, 2)]
+
+
 def test_names(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     for a, b in {"RNU2-27P": "U2", "RNU5E-10P": "U5E", "RNU4ATAC7": "U4atac", "RNVU1-1": "U1V", "snRNA:U2:38ABb": "U2"}.items():
@@ -459,6 +479,15 @@ def test_names(spark):
     assert one(N.with_canonical_tag(F.lit("basic"))) == "basic; Ensembl_canonical" and one(N.with_canonical_tag(F.lit(None).cast("string"))) == "Ensembl_canonical"
 
 
+def test_names_by_product(spark):
+    data = [("snRNA", "X1", "U6 spliceosomal RNA", "U6"), ("snRNA", "X1", "U7 small nuclear RNA", "U7"), ("snRNA", "X1", "", "Ux"), ("snoRNA", "Gm5", "small nucleolar RNA SNORD51", "Snord51"), ("snoRNA", "Q", "small nucleolar SNORD12/SNORD106", "SNORD12/SNORD106"), ("snoRNA", "Q", "small nucleolar RNA U3", "SNORD3A"),
+            ("snoRNA", "Q", "small nucleolar RNA Z6", "SNORx"), ("scaRNA", "Q", "small Cajal body-specific RNA 4", "SCARNA4"), ("scaRNA", "SCARNA9", "small Cajal body-specific RNA 4", "SCARNA9"), ("miRNA", "Mir3535", None, "SNORx"), ("miRNA", "Mir7-2", None, "Mir7")]
+    df = spark.createDataFrame(data, "b string, n string, p string, want string")
+    assert df.where(G.family(F.col("b"), F.col("n"), F.col("p")) != F.col("want")).collect() == []
+    kinds = spark.createDataFrame([("miRNA", "Mir3535", "snoRNA"), ("miRNA", "Mir3", "miRNA"), ("misc_RNA", "RNY4", "Y_RNA")], "b string, n string, want string")
+    assert kinds.where(G.settled_biotype(F.col("b"), F.col("n")) != F.col("want")).count() == 0
+
+
 def test_groups(spark):
     assert G.align(["ACGTACGT", "ACGACGT", "ACGTACGT"]) == ["ACGTACGT", "ACG-ACGT", "ACGTACGT"] and G.align([]) == []
     assert G.cluster(["ACGTACGT", "ACG-ACGT", "TTTTTTTT"], 0.2) == [1, 1, 2] and G.consensus(["AC", "A-", "-C"]) == "AC" and G.gapless_positions("-AC--G") == [(1, 2, 0), (5, 5, 2)]
