@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.seq import padded_motif, protein_text, reverse_base, to_rna, translate_codon
 from strandloom.operators.intervals import overlap_join
+from strandloom.operators.skew import keyed_left_join
 
 # Two orders of severity, least severe first, and the coarse kinds of effects.
 REGION_RANK = ("Intergenic", "Intronic", "NoncodingTranscript", "IncompleteTranscript", "FivePrimeUTR", "ThreePrimeUTR", "IntronicSpliceSite", "Silent", "CDS", "Substitution", "ComplexSubstitution", "InFrameIndel", "FrameShift", "PrematureStop", "SpliceSite")
@@ -109,7 +110,9 @@ def annotate(sites: DataFrame, exons: DataFrame, sequences: DataFrame | None = N
     if exon_only:
         hit = hit.where(exonic(F.col("exons"), p))
     if sequences is not None:
-        hit = hit.join(sequences, ["gene_id", "transcript_id"], "left")
+        key = F.concat_ws("\x1f", "gene_id", "transcript_id")
+        texts = sequences.select(key.alias("_tx"), "spliced")
+        hit = keyed_left_join(hit.withColumn("_tx", F.when(F.col("transcript_id").isNotNull(), key)), texts, "_tx", ["site_id"]).drop("_tx")
     else:
         hit = hit.withColumn("spliced", F.lit(None).cast("string"))
     hit = hit.withColumn("transcript_pos", transcript_pos(F.col("exons"), strand, p))

@@ -94,9 +94,15 @@ def histogram(df: DataFrame, x: str, edges: Sequence[float], weights: Sequence[s
     The edges are literals, so that a value meets exactly the given numbers; a weight that isn't a number is 0.
     """
     n = len(edges) - 1
-    arr = F.array(*map(F.lit, map(float, edges)))
-    place = F.aggregate(arr, F.lit(-1), lambda a, e: a + F.when(F.col(x) >= e, 1).otherwise(0))
-    at = F.when((F.col(x) >= edges[0]) & (F.col(x) <= edges[-1]), F.least(place, F.lit(n - 1)))
+
+    def place(low: int, high: int) -> Column:
+        """The number of the bin by halving, so that a row meets as many comparisons as the bins have bits."""
+        if high - low == 1:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(F.col(x) >= float(edges[mid]), place(mid, high)).otherwise(place(low, mid))
+
+    at = F.when((F.col(x) >= float(edges[0])) & (F.col(x) <= float(edges[-1])), place(0, n))
     w = {c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) for c in weights}
     aggs = [F.sum(F.lit(1.0)).alias("_n"), *[F.sum(v).alias(f"_s{i}") for i, v in enumerate(w.values())]]
     got = df.withColumn("bin", at).where("bin is not null").groupBy("bin").agg(*aggs)

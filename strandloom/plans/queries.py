@@ -213,9 +213,10 @@ def c09(s, d):
 
 @query(
     "c10_tx_to_genome",
-    BASE + """, f as (select gene_id, min(transcript_id) transcript_id from ex where (gene_id, transcript_id) in (select (gene_id, transcript_id) from tx group by gene_id, transcript_id having count(*) = 1) group by 1),
-    q as (select annotation_id, min(upper(trim(gene_id))) gene_id, min(transcript_pos) t from annotation where gene_id is not null group by 1)
-    select annotation_id, e.chrom, case when e.strand = '-' then e_end - (t - 1 - start_offset) else e_start + t - start_offset end pos from q left join f on f.gene_id = q.gene_id left join ex e on e.gene_id = f.gene_id and e.transcript_id = f.transcript_id and start_offset <= t - 1 and t - 1 < end_offset""",
+    BASE + """, fs as (select gene_id, transcript_id, min(row(chrom, strand)) k from ex group by 1, 2), e1 as (select ex.gene_id, ex.transcript_id, chrom, strand, e_start, e_end from ex join fs on fs.gene_id = ex.gene_id and fs.transcript_id = ex.transcript_id and row(chrom, strand) = k),
+    e2 as (select *, cast(sum(e_end - e_start) over (partition by gene_id, transcript_id order by case when strand = '-' then -e_start else e_start end, e_end rows unbounded preceding) as bigint) end_offset from e1), e as (select *, end_offset - (e_end - e_start) start_offset from e2),
+    f as (select gene_id, min(transcript_id) transcript_id from ex group by 1), q as (select annotation_id, min(upper(trim(gene_id))) gene_id, min(transcript_pos) t from annotation where gene_id is not null group by 1)
+    select annotation_id, e.chrom, case when e.strand = '-' then e_end - (t - 1 - start_offset) else e_start + t - start_offset end pos from q left join f on f.gene_id = q.gene_id left join e on e.gene_id = f.gene_id and e.transcript_id = f.transcript_id and start_offset <= t - 1 and t - 1 < end_offset""",
 )
 def c10(s, d):
     q = table(s, d, "annotation").where("gene_id is not null").groupBy("annotation_id").agg(F.min(norm("gene_id")).alias("gene_id"), F.min("transcript_pos").alias("t"))
@@ -542,9 +543,10 @@ def d41(s, d):
     return N.inconsistent_genes(pruned(s, d))
 
 
-@query("d32_gene_features", BASE + """select gene_id, coalesce(min(case when feature = 'gene' then start end), min(case when feature = 'exon' then start end)) g_start, coalesce(max(case when feature = 'gene' then "end" end), max(case when feature = 'exon' then "end" end)) g_end, cast(coalesce(sum(case when feature = 'exon' then "end" - start end), 0) as bigint) gene_length from pr group by 1""")
+@query("d32_gene_features", BASE + """select gene_id, first(seqname order by ord) chrom, first(strand order by ord) strand, first(gene_name order by ord) gene_name, coalesce(min(case when feature = 'gene' then start end), min(case when feature = 'exon' then start end)) g_start, coalesce(max(case when feature = 'gene' then "end" end), max(case when feature = 'exon' then "end" end)) g_end,
+    cast(coalesce(sum(case when feature = 'exon' then "end" - start end), 0) as bigint) gene_length, bool_or(coalesce(lower(gene_biotype) like '%rrna%' or lower(gene_biotype) like '%ribosomal%', false) or coalesce(lower(gene_name) like '%rrna%' or lower(gene_name) like '%ribosomal%', false)) ribosomal from pr group by 1""")
 def d32(s, d):
-    return Q.gene_features(pruned(s, d).withColumnRenamed("seqname", "chrom")).select("gene_id", "g_start", "g_end", "gene_length")
+    return Q.gene_features(pruned(s, d).withColumnRenamed("seqname", "chrom")).select("gene_id", "chrom", "strand", "gene_name", "g_start", "g_end", "gene_length", "ribosomal")
 
 
 @query("h45_derived_codons", BASE + """, c as (select gene_id, transcript_id, seqname, strand, min(start) a, max("end") b from pr where feature = 'CDS' group by 1, 2, 3, 4) select gene_id, transcript_id, seqname, strand, 'start_codon' feature, case when strand = '-' then b - 2 else a end start, case when strand = '-' then b else a + 2 end "end" from c
@@ -1056,10 +1058,12 @@ def a14(s, d):
     return A.alleles(a, True).select("annotation_id", "ref")
 
 
-@query("b02_spliced_sequences", "with " + SEQS + ", e as (select doc_id, q, length(q) n from ss where length(q) >= 60) select cast(doc_id as varchar) transcript_id, case when doc_id % 2 = 0 then reverse(translate(substr(q, 11, 20) || substr(q, 41, 15), 'ACGT', 'TGCA')) else substr(q, 11, 20) || substr(q, 41, 15) end spliced from e")
+@query("b02_spliced_sequences", "with " + SEQS + ", e as (select doc_id, substr(q, cast(n // 6 + 1 as bigint), cast(n // 3 - n // 6 as bigint)) || substr(q, cast(n // 2 + 1 as bigint), cast(n - n // 6 - n // 2 as bigint)) q from (select doc_id, q, length(q) n from ss) where n >= 6) select cast(doc_id as varchar) transcript_id, case when doc_id % 2 = 0 then reverse(translate(q, 'ACGT', 'TGCA')) else q end spliced from e")
 def b02(s, d):
-    c = contigs(s, d).where("length(seq) >= 60")
-    e = c.select("doc_id", "chrom", F.explode(F.array(F.struct(F.lit(10).cast("long").alias("e_start"), F.lit(30).cast("long").alias("e_end")), F.struct(F.lit(40).cast("long").alias("e_start"), F.lit(55).cast("long").alias("e_end")))).alias("x")).select(F.col("chrom").alias("gene_id"), F.col("chrom").alias("transcript_id"), "chrom", F.when(F.col("doc_id") % 2 == 0, "-").otherwise("+").alias("strand"), "x.*")
+    """Two exons over most of each text, so that they cross chunks."""
+    c = contigs(s, d).where("length(seq) >= 6").withColumn("n", F.length("seq").cast("long"))
+    part = lambda a, b: F.struct(F.expr(a).alias("e_start"), F.expr(b).alias("e_end"))
+    e = c.select("doc_id", "chrom", F.explode(F.array(part("n div 6", "n div 3"), part("n div 2", "n - n div 6"))).alias("x")).select(F.col("chrom").alias("gene_id"), F.col("chrom").alias("transcript_id"), "chrom", F.when(F.col("doc_id") % 2 == 0, "-").otherwise("+").alias("strand"), "x.*")
     o = E.with_offsets(e).withColumn("r", F.concat_ws("/", "transcript_id", "e_start"))
     chunks = tables.chunked(c.select("chrom", F.lit(0).cast("long").alias("at"), "seq"), 256)
     return A.spliced(o, tables.fetch(chunks, o, "r", "e_start", "e_end", 256)).select("transcript_id", "spliced")

@@ -105,8 +105,9 @@ def with_canonical_tag(tag: Column) -> Column:
 
 
 def unique_names(df: DataFrame, name: str, order: str, suffix: Column) -> DataFrame:
-    """The second and later rows of a name, in order, get the suffix."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(order))
+    """The second and later rows of a name, in order, get the suffix; rows without name stay, each for itself."""
+    own = F.coalesce(F.col(name), F.concat(F.lit("\x00"), F.col(order).cast("string")))
+    n = F.row_number().over(Window.partitionBy(own).orderBy(order))
     return df.withColumn("_n", n).withColumn(name, F.when(F.col("_n") > 1, F.concat(F.col(name), F.lit("_"), suffix)).otherwise(F.col(name))).drop("_n")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandloom.operators.skew import keyed_left_join
 from strandloom.runtime import cut
 
 REQUIRED = ("chromosome", "start", "end", "strand", "gene_id", "transcript_id", "start_exon", "end_exon", "transcript_length")
@@ -157,7 +158,9 @@ def fetch(chunks: DataFrame, spans: DataFrame, record: str, start: str, end: str
     """spans (record, chrom, start, end) with `seq`, the bases of each; parts beyond a contig are left out."""
     want = spans.where(F.col(start) < F.col(end)).select(F.col(record).alias("_r"), "chrom", F.greatest(F.col(start), F.lit(0)).alias("_s"), F.col(end).alias("_e"))
     want = want.where("_s < _e").withColumn("chunk", F.explode(F.sequence((F.col("_s") / chunk).cast("long"), ((F.col("_e") - 1) / chunk).cast("long"))))
-    got = want.join(chunks, ["chrom", "chunk"])
+    # a chunk under many spans is split over tasks
+    cell = F.concat_ws("\x1f", "chrom", F.col("chunk").cast("string"))
+    got = keyed_left_join(want.withColumn("_cell", cell).drop("chrom"), chunks.withColumn("_cell", cell).drop("chrom", "chunk"), "_cell", ["_r"], "inner").drop("_cell")
     a = F.greatest(F.col("_s"), F.col("offset"))
     piece = F.col("seq").substr((a - F.col("offset") + 1).cast("int"), (F.least(F.col("_e"), F.col("offset") + chunk) - a).cast("int"))
     whole = got.groupBy("_r").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", piece.alias("s")))), lambda x: x["s"]), "").alias("seq"))
