@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A side is broadcast only after a count shows that it has no more rows and bytes than these.
-BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 8 << 20
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
