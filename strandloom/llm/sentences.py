@@ -129,6 +129,8 @@ class Rule(NamedTuple):
 
     marks: the end marks it is for, all when empty. tail: `before` runs through all that closes, else up to the end mark
     and closing quotes and brackets. spaced: for candidates with (True) or without (False) a blank behind, None for both.
+    ends: for an index, the words that `before` can have before its full stop, `?` for any single letter, `#` for a
+    digit; None for all.
     """
 
     keep: bool
@@ -137,6 +139,23 @@ class Rule(NamedTuple):
     marks: str = ""
     tail: bool = False
     spaced: bool | None = None
+    ends: frozenset[str] | None = None
+
+
+def _ends(text: str) -> frozenset[str]:
+    return frozenset(text.split())
+
+
+def _stems(pattern: str) -> frozenset[str]:
+    """The last letters of each abbreviation of a table's pattern, in small letters."""
+    found = set()
+    for one in pattern.split("|"):
+        for form in (one.replace("?", ""), re.sub(r".\?", "", one.replace(r"\.?", r"\.").replace(r"\s?", " ")), one.replace(r"\s?", " ").replace(r"\s+", " ").replace("?", "")):
+            if group := re.search(r"\[([^\]]+)\]$", form):
+                found |= set(group.group(1))
+            elif tail := re.search(r"[^\W\d_]+$", form):
+                found.add(tail.group())
+    return frozenset(found)
 
 
 def _words(text: str) -> str:
@@ -174,7 +193,7 @@ COMMON = [
     Rule(False, rf"[{WIDE}]+[^\p{{L}}\p{{N}}]*$", "", WIDE, tail=True),
     Rule(False, rf"{SHUT}\s*[!?]+$", rf"\s+(?:{REPORTS})\b", "!?"),  # the mark behind the quotation
     *UNSPACED,
-    Rule(False, r"^\W*\d{1,3}[.)]$", r"\s*\S", "."),  # a list number
+    Rule(False, r"^\W*\d{1,3}[.)]$", r"\s*\S", ".", ends=_ends("#")),  # a list number
     Rule(False, r"[!?…]\s*[\"'”’»«“)\]]*$", r"\s*[—–-]+\s*\p{Ll}", "!?…"),  # a reporting clause behind a dash
 ]
 
@@ -187,36 +206,36 @@ PAUSE_CASED = [Rule(False, r"(?:\.{2,}|…)$", r"\s+(?:\[\w+(?:=\w+)?\]|<\w+>|&l
 
 #: Letters with marks: initials and the like. {opener} is a capitalised word that opens sentences.
 LETTERS = [
-    Rule(True, START + r"(?:\p{L}\.){2,}$", r"\s+(?:{opener})\b(?![.'’])", "."),
-    Rule(True, START + r"\p{Lu}\.$", r"\s+(?:{opener})\b(?![.'’])", "."),
-    Rule(False, START + r"(?:\p{L}\.\s?)*\p{Lu}\.$", r"\s+(?:\p{L}\.|\p{L}{2,}|\p{Lu})", "."),
-    Rule(False, START + r"(?:\p{L}\.){2,}$", r"\s+\p{Ll}", "."),
+    Rule(True, START + r"(?:\p{L}\.){2,}$", r"\s+(?:{opener})\b(?![.'’])", ".", ends=_ends("?")),
+    Rule(True, START + r"\p{Lu}\.$", r"\s+(?:{opener})\b(?![.'’])", ".", ends=_ends("?")),
+    Rule(False, START + r"(?:\p{L}\.\s?)*\p{Lu}\.$", r"\s+(?:\p{L}\.|\p{L}{2,}|\p{Lu})", ".", ends=_ends("?")),
+    Rule(False, START + r"(?:\p{L}\.){2,}$", r"\s+\p{Ll}", ".", ends=_ends("?")),
 ]
 
 #: Abbreviations that number something do so in texts of any language, before a number.
-NUMBERED = [Rule(False, rf"{START}(?:{'|'.join(v['number'] for v in ABBREVIATIONS.values() if v.get('number'))})\.$", r"\s*\d", ".")]
+NUMBERED = [Rule(False, rf"{START}(?:{'|'.join(v['number'] for v in ABBREVIATIONS.values() if v.get('number'))})\.$", r"\s*\d", ".", ends=_stems("|".join(v["number"] for v in ABBREVIATIONS.values() if v.get("number"))))]
 
 #: What a language has besides its abbreviations; tried before them.
 SPECIAL = {
     "en": [
         # a phrase of time that opens the sentence
-        Rule(False, rf"^{LEAD_IN}(?:at|by|until|before|after|around|from|since|till)\s+(?:\S+\s+){{0,2}}\d+(?:[:.]\d+)?\s*(?:\S+\s+)?[ap]\.m\.$", "", "."),
-        Rule(False, r"\d\s?[ap]\.m\.$", r"\s+(?:on|in|and|or|to|but|every|each)\b", "."),
-        Rule(True, r"\d\s?[ap]\.m\.$", r"\s", "."),
-        Rule(True, START + r"etc\.$", r"\s", "."),
-        Rule(False, START + r"nos?\.$", r"\s*(?:[^\sA-Za-z<\[&\"'“«„(]\S*\s+)?\d", "."),  # also words
-        Rule(True, START + r"nos?\.$", "", "."),
+        Rule(False, rf"^{LEAD_IN}(?:at|by|until|before|after|around|from|since|till)\s+(?:\S+\s+){{0,2}}\d+(?:[:.]\d+)?\s*(?:\S+\s+)?[ap]\.m\.$", "", ".", ends=_ends("m")),
+        Rule(False, r"\d\s?[ap]\.m\.$", r"\s+(?:on|in|and|or|to|but|every|each)\b", ".", ends=_ends("m")),
+        Rule(True, r"\d\s?[ap]\.m\.$", r"\s", ".", ends=_ends("m")),
+        Rule(True, START + r"etc\.$", r"\s", ".", ends=_ends("etc")),
+        Rule(False, START + r"nos?\.$", r"\s*(?:[^\sA-Za-z<\[&\"'“«„(]\S*\s+)?\d", ".", ends=_ends("no nos")),  # also words
+        Rule(True, START + r"nos?\.$", "", ".", ends=_ends("no nos")),
     ],
     "de": [
-        Rule(False, r"\b(?:am|im|der|den|dem|des|vom|zum|beim|bis|seit|ab|das|die|jeden|jedes|jeder)\s(?:\S+\s)?\d{1,2}\.$", r"\s+\p{L}", "."),
-        Rule(False, r"\b\d{1,2}\.$", rf"\s+(?:{MONTHS})\b", "."),
-        Rule(True, START + r"us[wf]\.$", r"\s", "."),
-        Rule(False, START + r"(?:z|d|v|u|o|i|s|a)\.$", r"\s?(?:B|h|a|ä|d|R|o)\.(?!\p{L})", "."),
+        Rule(False, r"\b(?:am|im|der|den|dem|des|vom|zum|beim|bis|seit|ab|das|die|jeden|jedes|jeder)\s(?:\S+\s)?\d{1,2}\.$", r"\s+\p{L}", ".", ends=_ends("#")),
+        Rule(False, r"\b\d{1,2}\.$", rf"\s+(?:{MONTHS})\b", ".", ends=_ends("#")),
+        Rule(True, START + r"us[wf]\.$", r"\s", ".", ends=_ends("usw usf")),
+        Rule(False, START + r"(?:z|d|v|u|o|i|s|a)\.$", r"\s?(?:B|h|a|ä|d|R|o)\.(?!\p{L})", ".", ends=_ends("z d v u o i s a")),
     ],
-    "es": [Rule(True, START + r"etc\.$", r"\s", ".")],
-    "fr": [Rule(True, START + r"etc\.$", r"\s", ".")],
-    "ru": [Rule(True, START + r"и\s+(?:т\.\s?[дп]|др|пр)\.$", r"\s", "."), Rule(False, START + r"т\.$", r"\s*[едкнп]\.", "."), Rule(False, START + r"н\.$", r"\s*э\.", ".")],
-    "el": [Rule(True, START + r"κ\.?\s?λ\.?\s?π\.$", r"\s", "."), Rule(False, START + r"κ\.\s?λ\.$", r"\s*π\.", ".")],
+    "es": [Rule(True, START + r"etc\.$", r"\s", ".", ends=_ends("etc"))],
+    "fr": [Rule(True, START + r"etc\.$", r"\s", ".", ends=_ends("etc"))],
+    "ru": [Rule(True, START + r"и\s+(?:т\.\s?[дп]|др|пр)\.$", r"\s", ".", ends=_ends("д п др пр")), Rule(False, START + r"т\.$", r"\s*[едкнп]\.", ".", ends=_ends("т")), Rule(False, START + r"н\.$", r"\s*э\.", ".", ends=_ends("н"))],
+    "el": [Rule(True, START + r"κ\.?\s?λ\.?\s?π\.$", r"\s", ".", ends=_ends("π")), Rule(False, START + r"κ\.\s?λ\.$", r"\s*π\.", ".", ends=_ends("λ"))],
 }
 
 
@@ -227,13 +246,13 @@ def abbreviation_rules(lang: str) -> list[Rule]:
 
     def add(kind: str, keep: bool, after: str) -> None:
         if kinds.get(kind):
-            made.append(Rule(keep, rf"{START}(?:{kinds[kind]})\.$", after, "."))
+            made.append(Rule(keep, rf"{START}(?:{kinds[kind]})\.$", after, ".", ends=_stems(kinds[kind])))
 
     # within an abbreviation of several parts
     for one in "|".join(filter(None, kinds.values())).split("|"):
         parts = one.split(r"\.\s?")
         for i in range(1, len(parts)):
-            made.append(Rule(False, START + r"\.\s?".join(parts[:i]) + r"\.$", r"\s?" + r"\.\s?".join(parts[i:]) + r"\.", "."))
+            made.append(Rule(False, START + r"\.\s?".join(parts[:i]) + r"\.$", r"\s?" + r"\.\s?".join(parts[i:]) + r"\.", ".", ends=_stems(r"\.\s?".join(parts[:i]))))
 
     add("title", False, r"\s*\S")
     add("never", False, r"\s*\S")
@@ -275,13 +294,9 @@ class Text:
 
 
 def stems() -> set[str]:
-    """The last letters of every abbreviation of the tables, in small letters."""
-    found = set()
-    for one in "|".join([*(v for kinds in ABBREVIATIONS.values() for v in kinds.values()), "etc|usw|usf|nos?|др|пр"]).split("|"):
-        for form in (one.replace("?", ""), re.sub(r".\?", "", one.replace(r"\.?", r"\.").replace(r"\s?", ""))):
-            if tail := re.search(r"[^\W\d_]+$", form):
-                found.add(tail.group())
-    return found
+    """All words that rules have before a full stop."""
+    every = [r for lang in ABBREVIATIONS for r in rules_for(lang, True)]
+    return {w for r in every for w in r.ends or () if w not in "?#"}
 
 
 class Splitter:
@@ -339,9 +354,9 @@ class Splitter:
             self.compiled[key] = self.regex.compile(bare, self.regex.VERSION0 | (self.regex.REVERSE if back else 0)) if bare else None
         return self.compiled[key]
 
-    def cascade(self, lang: str, cased: bool, mark: str, spaced: bool, closed: bool) -> list:
+    def cascade(self, lang: str, cased: bool, mark: str, spaced: bool, closed: bool, word: str | None) -> list:
         """The rules that can match such a candidate, in their order, compiled."""
-        key = lang, cased, mark, spaced, closed
+        key = lang, cased, mark, spaced, closed, word
         if key not in self.tables:
             opener = "|".join(w.capitalize() for w in OPENERS.get(lang, OPENERS["en"]).split())
             loose = {id(r) for r in [*SPECIAL.get(lang, [])]}
@@ -349,6 +364,8 @@ class Splitter:
             for r in rules_for(lang, cased):
                 if r.marks and mark not in r.marks or r.spaced not in (None, spaced) or r in QUOTATIONS and not closed:
                     continue
+                if word is not None and r.ends is not None and word not in r.ends and not (len(word) == 1 and word != "#" and "?" in r.ends):
+                    continue
                 # abbreviations and the language's own rules hold in either case
                 any_case = "(?i)" if r.before.startswith(START) and r not in LETTERS or id(r) in loose else ""
                 after = r.after.replace("{opener}", opener)
@@ -450,28 +467,29 @@ class Splitter:
             text.line, text.spoken = line, lang
         return text.spoken
 
-    def plain(self, view: str, begin: int, at: int, stop: int, q: int) -> bool:
-        """Whether no rule but the default can match a candidate that isn't behind a quotation and before a blank: for a
-        full stop, when the word before it is no end of an abbreviation, for ! and ?, when no dash follows and no quotation
-        ends before it. An index to the tables, which decide alike without it."""
+    def last_word(self, view: str, begin: int, at: int, stop: int, q: int) -> str | None:
+        """Of a candidate that isn't behind a quotation and before a blank, what rules it can meet: empty for the default only,
+        the word of an abbreviation before a full stop, `?` for another single letter, `#` for a digit, None for any.
+        An index to the tables, which decide alike without it."""
         mark, last = view[at], view[at - 1] if at > begin else " "
         if mark == ".":
             if stop - at > 1 or last == "." or not last.isascii() and last >= "\u0530":
-                return False
+                return None
             if last.isdigit():  # an ordinal or a list number has three digits at most, and is no part of a longer number
                 k = at - 1
                 while k > begin and at - k < 4 and view[k - 1].isdigit():
                     k -= 1
-                return at - k > 3 or k > begin and view[k - 1] in ".,:/-–v"
+                return "" if at - k > 3 or k > begin and view[k - 1] in ".,:/-–v" else "#"
             if not last.isalpha():
-                return last > " "
+                return "" if last > " " else None
             k = at - 1
             while k > begin and at - k <= self.longest and view[k - 1].isalpha():
                 k -= 1
-            return at - k > 1 and view[k:at].lower() not in self.stems
+            word = view[k:at].lower()
+            return word if word in self.stems else "?" if len(word) == 1 else ""
         if mark not in "!?":
-            return False
-        return last != SHUT and view[q : q + 8].lstrip()[:1] not in ("—", "–", "-", "")
+            return None
+        return "" if last != SHUT and view[q : q + 8].lstrip()[:1] not in ("—", "–", "-", "") else None
 
 
     def line(self, line: str, text: Text) -> Iterator[tuple[int, int]]:
@@ -509,13 +527,14 @@ class Splitter:
             if k >= 0 and quotes[k][3] > q or b >= 0 and brackets[b][1] > q:
                 continue
             if not blank:
-                if not closed and view[q].isspace() and self.plain(view, done, at, stop, q):
+                word = None if closed or not view[q].isspace() else self.last_word(view, done, at, stop, q)
+                if word == "":
                     blank = True  # only the default can match
                 else:
                     own = self.spoken_once(line, text) if line[at] == "." else ""
                     # only an ellipsis asks whether the text opens its sentences with capitals
                     cased = line[at] not in ".…" or stop - at == 1 and line[at] == "." or self.cased(text)
-                    blank = self.ruled(view, done, stop if not bare else q, q, end, own, cased, line[at], closed)
+                    blank = self.ruled(view, done, stop if not bare else q, q, end, own, cased, line[at], closed, word)
             if blank:
                 cuts.append(q)
                 done = q
@@ -565,9 +584,9 @@ class Splitter:
             q = m.end()
         return q, closed, bare
 
-    def ruled(self, view: str, begin: int, stop: int, q: int, end: int, lang: str, cased: bool, mark: str, closed: bool) -> bool:
+    def ruled(self, view: str, begin: int, stop: int, q: int, end: int, lang: str, cased: bool, mark: str, closed: bool, word: str | None) -> bool:
         """The decision of the first rule that matches: `before` ends at q (tail) or at stop, `after` starts at q."""
-        for keep, before, after, whole, tail in self.cascade(lang, cased, mark, view[q].isspace(), closed):
+        for keep, before, after, whole, tail in self.cascade(lang, cased, mark, view[q].isspace(), closed, word):
             if after is not None and not after.match(view, q, end):
                 continue
             if before is not None:
