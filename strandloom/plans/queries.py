@@ -924,7 +924,7 @@ def h16(s, d):
     return contigs(s, d).select("doc_id", S.padded_motif(F.col("seq"), F.col("doc_id") % F.length("seq"), 10).alias("m"))
 
 
-@query("h17_protein", "with " + SEQS + f", c as (select doc_id, i, substr(q, cast(i * 3 + 1 as bigint), 3) k from ss, range(20) t(i) where i < length(q) // 3), a as (select doc_id, i, {amino_sql('k')} x from c) select doc_id, string_agg(case when x = '*' then 'STOP' else x end, '' order by i) protein from a group by 1")
+@query("h17_protein", "with " + SEQS + f"select doc_id, array_to_string(list_transform(range(0, length(q) // 3), lambda i: {CODED.format(c='substr(q, cast(i * 3 + 1 as bigint), 3)')}), '') protein from ss where length(q) >= 3")
 def h17p(s, d):
     return contigs(s, d).where("length(seq) >= 3").select("doc_id", S.protein_text(F.col("seq")).alias("protein"))
 
