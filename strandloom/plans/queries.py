@@ -863,13 +863,22 @@ def read_table(s, d):
     return sound, r.select(F.concat(F.lit("r"), F.col("ord").cast("string")).alias("qname"), F.lit(0).alias("flag"), "rname", "pos", F.lit(60).alias("mapq"), F.lit("21M").alias("cigar"), F.lit("*").alias("rnext"), F.lit(-1).cast("long").alias("pnext"), F.lit(0).cast("long").alias("tlen"), F.col("motif").alias("seq"), F.lit("I" * 21).alias("qual"), F.create_map(F.lit("NM"), F.lit("i:0")).alias("tags"), "ord")
 
 
-@query("i1_to_genome")
+LIFTED = BASE + ", " + MOTIFS.strip() + """, fs as (select transcript_id, min(row(gene_id, chrom, strand)) k from ex group by 1), e1 as (select ex.transcript_id, ex.chrom, ex.strand, e_start, e_end from ex join fs on fs.transcript_id = ex.transcript_id and row(gene_id, chrom, strand) = k),
+    e2 as (select *, sum(e_end - e_start) over (partition by transcript_id order by e_start, e_end rows unbounded preceding) - (e_end - e_start) bf, sum(e_end - e_start) over (partition by transcript_id) len from e1),
+    an as (select annotation_id, min({'n': upper(trim(transcript_id)), 'p': transcript_pos}) r from annotation where transcript_id is not null and transcript_pos is not null group by 1), rd as (select idx, r.n n, r.p p from mo join an on annotation_id = idx),
+    tl as (select rd.*, strand, chrom, len, case when strand = '-' then len - p - 21 else p end tp, coalesce(p >= 0 and p + 21 <= len, false) ok from rd left join (select distinct transcript_id, chrom, strand, len from e2) t on t.transcript_id = n),
+    pc as (select idx, bf, e_start + greatest(tp - bf, 0) g, least(tp + 21, bf + e_end - e_start) - greatest(tp, bf) m, e_start - lag(e_end) over (partition by idx order by bf) gap from tl join e2 on e2.transcript_id = n and bf < tp + 21 and tp < bf + e_end - e_start where ok),
+    pi as (select *, sum(case when gap > 0 then 1 else 0 end) over (partition by idx order by bf rows unbounded preceding) i from pc), pm as (select idx, i, sum(m) m, first(gap order by bf) gap, first(g order by bf) g from pi group by 1, 2),
+    cg as (select idx, string_agg(case when i > 0 then cast(gap as bigint) || 'N' else '' end || cast(m as bigint) || 'M', '' order by i) c, first(g order by i) g from pm group by 1) """
+
+
+@query("i1_to_genome", LIFTED + "select 'r' || tl.idx qname, cast(case when ok and strand = '-' then 16 else 0 end as int) flag, case when ok then chrom else n end rname, cast(case when ok then g else p end as bigint) pos, case when ok then c else '21M' end cigar, not ok demoted from tl left join cg on cg.idx = tl.idx")
 def i1(s, d):
     tx, r = read_table(s, d)
     return L.lift_reads(r, tx).select("qname", "flag", "rname", "pos", "cigar", "demoted")
 
 
-@query("i2_to_transcript")
+@query("i2_to_transcript", LIFTED + "select 'r' || idx qname, cast(0 as int) flag, n rname, p pos, '21M' cigar from tl where ok")
 def i2(s, d):
     tx, r = read_table(s, d)
     back = L.lift_reads(r, tx).where("not demoted").drop("demoted")
