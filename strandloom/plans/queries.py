@@ -845,7 +845,22 @@ def h06(s, d):
     return ann(s, d).where("length(m) = 21").select("annotation_id", R.reverse_md(md).alias("md"))
 
 
-@query("h05_score_reads")
+PAIRED = "list_filter(range(1, 21), lambda i: {c})"
+WANT, GOT = "substr(r, cast(i as bigint), 1)", "substr(m, cast(i + case when i > 10 then 1 else 0 end as bigint), 1)"
+
+
+def pairs_sql(condition: str) -> str:
+    return f"len({PAIRED.format(c=condition.format(w=WANT, g=GOT))})"
+
+
+@query(
+    "h05_score_reads",
+    f"""with a as (select annotation_id, m, translate(substr(m, 1, 20), 'C', 'T') r, annotation_id % 2 = 0 plus from ({ANN}) where length(m) = 21),
+    b as (select *, {PAIRED.format(c=f"{WANT} <> {GOT}")} l, {pairs_sql("{w} = {g}")} same, case when plus then {pairs_sql("{w} = 'A' and {g} = 'G'")} else {pairs_sql("{w} = 'G' and {g} = 'A'")} end yf, case when plus then {pairs_sql("{w} = 'C' and {g} = 'T'")} else {pairs_sql("{w} = 'T' and {g} = 'C'")} end yc,
+      case when plus then {pairs_sql("{w} = {g} and {g} = 'A'")} else {pairs_sql("{w} = {g} and {g} = 'T'")} end zf, case when plus then {pairs_sql("{w} = {g} and {g} = 'C'")} else {pairs_sql("{w} = {g} and {g} = 'G'")} end zc from a)
+    select annotation_id, cast(same + yf + yc - (len(l) - yf - yc) - 1 as int) score, cast(len(l) - yf - yc as int) mismatches, array_to_string(list_transform(range(1, len(l) + 1), lambda k: cast(l[k] - coalesce(case when k > 1 then l[k - 1] end, 0) - 1 as varchar) || substr(r, cast(l[k] as bigint), 1)), '') || cast(20 - coalesce(l[-1], 0) as varchar) md,
+      cast(yf as int) yf, cast(zf as int) zf, cast(yc as int) yc, cast(zc as int) zc, cast(len(l) - yf - yc as int) ns, cast(1 as int) nc from b""",
+)
 def h05(s, d):
     return ann(s, d).where("length(m) = 21").select("annotation_id", R.score_reads(F.lit("10M1I10M"), F.col("m"), F.translate(F.col("m").substr(1, 20), "C", "T"), F.col("annotation_id") % 2 == 0).alias("r")).select("annotation_id", "r.*")
 
