@@ -22,33 +22,28 @@ def snrna_name(name: Column) -> Column:
     return F.when(name.startswith("snRNA:"), F.get(F.split(name, ":"), F.lit(1))).otherwise(out)
 
 
+# Other names of small nucleolar RNAs (in capitals) and what they become; names of misc_RNA genes and their
+# kinds, pseudogenes first. The first pattern that matches counts.
+SNORNA = ((r"^ACA(\d+)([A-Z]?).*$", "SNORA$1$2"), (r"^U8.*$", "SNORD118"), (r"^U(\d+)([A-Z]).*$", "SNORD$1$2"), (r"^U(\d+).*$", "SNORD$1A"), (r"^Z6$", "Z6"))
+MISC = (
+    (r"^VTRNA.*P", "Vault_RNA_pseudogene"), (r"^RN7SL.*P$", "scRNA"), (r"^RN7SKP", "snRNA"), (r"^RNY.*P", "Y_RNA_pseudogene"), (r"^(?:RN7SL|Metazoa_SRP$|7SL$)", "scRNA"), (r"^(?:RNY|Y_RNA$)", "Y_RNA"),
+    (r"^(?:RN7SK|7SK)$", "snRNA"), (r"^Vault$", "vault_RNA"), (r"^SCARNA", "scaRNA"),
+)
+
+
 def snorna_name(name: Column) -> Column:
     """The family of a small nucleolar RNA gene known by another name (ACA64, U3, U8, Z6)."""
-    up = F.upper(name)
-    aca, u = (lambda g: F.regexp_extract(up, r"^ACA(\d+)([A-Z]?)", g)), (lambda g: F.regexp_extract(up, r"^U(\d+)([A-Z]?)", g))
-    return (
-        F.when(up.startswith("ACA"), F.when(aca(1) != "", F.concat(F.lit("SNORA"), aca(1), aca(2))).otherwise(name))
-        .when(up.startswith("U8"), "SNORD118")
-        .when(up.startswith("U"), F.when(u(1) != "", F.concat(F.lit("SNORD"), u(1), F.when(u(2) == "", "A").otherwise(u(2)))).otherwise(name))
-        .when(up == "Z6", "Z6")
-        .otherwise(name)
-    )
+    up, out = F.upper(name), name
+    for pattern, new in reversed(SNORNA):
+        out = F.when(up.rlike(pattern), F.regexp_replace(up, pattern, new)).otherwise(out)
+    return out
 
 
 def misc_biotype(biotype: Column, name: Column) -> Column:
-    """The kind of a misc_RNA gene by its name, pseudogenes first; other kinds stay."""
-    kind = (
-        F.when(name.startswith("VTRNA") & name.contains("P"), "Vault_RNA_pseudogene")
-        .when(name.startswith("RN7SL") & name.endswith("P"), "scRNA")
-        .when(name.startswith("RN7SKP"), "snRNA")
-        .when(name.startswith("RNY") & name.contains("P"), "Y_RNA_pseudogene")
-        .when(name.startswith("RN7SL") | name.isin("Metazoa_SRP", "7SL"), "scRNA")
-        .when(name.startswith("RNY") | (name == "Y_RNA"), "Y_RNA")
-        .when(name.isin("RN7SK", "7SK"), "snRNA")
-        .when(name == "Vault", "vault_RNA")
-        .when(name.startswith("SCARNA"), "scaRNA")
-        .otherwise(biotype)
-    )
+    """The kind of a misc_RNA gene by its name; other kinds stay."""
+    kind = biotype
+    for pattern, new in reversed(MISC):
+        kind = F.when(name.rlike(pattern), new).otherwise(kind)
     return F.when(biotype == "misc_RNA", kind).otherwise(biotype)
 
 

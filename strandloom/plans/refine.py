@@ -211,5 +211,6 @@ def prepare(rows: DataFrame, support: str | None = None, biotype: str | None = N
 
 def sanitized(name: Column) -> Column:
     """A sequence name of allowed signs; a changed one gets the first eight signs of its MD5."""
+    # The signs a name may have, at its start and behind it.
     clean = F.concat(F.regexp_replace(name.substr(1, 1), r"[^0-9A-Za-z!#$%&+./:;?@^_|~-]", "_"), F.regexp_replace(name.substr(F.lit(2), F.length(name)), r"[^0-9A-Za-z!#$%&*+./:;=?@^_|~-]", "_"))
     return F.when(name.isNull() | (name == "") | (clean == name), name).otherwise(F.concat(clean, F.lit("_"), F.substring(F.md5(name.cast("binary")), 1, 8)))

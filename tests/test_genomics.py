@@ -23,6 +23,7 @@ from strandloom.plans import reference as E
 from strandloom.plans import refine as N
 from strandloom.sources import gtf, reads, tables
 
+# The genome and gene models whose results are known.
 GENOME = "ATGCTAGCTAG" * 30
 
 
