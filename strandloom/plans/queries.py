@@ -469,7 +469,7 @@ def d25(s, d):
     r = a.select("annotation_id", "rname", "p", size.alias("size"), F.explode(F.array(F.lit(0), F.lit(1))).alias("e")).select((F.col("annotation_id") * 2 + F.col("e")).alias("read"), F.col("annotation_id").cast("string").alias("qname"), "rname", F.when(F.col("e") == 0, F.col("p")).otherwise(F.col("p") + F.col("size") - 20).alias("pos"), F.when(F.col("e") == 0, 99).otherwise(147).alias("flag"), F.lit("20M").alias("cigar"), F.when(F.col("e") == 0, F.col("size")).otherwise(-F.col("size")).alias("tlen"), F.lit(True).alias("paired"), F.lit(True).alias("hq"))
     b = Q.read_blocks(r)
     e = exons(s, d).withColumn("exon_id", F.concat_ws(":", "transcript_id", "e_start"))
-    return Q.fragments(Q.full_cover(b, e), b, r, None).groupBy("size").agg(F.count("*").alias("n"))
+    return Q.fragments(Q.full_cover(b, e), b, r).groupBy("size").agg(F.count("*").alias("n"))
 
 
 @query("d27_logo_counts", "with " + MOTIFS + ", p as (select i position, substr(replace(motif, 'T', 'U'), cast(i + 1 as bigint), 1) base, w, idx from mo, range(21) r(i)) select cast(position as int) position, base, sum(w) score, cast(row_number() over (partition by position order by sum(w) desc, min(idx)) as int) \"rank\" from p group by 1, 2, position")

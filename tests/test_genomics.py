@@ -408,6 +408,15 @@ def test_qc_pairs_and_bias(spark):
     assert abs(x * (1 - math.exp(-100 / x)) - 80) < 1 and Q.library_complexity(5, 0) == 0
 
 
+def test_all_fragments_count(spark, rows):
+    """Sizes beyond the first million, which are the largest, count too."""
+    n = 1_000_003
+    r = spark.range(2 * n).select(F.col("id").alias("read"), F.floor(F.col("id") / 2).cast("string").alias("qname"), F.when(F.col("id") < 2 * n - 6, 100).otherwise(900).cast("long").alias("tlen"), F.lit(True).alias("paired"), F.lit(True).alias("hq"))
+    b = r.select("read", F.lit(0).alias("block_no"))
+    got = Q.fragments(b.withColumn("full", F.lit(True)).withColumn("exon_id", F.lit("e")), b, r)
+    assert rows(got.groupBy("size").count()) == [(100, 1_000_000), (900, 3)]
+
+
 def test_qc_all_statistics(spark):
     g = [("exon", 1000, 2000, "+", "G1", "x"), ("exon", 3000, 3100, "-", "HBB", "x"), ("gene", 5000, 5200, "+", "R", "rRNA"), ("exon", 5000, 5100, "+", "R", "rRNA")]
     rows = spark.createDataFrame([(i, f, "chr1", a, b, s, n, n, t) for i, (f, a, b, s, n, t) in enumerate(g)], "ord long, feature string, chrom string, start long, end long, strand string, gene_id string, gene_name string, gene_biotype string")
