@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.seq import padded_motif, protein_text, reverse_base, to_rna, translate_codon
-from strandloom.operators.intervals import overlap_join
+from strandloom.operators.intervals import overlap_join, overlap_pairs
 from strandloom.operators.skew import keyed_left_join
+from strandloom.runtime import cut
 
 # Two orders of severity, least severe first, and the coarse kinds of effects.
 REGION_RANK = ("Intergenic", "Intronic", "NoncodingTranscript", "IncompleteTranscript", "FivePrimeUTR", "ThreePrimeUTR", "IntronicSpliceSite", "Silent", "CDS", "Substitution", "ComplexSubstitution", "InFrameIndel", "FrameShift", "PrematureStop", "SpliceSite")
@@ -105,47 +106,61 @@ def annotate(sites: DataFrame, exons: DataFrame, sequences: DataFrame | None = N
     """
     tx = transcripts(exons).withColumnRenamed("strand", "transcript_strand")
     left = alleles(sites, flip).withColumn("_p", F.col("pos").try_cast("bigint") - 1).where("_p is not null")
-    hit = overlap_join(left, tx, ["chrom"], ("_p", None), ("lo", "hi"), "site_id", "left")
+    # exons and texts are wide: a hit takes from them what it needs where it meets them, and goes on narrow
+    hit = overlap_pairs(left.select("site_id", "chrom", "_p", "ref", "alt"), tx, ["chrom"], ("_p", None), ("lo", "hi"), ["site_id"])
     p, strand = F.col("_p"), F.col("transcript_strand")
     if exon_only:
         hit = hit.where(exonic(F.col("exons"), p))
-    if sequences is not None:
-        key = F.concat_ws("\x1f", "gene_id", "transcript_id")
-        texts = sequences.select(key.alias("_tx"), "spliced")
-        hit = keyed_left_join(hit.withColumn("_tx", F.when(F.col("transcript_id").isNotNull(), key)), texts, "_tx", ["site_id"]).drop("_tx")
-    else:
-        hit = hit.withColumn("spliced", F.lit(None).cast("string"))
-    hit = hit.withColumn("transcript_pos", transcript_pos(F.col("exons"), strand, p))
+    hit = hit.withColumn("transcript_pos", transcript_pos(F.col("exons"), strand, p)).withColumn("distance2splice", F.when(F.col("transcript_id").isNotNull(), splice_distance(F.col("exons"), strand, p))).drop("exons", "_p")
     t, start, stop = F.col("transcript_pos"), F.col("start_codon_pos"), F.col("stop_codon_pos")
     found = F.col("transcript_id").isNotNull()
     within = found & t.isNotNull()
-    hit = hit.withColumn("region", F.when(~found, "Intergenic").when(~within, "Intronic").otherwise(region(t, start, stop)))
+    hit = hit.withColumn("region", F.when(~found, "Intergenic").when(~within, "Intronic").otherwise(region(t, start, stop))).withColumn("gene_pos", F.when(within, t + F.coalesce(start, F.lit(0))))
     in_cds = within & (F.col("region") == "CDS")
-    hit = hit.withColumn("gene_pos", F.when(within, t + F.coalesce(start, F.lit(0)))).withColumn("distance2splice", F.when(found, splice_distance(F.col("exons"), strand, p)))
+    if sequences is not None:
+        # only hits on exons look into the texts; the translation is made once for each transcript
+        hit = cut(hit)
+        key = F.concat_ws("\x1f", "gene_id", "transcript_id", "chrom", "transcript_strand")
+        coding = F.when(start.isNotNull(), F.col("spliced").substr((start + 1).cast("int"), F.coalesce(stop + 3 - start, F.length("spliced") - start).cast("int")))
+        of = sequences.select(F.col("gene_id").alias("_g"), F.col("transcript_id").alias("_t"), "spliced")
+        texts = tx.select("gene_id", "transcript_id", key.alias("_tx"), "start_codon_pos", "stop_codon_pos").join(of, F.col("gene_id").eqNullSafe(F.col("_g")) & (F.col("transcript_id") == F.col("_t")))
+        texts = texts.select("_tx", "spliced", protein_text(coding).alias("_protein"))
+        exonic_hits = keyed_left_join(hit.where(within).withColumn("_tx", key), texts, "_tx", ["site_id"]).drop("_tx")
+        hit = exonic_hits.unionByName(hit.where(~within), allowMissingColumns=True)
+    else:
+        hit = hit.withColumn("spliced", F.lit(None).cast("string")).withColumn("_protein", F.lit(None).cast("string"))
     seq = F.col("spliced")
     hit = hit.withColumn("transcript_motif", F.when(within & seq.isNotNull(), padded_motif(seq, t, pad)))
     readable = in_cds & start.isNotNull() & seq.isNotNull()
-    cds = F.when(readable, seq.substr((start + 1).cast("int"), F.coalesce(stop + 3 - start, F.length(seq) - start).cast("int")))
-    hit = hit.withColumn("_cds", cds).withColumn("coding_pos", F.when(readable, t - start))
+    length = F.coalesce(stop + 3 - start, F.length(seq) - start).cast("int")
+    hit = hit.withColumn("coding_pos", F.when(readable, t - start))
     c = F.col("coding_pos")
     first = (F.floor(c / 3) * 3).cast("int")
-    hit = hit.withColumn("codon_ref", F.when(readable, F.col("_cds").substr(first + 1, F.lit(3)))).withColumn("aa_pos", F.when(readable, F.floor(c / 3) + 1))
+    # the codon within the CDS, which may end before it does
+    codon = seq.substr((start + 1).cast("int") + first, F.greatest(F.least(F.lit(3), length - first), F.lit(0)))
+    hit = hit.withColumn("codon_ref", F.when(readable, codon)).withColumn("aa_pos", F.when(readable, F.floor(c / 3) + 1))
     # the amino acid is looked up in the joined translation, in which a stop takes four letters
-    hit = hit.withColumn("aa_ref", F.when(readable, protein_text(F.col("_cds")).substr(F.col("aa_pos").cast("int"), F.lit(1))))
+    hit = hit.withColumn("aa_ref", F.when(readable, F.col("_protein").substr(F.col("aa_pos").cast("int"), F.lit(1))))
     change = readable & real_base(F.col("ref")) & real_base(F.col("alt")) & (F.col("codon_ref") != "")
     no_seq = "IncompleteTranscript" if exon_only or sequences is not None else "CDS"
     kind = F.when(change, effect(F.col("codon_ref"), F.col("ref"), F.col("alt"), (c % 3).cast("int"))).when(in_cds & seq.isNull(), no_seq).otherwise(F.col("region"))
     hit = hit.withColumn("mut_type", F.when(found, kind))
+    keep = [c for c in sites.columns if c not in COLUMNS]
+    own = left.select(*keep)
+    if every:
+        rows = hit.select("site_id", *COLUMNS)
+        return own.join(rows, "site_id", "inner" if exon_only else "left").select(*keep, *[F.coalesce(c, F.lit("Intergenic")).alias(c) if c == "region" else c for c in COLUMNS])
     # what a hit is worth, and its place among the site's hits
     names = EFFECT_RANK if exon_only else REGION_RANK
     rank = F.coalesce(F.try_element_at(F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))]), F.coalesce("mut_type", "region")), F.lit(-1))
-    order = F.struct("lo", "hi", "gene_id", "transcript_id")
-    keep = [c for c in sites.columns if c not in COLUMNS]
-    rows = hit.withColumn("_rank", rank).withColumn("_order", order)
-    if every:
-        return rows.select(*keep, *COLUMNS)
-    best = F.min_by(F.struct(*[c for c in keep if c != "site_id"], *COLUMNS), F.struct(-F.col("_rank"), "_order"))
-    return rows.groupBy("site_id").agg(best.alias("b")).select("site_id", "b.*")
+    rows = hit.select("site_id", F.struct(-rank, F.struct("lo", "hi", "gene_id", "transcript_id")).alias("_order"), F.struct(*COLUMNS).alias("_hit"))
+    # a site's own row has its columns and no hit
+    rest = [c for c in keep if c != "site_id"]
+    both = rows.unionByName(own.select("site_id", F.struct(*rest).alias("_own")), allowMissingColumns=True)
+    best = both.groupBy("site_id").agg(F.min_by("_hit", "_order").alias("b"), F.first("_own", True).alias("o"))
+    if exon_only:
+        best = best.where("b is not null")
+    return best.select("site_id", "o.*", *[F.coalesce(x, F.lit("Intergenic")).alias(c) if c == "region" else x.alias(c) for c in COLUMNS for x in (F.col("b")[c],)])
 
 
 def as_effects(annotated: DataFrame, names: DataFrame | None = None, rename: bool = False) -> DataFrame:

@@ -366,6 +366,33 @@ def test_registered_liftover_keeps_ambiguous_transcripts(spark, tmp_path):
 QC_GTF = [(0, "gene", 100, 400, "+", "G1"), (1, "exon", 100, 200, "+", "G1"), (2, "exon", 300, 400, "+", "G1"), (3, "gene", 500, 600, "-", "G2"), (4, "exon", 500, 600, "-", "G2")]
 
 
+def test_hits_go_on_narrow(spark):
+    """Neither exons nor sequences are shuffled with the sites, though codons, motifs and amino acids are those of the text."""
+    exons = E.with_offsets(spark.createDataFrame([("G", "T", "c", "+", 100, 110, 3, 12), ("G", "T", "c", "+", 200, 220, 3, 12), ("H", "U", "c", "-", 205, 215, None, None)], "gene_id string, transcript_id string, chrom string, strand string, e_start long, e_end long, start_codon_pos long, stop_codon_pos long"))
+    texts = spark.createDataFrame([("G", "T", "AAATGACGTTGGTAACCCCCCCCCCCCCCC")], "gene_id string, transcript_id string, spliced string")
+    sites = spark.createDataFrame([(1, "c", 108, "+", "T", "C"), (2, "c", 150, "+", "A", "C"), (3, "c", 999, "+", "A", "C"), (4, None, 108, "+", "A", "C"), (5, "c", 207, "+", "A", "C")], "site_id long, chrom string, pos long, strand string, ref string, alt string")
+    out = A.annotate(sites, exons, texts)
+    plan, wide = out._jdf.queryExecution().executedPlan(), []
+
+    def walk(node):
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return walk(node.initialPlan())
+        if node.nodeName() == "Exchange":
+            names = [node.output().apply(i).name() for i in range(node.output().size())]
+            wide.extend([names] if "site_id" in names and {"exons", "spliced", "_cds"} & set(names) else [])
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(plan)
+    assert wide == []
+    got = {r["site_id"]: r for r in out.collect()}
+    assert [got[k]["region"] for k in range(1, 6)] == ["CDS", "Intronic", "Intergenic", "Intergenic", "ThreePrimeUTR"]
+    # TGA CGT TGG TAA from 3 on: position 7 is the second base of CGT; the stop before it takes four letters, so the second letter is T
+    r = got[1]
+    assert (r["transcript_pos"], r["coding_pos"], r["codon_ref"], r["aa_pos"], r["aa_ref"], r["mut_type"], r["transcript_motif"]) == (7, 4, "CGT", 2, "T", "Substitution", "NNNAAATGACGTTGGTAACCC")
+    assert got[4]["chrom"] is None and got[3]["gene_id"] is None and got[5]["mut_type"] == "ThreePrimeUTR"
+
+
 def test_qc(spark):
     rows = spark.createDataFrame([(o, f, "chr1", a, b, s, g, g, "protein_coding") for o, f, a, b, s, g in QC_GTF], "ord long, feature string, chrom string, start long, end long, strand string, gene_id string, gene_name string, gene_biotype string")
     r = lambda i, pos, cigar, flag=0: (i, f"q{i}", flag, "chr1", pos, 255, cigar, "*", -1, 0, "A" * 50, "I" * 50, {"NM": "i:0"})
