@@ -116,76 +116,168 @@ def contained_in(items: DataFrame, by: str, k: int = 16) -> DataFrame:
     return into.union(over).groupBy("id").agg(F.min_by("target", F.struct("name", "ord")).alias("target"))
 
 
-def align_pair(a: list[str], b: list[str]) -> tuple[list[str], list[str]]:
-    """Global alignment of two alignments by column profiles (match 1, mismatch -1, gap -2)."""
-    letters = "ACGTUN-"
-
-    def profile(x: list[str]) -> np.ndarray:
-        p = np.zeros((len(x[0]), len(letters)))
-        for s in x:
-            for i, ch in enumerate(s.upper()):
-                p[i, letters.find(ch) if ch in letters else 5] += 1 / len(x)
-        return p
-
-    p, q = profile(a), profile(b)
-    same = p[:, :6] @ q[:, :6].T
-    score = 2 * same - p[:, :6].sum(1)[:, None] * q[:, :6].sum(1)[None, :]
-    n, m = score.shape
-    best = np.zeros((n + 1, m + 1))
-    best[:, 0], best[0, :] = -2.0 * np.arange(n + 1), -2.0 * np.arange(m + 1)
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            best[i, j] = max(best[i - 1, j - 1] + score[i - 1, j - 1], best[i - 1, j] - 2, best[i, j - 1] - 2)
-    i, j, path = n, m, []
-    while i or j:
-        if i and j and best[i, j] == best[i - 1, j - 1] + score[i - 1, j - 1]:
-            i, j, step = i - 1, j - 1, 0
-        elif i and best[i, j] == best[i - 1, j] - 2:
-            i, step = i - 1, 1
-        else:
-            j, step = j - 1, 2
-        path.append(step)
-    path.reverse()
+LETTERS = "ACGTUN-"
 
-    def lay(x: list[str], gap: int) -> list[str]:
-        out, at = [[] for _ in x], 0
-        for step in path:
-            for k, s in enumerate(x):
-                out[k].append("-" if step == gap else s[at])
-            at += step != gap
-        return ["".join(s) for s in out]
 
-    return lay(a, 2), lay(b, 1)
+def column_counts(x: list[str]) -> np.ndarray:
+    """How often each of LETTERS stands in each column of aligned rows; other signs count as N."""
+    out = np.zeros((len(x[0]), len(LETTERS)), dtype=np.int64)
+    for s in x:
+        out[np.arange(len(s)), [LETTERS.find(ch) if ch in LETTERS else 5 for ch in s.upper()]] += 1
+    return out
+
+
+def best_path(p: np.ndarray, q: np.ndarray, gap: int) -> list[int]:
+    """The steps of the best global alignment of two alignments by their column counts: 0 both, 1 a gap in the second, 2 in the first.
+
+    Scores are whole numbers (match 1, mismatch -1 and gap -2, times both numbers of rows), so equal ones are equal; of
+    them 0 goes before 1 before 2. A column of the table is filled at once: the gaps within it are a running maximum.
+    """
+    n, m = len(p), len(q)
+    p6, q6 = p[:, :6], q[:, :6]
+    score = 2 * (q6 @ p6.T) - q6.sum(1)[:, None] * p6.sum(1)[None, :]
+    slope = gap * np.arange(n + 1)
+    best = np.empty((m + 1, n + 1), dtype=np.int64)
+    best[0] = -slope
+    for j in range(1, m + 1):
+        last, now = best[j - 1], best[j]
+        np.subtract(last, gap, out=now)
+        np.maximum(now[1:], last[:-1] + score[j - 1], out=now[1:])
+        now += slope
+        np.maximum.accumulate(now, out=now)
+        now -= slope
+    steps = np.full((m + 1, n + 1), 2, dtype=np.int8)
+    steps[:, 1:][best[:, 1:] == best[:, :-1] - gap] = 1
+    steps[1:, 1:][best[1:, 1:] == best[:-1, :-1] + score] = 0
+    table, path = steps.tolist(), []
+    i, j = n, m
+    while i or j:
+        step = table[j][i]
+        path.append(step)
+        i, j = i - (step != 2), j - (step != 1)
+    return path[::-1]
 
 
 def align(seqs: list[str]) -> list[str]:
-    """A progressive alignment, most similar length first; equal sequences are aligned once."""
+    """A progressive alignment, most similar length first; equal sequences are aligned once.
+
+    The counts of the columns are kept, and the rows are touched only where a new sequence opens a column.
+    """
     distinct = sorted(dict.fromkeys(seqs), key=lambda s: (-len(s), s))
-    if not distinct:
-        return []
-    done, order = [distinct[0]], [distinct[0]]
-    for s in distinct[1:]:
-        done, new = align_pair(done, [s])
-        done, order = [*done, *new], [*order, s]
-    at = dict(zip(order, done, strict=True))
+    if len(distinct) < 2:
+        return list(seqs)
+    counts = column_counts(distinct[:1])
+    done, width = [list(range(len(distinct[0])))], len(distinct[0])  # each row's columns
+    opened: list[tuple[int, list[int]]] = []  # (rows before, where its old columns go)
+    for k, s in enumerate(distinct[1:], 1):
+        own = column_counts([s])
+        path = best_path(counts, own, 2 * k)
+        if 2 in path:
+            moved = [i for i, step in enumerate(path) if step != 2]
+            opened.append((k, moved))
+            wider = np.zeros((len(path), len(LETTERS)), dtype=np.int64)
+            wider[:, 6] = k
+            wider[moved] = counts
+            counts, width = wider, len(path)
+        mine = [i for i, step in enumerate(path) if step != 1]
+        counts[mine] += own
+        counts[:, 6] += 1
+        counts[mine, 6] -= 1
+        done.append(mine)
+    # columns opened later shift the earlier ones: from the last row back, one map to the final columns
+    final, at = np.arange(width), {}
+    for k in range(len(distinct) - 1, -1, -1):
+        row = ["-"] * width
+        for i, ch in zip(final[done[k]].tolist(), distinct[k], strict=True):
+            row[i] = ch
+        at[distinct[k]] = "".join(row)
+        if opened and opened[-1][0] == k:
+            final = final[opened.pop()[1]]
     return [at[s] for s in seqs]
 
 
-def gap_hamming(a: str, b: str) -> float:
-    """The share of differing columns, those with a gap in both left out."""
-    both = [(x, y) for x, y in zip(a, b, strict=True) if not x == y == "-"]
-    return sum(x != y for x, y in both) / len(both) if both else 0.0
+def near_pairs(rows: list[str], threshold: float, size: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, share): the pairs a < b of aligned rows of which at most the threshold of columns differ, those with a gap in both left out.
 
+    The pairs of `size` rows are held at once.
+    """
+    x = np.array([list(map(ord, r)) for r in rows], dtype=np.uint32).reshape(len(rows), -1)
+    signs, x = np.unique(x, return_inverse=True)
+    x = np.ascontiguousarray(x.reshape(len(rows), -1).T.astype(np.uint16 if len(signs) > 255 else np.uint8))
+    gaps = x == np.searchsorted(signs, ord("-")) if ord("-") in signs else np.zeros(x.shape, dtype=bool)
+    gapped = np.flatnonzero(gaps.any(1))
+    counter = np.uint8 if len(x) < 256 else np.int32
+    most = np.array([np.floor(threshold * n + 1e-9) for n in range(len(x) + 1)]).clip(0, len(x)).astype(counter)
+    found = []
+    for start in range(0, len(rows), size):
+        stop = min(start + size, len(rows))
+        differ = np.zeros((stop - start, len(rows) - start), dtype=counter)
+        for col in x:
+            differ += col[start:stop, None] != col[None, start:]
+        both = np.full(differ.shape, len(x), dtype=counter)
+        for c in gapped:
+            both[np.ix_(np.flatnonzero(gaps[c, start:stop]), np.flatnonzero(gaps[c, start:]))] -= 1
+        a, b = np.nonzero(differ <= most[both])
+        d, n = differ[a, b].astype(float), both[a, b].astype(float)
+        a, b = a + start, b + start
+        found.append((a[a < b], b[a < b], np.divide(d, n, out=np.zeros_like(d), where=n > 0)[a < b]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def gap_hamming(rows: list[str]) -> np.ndarray:
+    """The shares of differing columns of all pairs of rows, those with a gap in both left out."""
+    out = np.zeros((len(rows), len(rows)))
+    a, b, share = near_pairs(rows, 1.0)
+    out[a, b] = out[b, a] = share
+    return out
 
-def cluster(rows: list[str], threshold: float) -> list[int]:
-    """Average linkage up to the threshold; clusters numbered from 1 by size, then by first member."""
-    groups = [[i] for i in range(len(rows))]
-    d = np.array([[gap_hamming(a, b) for b in rows] for a in rows])
-    while len(groups) > 1:
-        dist, i, j = min((d[np.ix_(groups[i], groups[j])].mean(), i, j) for i in range(len(groups)) for j in range(i + 1, len(groups)))
-        if dist > threshold:
+
+def linked(d: np.ndarray, threshold: float) -> list[list[int]]:
+    """The clusters of average linkage up to the threshold; of equally near ones the first are joined. Means are compared to 12 digits."""
+    k = len(d)
+    total, many, groups = d.copy(), np.ones(k), [[i] for i in range(k)]
+    mean = np.where(np.triu(np.ones((k, k), dtype=bool), 1), np.round(d, 12), np.inf)
+    near = mean.min(1)
+    while k > 1:
+        i = int(near.argmin())
+        if not near[i] <= threshold:
             break
-        groups[i] += groups.pop(j)
+        j = int(mean[i].argmin())
+        groups[i] += groups[j]
+        groups[j] = []
+        total[i] += total[j]
+        total[:, i] = total[i]
+        many[i] += many[j]
+        new = np.round(total[i] / (many[i] * many), 12)
+        new[[not g for g in groups]] = np.inf
+        lost = np.flatnonzero((mean[:, i] == near) | (mean[:, j] == near))
+        mean[j], mean[:, j] = np.inf, np.inf
+        mean[i, i + 1 :], mean[:i, i] = new[i + 1 :], new[:i]
+        near[:i] = np.minimum(near[:i], new[:i])
+        lost = np.union1d(lost, [i, j])
+        near[lost] = mean[lost].min(1)
+    return [g for g in groups if g]
+
+
+def cluster(rows: list[str], threshold: float) -> list[int]:
+    """Average linkage up to the threshold; clusters numbered from 1 by size, then by first member.
+
+    Clusters are joined only where two of their rows are that near, so what such pairs connect is clustered by itself.
+    """
+    root = list(range(len(rows)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for a, b in zip(*(c.tolist() for c in near_pairs(rows, threshold)[:2]), strict=True):
+        a, b = top(a), top(b)
+        root[max(a, b)] = min(a, b)
+    parts: dict[int, list[int]] = {}
+    for i in range(len(rows)):
+        parts.setdefault(top(i), []).append(i)
+    groups = [[p[i] for i in g] for p in parts.values() for g in (linked(gap_hamming([rows[i] for i in p]), threshold) if len(p) > 1 else [[0]])]
     out = [0] * len(rows)
     for n, g in enumerate(sorted(groups, key=lambda g: (-len(g), min(g))), 1):
         for i in g:
@@ -195,6 +287,8 @@ def cluster(rows: list[str], threshold: float) -> list[int]:
 
 def consensus(rows: list[str]) -> str:
     """The most frequent sign of each column, of equal ones the smallest (so a gap wins)."""
+    if len(rows) == 1:
+        return rows[0]
     return "".join(min(set(col), key=lambda ch: (-col.count(ch), ch)) for col in zip(*rows, strict=True))
 
 
@@ -224,9 +318,10 @@ def cluster_families(genes: DataFrame, threshold: float = 0.1) -> DataFrame:
         frame = frame.sort_values("seq").reset_index(drop=True)
         seqs = list(frame["seq"])
         ids = cluster(align(seqs), threshold)
-        out = []
-        for n in sorted(set(ids)):
-            mine = [i for i, x in enumerate(ids) if x == n]
+        out, members = [], {}
+        for i, n in enumerate(ids):
+            members.setdefault(n, []).append(i)
+        for n, mine in sorted(members.items()):
             rows = align([seqs[i] for i in mine])
             whole = consensus(rows).replace("-", "")
             out += [(frame["family"][0], g, n, r, whole) for i, r in zip(mine, rows, strict=True) for g in frame["ids"][i]]
