@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from strandloom.runtime import measured, small
+from strandloom.runtime import cut, observed, small
 
 #: Fewer rows of a key than this are never split, as a task takes them anyway.
 LEAST_ROWS = 20_000
@@ -24,7 +24,10 @@ def hot_keys(df: DataFrame, key: Column, least: int | None = None) -> DataFrame
     p = partitions(df)
     counted = df.select(key.alias("_k")).where("_k is not null").groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
     floor = LEAST_ROWS if least is None else least
-    kept, facts = measured(counted, total=F.sum("_n"), most=F.max("_n"))
+    # the counts are summed up as they pass; only what may be hot is written
+    seen, facts = Observation(), [F.sum("_n").alias("total"), F.max("_n").alias("most")]
+    kept = cut(counted.observe(seen, *facts).where(F.col("_n") > floor))
+    facts = observed(seen) or counted.agg(*facts).first().asDict()
     share = max(floor, (facts["total"] or 0) / (2 * p))
     if (facts["most"] or 0) <= share:
         return None

@@ -50,6 +50,17 @@ def test_contig_alias(spark, rows):
     assert rows(orphans.contig_names(contig, alias), "key") == [("1",), ("CHR1",), ("X",)]
 
 
+def test_hot_keys_store_only_what_may_be_hot(spark, monkeypatch):
+    df = spark.range(3000).select(F.when(F.col("id") < 600, "hot").otherwise(F.col("id").cast("string")).alias("k"))
+    stored = []
+    real = runtime.cut
+    keep = lambda x: stored.append(real(x)) or stored[-1]
+    monkeypatch.setattr(runtime, "cut", keep)
+    monkeypatch.setattr(skew, "cut", keep, raising=False)
+    assert [tuple(r) for r in skew.hot_keys(df, F.col("k"), 100).collect()] == [("hot", 2)]
+    assert [x.count() for x in stored] == [1]
+
+
 def test_keyed_join_salts_hot_keys(spark, monkeypatch):
     left = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 50).cast("string")).alias("k"), "id").union(spark.createDataFrame([(None, -1)], "k string, id long"))
     right = spark.createDataFrame([("hot", 1), ("7", 2)], "k string, v int")
